@@ -8,10 +8,13 @@ representatives (texts with the same set share one), never between all pairs
 of a group.
 
 Exactness. A pair at or above the threshold shares a band with a chance of
-1 - 3e-7 at the production parameters. Within the buckets nothing is dropped:
-first every member is held against its best bucket leader, then every pair of
-bucket members that is still in different components is tested, so testing
-stops only where the answer cannot change a component.
+1 - 3e-7 at the production parameters. Within the buckets no link is lost:
+every member is held against its best bucket leader; members with too many
+shingles of their own to be similar to any other are proven single; the rest
+are held against the bucket's most typical member; and every pair that is
+still in different components is tested. Testing stops only where the answer
+cannot change a component, so the work of a group of copies stays in
+proportion to its members.
 """
 
 from __future__ import annotations
@@ -147,7 +150,7 @@ def _full_sets(p: HyperMinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             for row, sets in distinct_sets(batch.column(1), p):
                 registers = [(bucket_registers(s, p) if len(s) >= p.small else many_hash_registers(s, p)).tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(registers, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    [ids.slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(registers, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     names=["id", "n", "registers", "hashes"],
                 )
 
@@ -186,7 +189,7 @@ def _confirmed(p: HyperMinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         for batch in batches:
             keep = []
             for s, t in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
-                x, y = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+                x, y = s.values.to_numpy().view(np.uint64), t.values.to_numpy().view(np.uint64)
                 at = np.searchsorted(y, x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
                 keep.append(100 * both >= p.percent * (len(x) + len(y) - both))
@@ -223,6 +226,31 @@ def keep_ids(texts: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000)
     return texts.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "id", "left_semi")
 
 
+def linkable(ids: DataFrame, full: DataFrame, p: HyperMinHash) -> DataFrame:
+    """(id, n, own) of those ids (id, n, least_n) that can still be linked with another of them.
+
+    own counts the shingles that no other of the ids has. A set of n shingles and a
+    partner of at least m share n - own at most, so their similarity is at most
+    (n - own) / (n + max(m, n - own) - (n - own)). Removing sets makes more shingles single,
+    so this goes on until nothing is removed. Nothing that could be linked is lost.
+    """
+    now = cut_lineage(ids)
+    left = now.count()
+    while left:
+        spread = full.select("id", "hashes").join(now, "id", "left_semi").select("id", F.explode("hashes").alias("h"))
+        single = spread.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+        shared = F.col("n") - F.col("own")
+        partner = F.greatest(F.col("least_n"), shared, F.ceil(F.col("n") * p.percent / 100))
+        scored = now.drop("own").join(single, "id", "left").fillna(0, ["own"])
+        after = cut_lineage(scored.where(shared * 100 >= (F.col("n") + partner - shared) * p.percent))
+        n = after.count()
+        now, done = after, n == left
+        left = n
+        if done:
+            break
+    return now if "own" in now.columns else now.withColumn("own", F.lit(0).cast("long"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: HyperMinHash | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
@@ -250,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ok = lambda n, m: (F.least(n, m) * 100 >= F.greatest(n, m) * p.percent)  # noqa: E731  sizes further apart can't be similar enough
     star = cut_lineage(buckets.where((F.col("id") != F.col("leader")) & ok(F.col("n_shingles"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     bucketed = buckets.select("id").distinct()
-    full = cut_lineage(keep_ids(texts, bucketed).dropDuplicates(["id"]).mapInArrow(_full_sets(p), "id long, n long, registers binary, hashes binary"))
+    full = cut_lineage(keep_ids(texts, bucketed).dropDuplicates(["id"]).mapInArrow(_full_sets(p), "id long, n long, registers binary, hashes array<long>"))
 
     def side(which: str, *cols: str) -> DataFrame:
         return full.select(F.col("id").alias(which), *[F.col(c).alias(f"{c}_{which}") for c in cols])
@@ -269,15 +297,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut_lineage(confirmed(best.select("a", "b")))
     component = cut_lineage(connected_components(links))
 
-    placed = buckets.select("band", "id", "n_shingles").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    open_rows = placed.join(mixed, "band", "left_semi")
-    other = open_rows.select("band", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("component").alias("c2"))
-    rest = open_rows.join(other, "band").where((F.col("component") != F.col("c2")) & (F.col("id") < F.col("id2")) & ok(F.col("n_shingles"), F.col("n2"))).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    rest = rest.join(best.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut_lineage(confirmed(estimated(rest)))
-    if not more.isEmpty():
-        component = cut_lineage(connected_components(links.union(more)))
+    def open_rows(component: DataFrame, ids: DataFrame | None) -> DataFrame:
+        """Rows of the buckets whose members are not all in one component."""
+        placed = buckets.select("band", "id", "n_shingles") if ids is None else buckets.select("band", "id", "n_shingles").join(ids, "id")
+        placed = placed.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_shingles").alias("least_n")).where("lo <> hi").select("band", "least_n")
+        return placed.join(mixed, "band")
+
+    alive = linkable(open_rows(component, None).groupBy("id", F.col("n_shingles").alias("n")).agg(F.min("least_n").alias("least_n")), full, p)
+    if not alive.isEmpty():
+        tested = best.select("a", "b")
+        rows = cut_lineage(open_rows(component, alive.select("id", "own")))
+        hubs = rows.groupBy("band").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_c")), F.struct("own", "id")).alias("h")).select("band", "h.*")
+        spokes = rows.join(hubs, "band").where((F.col("component") != F.col("hub_c")) & ok(F.col("n_shingles"), F.col("hub_n"))).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+        links = cut_lineage(links.union(confirmed(estimated(spokes.join(tested, ["a", "b"], "left_anti")))))
+        component = cut_lineage(connected_components(links))
+        rows = cut_lineage(open_rows(component, alive.select("id", "own")))
+        other = rows.select("band", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("component").alias("c2"), F.col("own").alias("own2"))
+        may = F.least(F.col("n_shingles") - F.col("own"), F.col("n2") - F.col("own2"))  # the most that two sets can share
+        near = (F.col("component") != F.col("c2")) & (F.col("id") < F.col("id2")) & (may * 100 >= (F.col("n_shingles") + F.col("n2") - may) * p.percent)
+        rest = rows.join(other, "band").where(near).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+        more = cut_lineage(confirmed(estimated(rest)))
+        if not more.isEmpty():
+            component = cut_lineage(connected_components(links.union(more)))
 
     final = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = sketch.select("id", "n_shingles").join(final, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))

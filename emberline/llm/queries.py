@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import read_table
+from .chat import format_chats, masked_text, read_turns, text_part
 from .neardup import near_duplicates
 from .pii import find_pii
 from .quality import quality_scores
+from .rules import quality_rules
 from .secrets import find_secrets, span_text
 
 
@@ -57,10 +59,67 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, d
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = d.doc_id
 """
 
+def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM d),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 5)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM c WHERE c > 1) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, text, ls, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols > n_words OR 10 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 6 * word_chars
+    OR length(text) - length(regexp_replace(text, '[!?]', '', 'g')) > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 2 * n_dup_lines > len(ls)) AS kept
+FROM f
+"""
+
+
+def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), tricky.alias("text"))
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    chats = format_chats(turns.withColumn("parts", text_part(F.coalesce("text", F.lit("")))))
+    read = F.array_join(F.transform(read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    out = chats.withColumn("read", read).withColumn("loss", masked_text(F.col("formatted"), F.col("loss_spans")))
+    return out.select(
+        "conv_id",
+        F.size(read_turns(F.col("formatted"))).cast("long").alias("n_turns"),
+        F.sha2(F.col("read").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP9_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(replace(text, '\', '\\'), '([\[<])(/?INST\]|/?s>|\|)', '\1\\\2', 'g')) AS n,
+    length(regexp_replace(replace(role, '\', '\\'), '([\[<])(/?INST\]|/?s>|\|)', '\1\\\2', 'g')) AS r FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(7 + sum(6 + r + 3 + n + 7) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_novelty": op1_secret_novelty,
     "op2_quality_crf": op2_quality_crf,
     "op4_pii_anchors": op4_pii_anchors,
     "op7_hyperminhash": op7_hyperminhash,
+    "op8_rule_cascade": op8_rule_cascade,
+    "op9_chat_parts": op9_chat_parts,
 }
-SQL: dict[str, str] = {"op7_hyperminhash": OP7_SQL}
+SQL: dict[str, str] = {"op7_hyperminhash": OP7_SQL, "op8_rule_cascade": OP8_SQL, "op9_chat_parts": OP9_SQL}
