@@ -41,7 +41,8 @@ class HyperMinHash:
     one. bands x rows registers are used for banding. small: sets below this
     size are sketched with one hash function per bucket, since a single hash
     leaves most buckets empty; sets up to small / threshold get both bandings,
-    so that a pair on either side of the border still meets.
+    so that a pair on either side of the border still meets. estimate_registers: how many go into
+    the estimate; slack is then over five of its standard deviations below the threshold.
     """
 
     width: int = 4
@@ -51,6 +52,7 @@ class HyperMinHash:
     bands: int = 64
     rows: int = 7
     small: int = 64
+    estimate_registers: int = 128
     slack: float = 0.2
 
 
@@ -148,7 +150,7 @@ def _full_sets(p: HyperMinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         for batch in batches:
             ids = batch.column(0)
             for row, sets in distinct_sets(batch.column(1), p):
-                registers = [(bucket_registers(s, p) if len(s) >= p.small else many_hash_registers(s, p)).tobytes() if len(s) else b"" for s in sets]
+                registers = [(bucket_registers(s, p) if len(s) >= p.small else many_hash_registers(s, p))[: p.estimate_registers].tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(registers, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     names=["id", "n", "registers", "hashes"],
@@ -204,9 +206,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps until no edge changes, each
     step an aggregation and a join, so a hub is never gathered in one task.
     """
+    state_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
+    seen = state_of(now)
+    while seen[0]:
         both = now.union(now.select("b", "a"))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -214,7 +217,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut_lineage(small.union(least.select("u", "m")).distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = state_of(now)
         if state == seen:
             break
         seen = state
@@ -226,6 +229,13 @@ def keep_ids(texts: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000)
     return texts.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "id", "left_semi")
 
 
+def nearest(meetings: DataFrame) -> DataFrame:
+    """(a, b) with a < b: for each id the hub that it meets in the most buckets, the least of equals."""
+    met = meetings.groupBy("hub", "id").agg(F.count("*").alias("c"))
+    best = met.groupBy("id").agg(F.max_by("hub", F.struct("c", F.negative("hub"))).alias("hub"))
+    return best.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+
+
 def linkable(ids: DataFrame, full: DataFrame, p: HyperMinHash) -> DataFrame:
     """(id, n, own) of those ids (id, n, least_n) that can still be linked with another of them.
 
@@ -276,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = cut_lineage(rows.join(shared, "band"))
 
     ok = lambda n, m: (F.least(n, m) * 100 >= F.greatest(n, m) * p.percent)  # noqa: E731  sizes further apart can't be similar enough
-    star = cut_lineage(buckets.where((F.col("id") != F.col("leader")) & ok(F.col("n_shingles"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    star = nearest(buckets.where((F.col("id") != F.col("leader")) & ok(F.col("n_shingles"), F.col("leader_n"))).select(F.col("leader").alias("hub"), "id"))
     bucketed = buckets.select("id").distinct()
     full = cut_lineage(keep_ids(texts, bucketed).dropDuplicates(["id"]).mapInArrow(_full_sets(p), "id long, n long, registers binary, hashes array<long>"))
 
@@ -293,8 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with_both = with_b.join(side("a", "hashes"), "a").select("a", "b", "hashes_a", "hashes_b")
         return with_both.mapInArrow(_confirmed(p), "a long, b long")
 
-    best = estimated(star).groupBy("b").agg(F.max_by("a", F.struct("estimate", F.negative("a"))).alias("a"))
-    links = cut_lineage(confirmed(best.select("a", "b")))
+    links = cut_lineage(confirmed(estimated(star)))
     component = cut_lineage(connected_components(links))
 
     def open_rows(component: DataFrame, ids: DataFrame | None) -> DataFrame:
@@ -306,11 +315,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     alive = linkable(open_rows(component, None).groupBy("id", F.col("n_shingles").alias("n")).agg(F.min("least_n").alias("least_n")), full, p)
     if not alive.isEmpty():
-        tested = best.select("a", "b")
         rows = cut_lineage(open_rows(component, alive.select("id", "own")))
         hubs = rows.groupBy("band").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_c")), F.struct("own", "id")).alias("h")).select("band", "h.*")
-        spokes = rows.join(hubs, "band").where((F.col("component") != F.col("hub_c")) & ok(F.col("n_shingles"), F.col("hub_n"))).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-        links = cut_lineage(links.union(confirmed(estimated(spokes.join(tested, ["a", "b"], "left_anti")))))
+        spokes = nearest(rows.join(hubs, "band").where((F.col("component") != F.col("hub_c")) & ok(F.col("n_shingles"), F.col("hub_n"))).select("hub", "id"))
+        links = cut_lineage(links.union(confirmed(estimated(spokes))))
         component = cut_lineage(connected_components(links))
         rows = cut_lineage(open_rows(component, alive.select("id", "own")))
         other = rows.select("band", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("component").alias("c2"), F.col("own").alias("own2"))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.session import read_table
 from .chat import format_chats, masked_text, read_turns, text_part
+from .decontaminate import find_leaks
+from .langid import identify
+from .license import licence_scan
+from .mixing import mix
 from .neardup import near_duplicates
 from .pii import find_pii
 from .quality import quality_scores
@@ -38,6 +42,28 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_pii(read_table(spark, sf_dir, "documents")), ("email", "ip", "card", "phone"), ("login", "account", "street"))
 
 
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(read_table(spark, sf_dir, "documents"))
+
+
+def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by all evidence, and documents, whose source stands for a host and which declare nothing."""
+    docs, pages = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages")
+    records = pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("url").alias("address"), F.col("html").alias("text"))
+    records = records.unionByName(docs.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("source").alias("address"), "text"))
+    found = identify(records, docs.select(F.col("doc_id").alias("id"), "lang", "text"))
+    own = lambda kind: F.when(F.col("kind") == kind, F.col("id"))
+    return found.select(own("page").alias("page_id"), own("document").alias("doc_id"), "lang", F.round("posterior", 6).alias("posterior"), "text_lang", "declared", "host", "kept")
+
+
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -117,9 +143,13 @@ FROM e GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_novelty": op1_secret_novelty,
     "op2_quality_crf": op2_quality_crf,
+    "op3_soft_mixing": op3_soft_mixing,
     "op4_pii_anchors": op4_pii_anchors,
+    "op5_latent_decontamination": op5_latent_decontamination,
+    "op6_license_paragraphs": op6_license_paragraphs,
     "op7_hyperminhash": op7_hyperminhash,
     "op8_rule_cascade": op8_rule_cascade,
     "op9_chat_parts": op9_chat_parts,
+    "op10_language_fusion": op10_language_fusion,
 }
 SQL: dict[str, str] = {"op7_hyperminhash": OP7_SQL, "op8_rule_cascade": OP8_SQL, "op9_chat_parts": OP9_SQL}
