@@ -1,10 +1,13 @@
-"""The corpus pipeline: four or five operators in a row, each on what the one before kept."""
+"""The corpus pipeline: five operators in a row, each on what the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberline.functions.session import read_table
+from emberline.functions.session import cut_lineage, read_table
+from emberline.llm.decontaminate import drop_leaking
+from emberline.llm.mixing import mixed_documents
 from emberline.llm.neardup import near_duplicates
 from emberline.llm.quality import keep_good
 from emberline.llm.secrets import redact_secrets
@@ -16,24 +19,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least id."""
+    """One document of each group of near copies: that with the least id. Rows that repeat an id are one group too."""
     dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return drop_leaking(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and n_chars renewed."""
-    from pyspark.sql import functions as F
-
     return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
-STAGES = [("quality", quality), ("dedup", dedup), ("secrets", secrets)]
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a positive rate, and their domain, rate and copies in the mix."""
+    return mixed_documents(docs, read_table(spark, sf_dir, "labels"))
+
+
+STAGES = [("quality classifier", quality), ("near-dedup", dedup), ("decontamination", decontaminate), ("secret scan", secrets), ("mixing", mixing)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; every stage but the last is cut off in the shared checkpoint folder."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut_lineage(docs)
     return docs

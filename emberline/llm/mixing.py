@@ -133,9 +133,27 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col), F.col(text_col))
     names, model = train_domains(texts, labels, id_col, text_col, p)
     rows = cut_lineage(posteriors(texts, names, model, text_col).drop(text_col))
-    steps, _ = fitted_rates(rows, names, p)
+    return rated(rows, names, fitted_rates(rows, names, p)[0], [id_col], id_col, p)
+
+
+def rated(rows: DataFrame, names: list[str], steps: list[np.ndarray], keep: list[str], id_col: str, p: Mix) -> DataFrame:
     ps = F.array(*[F.col(f"p_{x}") for x in names])
     best = F.get(F.array(*[F.lit(x) for x in names]), (F.array_position(ps, F.array_max(ps)) - 1).cast("int"))
     even = F.pmod(F.xxhash64(F.lit(p.seed), F.col(id_col)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    out = rows.select(id_col, F.col("_tokens").alias("n_tokens"), *[F.round(f"p_{x}", 6).alias(f"p_{x}") for x in names], best.alias("domain"), F.round(rate_column(names, steps), 6).alias("rate"))
+    out = rows.select(*keep, F.col("_tokens").alias("n_tokens"), *[F.round(f"p_{x}", 6).alias(f"p_{x}") for x in names], best.alias("domain"), F.round(rate_column(names, steps), 6).alias("rate"))
     return out.withColumn("copies", F.floor(F.col("rate") + even).cast("long"))
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Mix | None = None) -> DataFrame:
+    """docs with the columns of mix(), less the documents of rate 0.
+
+    The rates are fitted on a narrow table; the texts are then classified once more
+    instead of being carried through a join. A column of docs that mix() makes is replaced.
+    """
+    p = params or Mix()
+    names, model = train_domains(docs.select(id_col, text_col), labels, id_col, text_col, p)
+    made = {"n_tokens", "domain", "rate", "copies", "_tokens", *[f"p_{x}" for x in names]}
+    rows = posteriors(docs.select(*[c for c in docs.columns if c not in made]), names, model, text_col)
+    narrow = cut_lineage(rows.select("_tokens", *[f"p_{x}" for x in names]))
+    steps, _ = fitted_rates(narrow, names, p)
+    return rated(rows, names, steps, [c for c in docs.columns if c not in made], id_col, p).where("rate > 0")
