@@ -213,7 +213,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a"))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.where("u <> m").select("u", "m")).distinct()
+        large = large.union(least.where("u <> m").select("u", "m"))
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut_lineage(small.union(least.select("u", "m")).distinct())
@@ -236,29 +236,23 @@ def nearest(meetings: DataFrame) -> DataFrame:
     return best.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
 
 
-def linkable(ids: DataFrame, full: DataFrame, p: HyperMinHash) -> DataFrame:
+def linkable(ids: DataFrame, full: DataFrame, p: HyperMinHash, rounds: int = 2) -> DataFrame:
     """(id, n, own) of those ids (id, n, least_n) that can still be linked with another of them.
 
     own counts the shingles that no other of the ids has. A set of n shingles and a
     partner of at least m share n - own at most, so their similarity is at most
     (n - own) / (n + max(m, n - own) - (n - own)). Removing sets makes more shingles single,
-    so this goes on until nothing is removed. Nothing that could be linked is lost.
+    hence the rounds. Nothing that could be linked is lost, however many there are.
     """
-    now = cut_lineage(ids)
-    left = now.count()
-    while left:
+    now = ids
+    for _ in range(rounds):
         spread = full.select("id", "hashes").join(now, "id", "left_semi").select("id", F.explode("hashes").alias("h"))
         single = spread.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
         shared = F.col("n") - F.col("own")
         partner = F.greatest(F.col("least_n"), shared, F.ceil(F.col("n") * p.percent / 100))
         scored = now.drop("own").join(single, "id", "left").fillna(0, ["own"])
-        after = cut_lineage(scored.where(shared * 100 >= (F.col("n") + partner - shared) * p.percent))
-        n = after.count()
-        now, done = after, n == left
-        left = n
-        if done:
-            break
-    return now if "own" in now.columns else now.withColumn("own", F.lit(0).cast("long"))
+        now = cut_lineage(scored.where(shared * 100 >= (F.col("n") + partner - shared) * p.percent))
+    return now
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: HyperMinHash | None = None) -> DataFrame:
@@ -304,7 +298,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return with_both.mapInArrow(_confirmed(p), "a long, b long")
 
     links = cut_lineage(confirmed(estimated(star)))
-    component = cut_lineage(connected_components(links))
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("up"))  # one for each node, and to a lesser id
+    over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    component = up.join(over, "up", "left").select("node", F.coalesce("top", "up").alias("component"))  # part of the true one, which is all that is needed here
+    component = cut_lineage(component.union(component.select("component", "component").distinct()).groupBy("node").agg(F.min("component").alias("component")))
 
     def open_rows(component: DataFrame, ids: DataFrame | None) -> DataFrame:
         """Rows of the buckets whose members are not all in one component."""
@@ -319,7 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hubs = rows.groupBy("band").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_c")), F.struct("own", "id")).alias("h")).select("band", "h.*")
         spokes = nearest(rows.join(hubs, "band").where((F.col("component") != F.col("hub_c")) & ok(F.col("n_shingles"), F.col("hub_n"))).select("hub", "id"))
         links = cut_lineage(links.union(confirmed(estimated(spokes))))
-        component = cut_lineage(connected_components(links))
+        component = connected_components(links)
         rows = cut_lineage(open_rows(component, alive.select("id", "own")))
         other = rows.select("band", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("component").alias("c2"), F.col("own").alias("own2"))
         may = F.least(F.col("n_shingles") - F.col("own"), F.col("n2") - F.col("own2"))  # the most that two sets can share
@@ -327,7 +324,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = rows.join(other, "band").where(near).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
         more = cut_lineage(confirmed(estimated(rest)))
         if not more.isEmpty():
-            component = cut_lineage(connected_components(links.union(more)))
+            component = connected_components(links.union(more))
+    else:
+        component = connected_components(links)
 
     final = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = sketch.select("id", "n_shingles").join(final, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
