@@ -1,10 +1,5 @@
-"""Queries over the driver tables, with the SQL that checks them."""
+"""Queries over the driver tables, with the SQL that checks them, and scans of config files."""
 
-from __future__ import annotations
+from .tables import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
