@@ -11,10 +11,10 @@ Exactness. A pair at or above the threshold shares a band with a chance of
 1 - 3e-7 at the production parameters. Within the buckets no link is lost:
 every member is held against its best bucket leader; members with too many
 shingles of their own to be similar to any other are proven single; the rest
-are held against the bucket's most typical member; and every pair that is
-still in different components is tested. Testing stops only where the answer
-cannot change a component, so the work of a group of copies stays in
-proportion to its members.
+are held against the bucket's most typical member, its hub. Sets close to a hub
+are then compared by how they deviate from it, inside the join, which makes rows
+for links alone; pairs further off are tested on full sets. Testing stops only
+where the answer cannot change a component.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import cut_lineage
@@ -255,6 +255,57 @@ def linkable(ids: DataFrame, full: DataFrame, p: HyperMinHash, rounds: int = 2)
     return now
 
 
+def similar(shared: Column, n: Column, m: Column, p: HyperMinHash) -> Column:
+    return shared * 100 >= (n + m - shared) * p.percent
+
+
+def deviations(pairs: DataFrame, full: DataFrame, p: HyperMinHash) -> DataFrame:
+    """pairs (id, hub, own) with n, hub_n, shared (shingles of both), far (Jaccard distance), gone and fresh.
+
+    gone are the hub's shingles that the set lacks, fresh the set's that the hub lacks. They are kept
+    for sets within 0.3 of the hub, where they are short; others have nulls.
+    """
+    sets = full.select("id", "n", "hashes")
+    hub = full.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("hashes").alias("hub_hashes"))
+    both = pairs.join(sets, "id").join(hub, "hub").withColumns({"gone": F.array_except("hub_hashes", "hashes"), "fresh": F.array_except("hashes", "hub_hashes")})
+    both = both.withColumn("shared", F.col("n") - F.size("fresh"))
+    both = both.withColumn("far", 1 - F.col("shared") / (F.col("hub_n") + F.size("fresh")))
+    kept = lambda c: F.when(F.col("far") <= 0.3, F.col(c)).alias(c)
+    return both.select("id", "hub", "own", "n", "hub_n", "shared", "far", kept("gone"), kept("fresh"))
+
+
+def near_pairs(placed: DataFrame, p: HyperMinHash) -> DataFrame:
+    """Links (a, b) between different components of the sets close to one hub.
+
+    What two sets share follows from how each deviates from the hub, so the join's own condition is
+    the exact test and it makes no row but for a link. Hubs all of whose sets are in one component are left out.
+    """
+    close = placed.where("gone is not null")
+    mixed = close.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
+    close = close.join(mixed, "hub")
+    other = close.select("hub", *[F.col(c).alias(f"{c}_2") for c in ("id", "component", "own", "n", "shared", "gone", "fresh")])
+    x, y = lambda c: F.col(c), lambda c: F.col(f"{c}_2")
+    most = F.least(x("n") - x("own"), y("n") - y("own"))
+    both = x("shared") + y("shared") - F.col("hub_n") + F.size(F.array_intersect(x("gone"), y("gone"))) + F.size(F.array_intersect(x("fresh"), y("fresh")))
+    may = (x("component") != y("component")) & (x("id") < y("id")) & similar(most, x("n"), y("n"), p)
+    return close.join(other, "hub").where(may & similar(both, x("n"), y("n"), p)).select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct()
+
+
+def far_pairs(met: DataFrame, placed: DataFrame, p: HyperMinHash) -> DataFrame:
+    """Candidates (a, b) from bands, of which at least one is too far from the band's hub for near_pairs().
+
+    Jaccard distance is a metric: two similar sets are about as far from the hub, which rules out most.
+    """
+    rows = met.join(placed.select("id", "hub", "component", "own", "n", "far"), ["id", "hub"])
+    mixed = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("far").alias("most")).where("lo <> hi and most > 0.3").select("band")
+    rows = rows.join(mixed, "band").drop("hub")
+    other = rows.select("band", *[F.col(c).alias(f"{c}_2") for c in ("id", "component", "own", "n", "far")])
+    most = F.least(F.col("n") - F.col("own"), F.col("n_2") - F.col("own_2"))
+    apart = F.abs(F.col("far") - F.col("far_2")) <= 1 - p.percent / 100 + 1e-9
+    may = (F.col("component") != F.col("component_2")) & (F.col("id") < F.col("id_2")) & similar(most, F.col("n"), F.col("n_2"), p)
+    return rows.join(other, "band").where((F.greatest("far", "far_2") > 0.3) & apart & may).select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: HyperMinHash | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
@@ -313,16 +364,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alive = linkable(open_rows(component, None).groupBy("id", F.col("n_shingles").alias("n")).agg(F.min("least_n").alias("least_n")), full, p)
     if not alive.isEmpty():
         rows = cut_lineage(open_rows(component, alive.select("id", "own")))
-        hubs = rows.groupBy("band").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_c")), F.struct("own", "id")).alias("h")).select("band", "h.*")
-        spokes = nearest(rows.join(hubs, "band").where((F.col("component") != F.col("hub_c")) & ok(F.col("n_shingles"), F.col("hub_n"))).select("hub", "id"))
-        links = cut_lineage(links.union(confirmed(estimated(spokes))))
-        component = connected_components(links)
-        rows = cut_lineage(open_rows(component, alive.select("id", "own")))
-        other = rows.select("band", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("component").alias("c2"), F.col("own").alias("own2"))
-        may = F.least(F.col("n_shingles") - F.col("own"), F.col("n2") - F.col("own2"))  # the most that two sets can share
-        near = (F.col("component") != F.col("c2")) & (F.col("id") < F.col("id2")) & (may * 100 >= (F.col("n_shingles") + F.col("n2") - may) * p.percent)
-        rest = rows.join(other, "band").where(near).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-        more = cut_lineage(confirmed(estimated(rest)))
+        hubs = rows.groupBy("band").agg(F.min_by("id", F.struct("own", "id")).alias("hub"))
+        met = rows.join(hubs, "band").select("band", "id", "hub", "own", "least_n")
+        offs = cut_lineage(deviations(met.groupBy("id", "hub").agg(F.first("own").alias("own")), full, p))
+        spokes = offs.where((F.col("id") != F.col("hub")) & similar(F.col("shared"), F.col("n"), F.col("hub_n"), p))
+        links = cut_lineage(links.union(spokes.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct())
+        component = cut_lineage(connected_components(links))
+        placed = offs.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = near_pairs(placed, p).union(confirmed(estimated(far_pairs(met.select("band", "id", "hub"), placed, p))))
+        more = cut_lineage(more)
         if not more.isEmpty():
             component = connected_components(links.union(more))
     else:
