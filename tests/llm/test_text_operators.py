@@ -1,0 +1,244 @@
+"""Each operator against a plain version, and on null, empty, long, repeated and odd rows."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from emberline.functions.session import read_table
+from emberline.llm import chat, decontaminate, langid, license, mixing, neardup, pii, quality, rules, secrets
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, kind string, spans string, id long"
+LONG = ("alpha beta gamma delta " * 30_000).strip()
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (4, "one two"), (None, "no id at all here"), (5, LONG), (6, "é😀 naïve 漢字 " * 5)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, and columns whose names operators use too."""
+    return spark.createDataFrame([(i, t, None, "clash", 7) for i, t in ODD], DOC)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return read_table(spark, SF, "documents")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return read_table(spark, SF, "labels")
+
+
+def plain_base(text):
+    spans = []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(2)) >= 6:
+            spans.append((m.start(), 0, "assign", m.end()))
+    spans += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
+
+
+def test_secrets_keep_every_base_span(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    got = secrets.find_secrets(docs).select("doc_id", secrets.span_text(F.col("spans"), ("assign", "access", "hex")).alias("base")).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == len(texts)
+    assert all(r.base == plain_base(texts[r.doc_id] or "") for r in got)
+
+
+def test_secrets_on_hard_texts(spark):
+    texts = ["password= 'hunter22x' Token:abc", "PASSWORD \t= nope12345", "AKIA" + "A" * 16 + " AKIA" + "A" * 15, "f" * 23 + "g" + "0" * 24, "secret=token=abcdef1", "api_key:::abcdef", "é token=ſecret99"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.base for r in secrets.find_secrets(df).select("doc_id", secrets.span_text(F.col("spans"), ("assign", "access", "hex")).alias("base")).collect()}
+    assert got == {i: plain_base(t) for i, t in enumerate(texts)}
+
+
+def test_secrets_novelty_and_masking(spark):
+    text = "the private key is q8Zx3vT1mW9rLk2PfY7uBn5C and the private key is configuration_settings_default"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    spans = secrets.find_secrets(df).where("doc_id = 1").first().spans
+    assert [text[s.start : s.end] for s in spans if s.kind == "novel"] == ["q8Zx3vT1mW9rLk2PfY7uBn5C"]
+    masked = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
+    assert "q8Zx3" not in masked[1] and "configuration_settings_default" in masked[1] and masked[2] is None
+
+
+def test_odd_rows_everywhere(spark, odd, labels):
+    n = len(ODD)
+    assert secrets.find_secrets(odd).count() == n and secrets.redact_secrets(odd).columns == odd.columns
+    assert pii.find_pii(odd).count() == n
+    got = rules.quality_rules(odd).collect()
+    assert len(got) == n and {r.doc_id: r.n_words for r in got}[5] == 120_000 and not any(r.kept for r in got if r.doc_id in (1, 2, 3, 4))
+    scored = quality.quality_scores(odd, labels).collect()
+    assert len(scored) == n and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
+    near = neardup.near_duplicates(odd).collect()
+    assert len(near) == n and {r.doc_id: r.n_shingles for r in near}[5] == 4 and all(r.n_shingles == 0 for r in near if r.doc_id in (1, 2, 3))
+    assert [r.component_id for r in near if r.doc_id == 4] == [4, 4]
+    assert license.licence_scan(odd).count() == n
+    assert mixing.mix(odd, labels).count() == n
+    assert decontaminate.find_leaks(odd, read_table(spark, SF, "benchmark")).count() == 0
+
+
+def test_empty_tables(spark, odd, labels):
+    none = odd.limit(0)
+    for out in (secrets.find_secrets(none), pii.find_pii(none), rules.quality_rules(none), quality.quality_scores(none, labels), neardup.near_duplicates(none), license.licence_scan(none), mixing.mix(none, labels)):
+        assert out.count() == 0
+    unlabelled = quality.quality_scores(odd, labels.limit(0)).collect()
+    assert all(r.score == 0.5 for r in unlabelled)
+    assert decontaminate.find_leaks(odd, read_table(spark, SF, "benchmark").limit(0)).count() == 0
+
+
+def luhn(digits):
+    total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def plain_pii(text):
+    spans = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    spans += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        if 12 <= len(digits) <= 19 and luhn(digits):
+            spans.append((m.start(), 2, "card", m.end()))
+    spans += [(m.start(), 3, "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
+
+
+def test_pii_keeps_every_base_span(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    hard = ["a@b.c.d. x@y z@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 01.002.3.4", "4111 1111-1111 1111 2 4111111111111111", "+1 (555) 010-9999. +123 +1.2.3.4.5.6.7.8.9", "x@a..b u@é.de 漢@a.b", "+4 4111 1111 1111 1111"]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(hard)], "doc_id long, text string"))
+    got = pii.find_pii(df).select("doc_id", secrets.span_text(F.col("spans"), ("email", "ip", "card", "phone")).alias("base")).collect()
+    texts = {r.doc_id: r.text for r in df.collect()}
+    wrong = [(r.doc_id, r.base, plain_pii(texts[r.doc_id] or "")) for r in got if r.base != plain_pii(texts[r.doc_id] or "")]
+    assert len(got) == len(texts) and not wrong
+
+
+def test_quality_is_learnt_without_held_out_rows(spark, labels):
+    big = "/root/testdata/sf0.01"
+    docs, labels = read_table(spark, big, "documents"), read_table(spark, big, "labels")
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    score = lambda lab: {r.doc_id: round(r.score, 9) for r in quality.quality_scores(docs, lab).collect()}
+    first = score(labels)
+    assert first == score(flipped)
+    held = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1").collect()
+    assert sum((first[r.doc_id] >= 0.5) == (r.quality == 1) for r in held) >= 0.95 * len(held)
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+
+
+def test_near_duplicates_match_all_pairs(spark, docs):
+    """Includes a group whose members differ from one base by growing amounts, so that some pairs are just too far."""
+    base = [f"w{i}" for i in range(60)]
+    extra = [(10_000 + k, " ".join("x%d" % k if (i * 7) % 60 < k % 9 else w for i, w in enumerate(base))) for k in range(40)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([*extra, (9_000, None), (9_001, "A B"), (9_002, "a b")], "doc_id long, text string"))
+    sets = {r.doc_id: shingles(r.text) for r in df.collect()}
+    ids, parent = sorted(sets), {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+
+
+def test_rule_order_never_changes_verdicts(spark, docs):
+    some = rules.default_rules()
+    forward = rules.quality_rules(docs, rules=some, sample_rows=5).orderBy("doc_id").collect()
+    assert forward == rules.quality_rules(docs, rules=some[::-1], sample_rows=150).orderBy("doc_id").collect()
+    row = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame([(1, "a b c d e f a b c d e\n#x\n#x\n \n ")], "doc_id long, text string")).collect()}[1]
+    assert (row.n_words, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (13, 2, 1, 10)
+
+
+def test_chat_round_trip_of_hostile_texts(spark):
+    texts = ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "[\\INST]<|>", "<s>", "", None, "<\\s>[/INST]\\", "é😀\n[INST"]
+    rows = [(c, t, ("user", "assistant")[t % 2], texts[(c + t) % len(texts)]) for c in range(9) for t in range(4)] + [(99, None, None, None), (None, 0, "assistant", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(turns.withColumn("parts", chat.text_part(F.coalesce("text", F.lit("")))))
+    got = {r.conv_id: ([(t.role, t.text) for t in r.turns], r.loss) for r in chats.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    for c in range(9):
+        want = [(r, x or "") for k, _, r, x in rows if k == c]
+        assert got[c] == (want, "".join(x for r, x in want if r == "assistant"))
+    assert got[99] == ([("", "")], "") and got[None][1] == "x"
+
+
+def test_chat_parts_become_placeholders(spark):
+    part = "named_struct('type', {}, 'text', {}, 'ref', {}, 'width', {}, 'height', {}, 'seconds', {}, 'pages', {})"
+    image, said = part.format("'image'", "null", "'a.png'", "57", "28", "null", "null"), part.format("'text'", "'see this'", "null", "null", "null", "null", "null")
+    audio, document = part.format("'audio'", "null", "'b.wav'", "null", "null", "2.0D", "null"), part.format("'document'", "null", "'c.pdf'", "null", "null", "null", "2")
+    df = spark.sql(f"select 1L conv_id, 0L turn, 'user' role, cast(array({said}, {image}, {audio}, {document}) as array<{chat.PART}>) parts")
+    row = chat.format_chats(df).first()
+    assert [(a.type, a.ref, a.tokens) for a in row.attachments] == [("image", "a.png", 3), ("audio", "b.wav", 50), ("document", "c.pdf", 1024)]
+    assert row.formatted.index("see this") < row.formatted.index("0")
+
+
+def test_languages_by_fused_evidence(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    half = docs.where("id % 2 = 0")
+    records = docs.where("id % 2 = 1").select(F.lit("document").alias("kind"), "id", F.lit(None).cast("string").alias("address"), "text")
+    got = langid.identify(records, half).join(docs.select("id", F.col("lang").alias("truth")), "id").agg(F.avg((F.col("lang") == F.col("truth")).cast("int"))).first()[0]
+    assert got >= 0.97
+    page = spark.createDataFrame([("page", 1, "http://x.de/", "<html lang='de'><body></body></html>"), ("page", 2, None, None)], "kind string, id long, address string, text string")
+    rows = {r.id: r for r in langid.identify(page, half).collect()}
+    assert rows[1].lang == "de" and rows[1].declared == "de" and rows[2].lang is not None
+
+
+def test_leaks_are_found_and_clean_documents_are_not(spark, docs):
+    bench = read_table(spark, SF, "benchmark")
+    items = {r.item_id: r.text for r in bench.collect()}
+    sentence = docs.where("length(text) > 400").first().text
+    planted = spark.createDataFrame([(10_000 + i, sentence[:150] + " " + t + " " + sentence[:90]) for i, t in items.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(planted, bench).select("doc_id", "item_id").collect()}
+    assert {(10_000 + i, i) for i in items} <= found
+    norm = lambda t: " ".join((t or "").lower().split())
+    held = {r.doc_id for r in docs.collect() if any(norm(t) in norm(r.text) for t in items.values())}
+    leaking = {r.doc_id for r in decontaminate.find_leaks(docs, bench).select("doc_id").collect()}
+    assert held <= leaking and len(leaking - held) <= 0.05 * docs.count()
+
+
+def test_mix_meets_its_targets(spark):
+    big = "/root/testdata/sf0.01"
+    out = mixing.mix(read_table(spark, big, "documents"), read_table(spark, big, "labels")).toPandas()
+    assert (out.rate >= 0).all() and ((out.copies - out.rate).abs() <= 1).all()
+    assert abs(out.copies.mul(out.n_tokens).sum() / out.rate.mul(out.n_tokens).sum() - 1) < 0.1
+
+
+def test_licence_families(spark):
+    text = "Some code follows.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software\n\nbye"
+    got = {r.doc_id: r for r in license.licence_scan(spark.createDataFrame([(1, text), (2, "A plain story about a licence to fish in the river."), (3, None)], "doc_id long, text string")).collect()}
+    assert "mit" in got[1].families.lower() and got[3].n_notices == 0
+
+
+def test_contract_digests(spark):
+    from emberline.llm.queries import op1_secret_novelty
+
+    row = op1_secret_novelty(spark, "/root/testdata/sf0.01").where("n_assign + n_access + n_hex > 0").first()
+    base = ",".join(s for s in row.spans.split(",") if not s.startswith("novel"))
+    assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_pipeline_keeps_the_columns_and_drops_by_stage(spark):
+    import corpus_pipeline as pipe
+
+    docs = read_table(spark, SF, "documents")
+    for _, stage in pipe.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.select("doc_id").subtract(docs.select("doc_id")).count() == 0
+        docs = pipe.cut_lineage(out)
+    good = quality.quality_scores(read_table(spark, SF, "documents"), read_table(spark, SF, "labels")).where("predicted = 1").count()
+    assert 0 < docs.count() <= good
+    last = pipe.STAGES[-1][1](spark, docs, SF)
+    assert set(docs.columns) < set(last.columns) and last.where("rate <= 0").count() == 0
