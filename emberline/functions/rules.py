@@ -188,7 +188,10 @@ def classify(command: Column, args: Column, env_names: Column) -> Column:
     # Arguments after the one that names the server; none at all (or no such argument) means the working folder.
     at = F.array_position(F.transform(args, lambda a: a.contains("server-filesystem")), True)
     rest = F.when(at > 0, F.slice(args, (at + 1).cast("int"), F.greatest(F.size(args) - at, F.lit(0)).cast("int"))).otherwise(F.array().cast("array<string>"))
-    roots = F.filter(F.when(F.size(rest) == 0, texts(["."])).otherwise(rest), lambda a: ~a.startswith("-"))
+    # A value that would be masked in the node's args is no root, so that it never becomes part of an id.
+    masked = redact_args(args)
+    plain = F.filter(F.transform(args, lambda a, i: F.when((i >= at) & ~a.startswith("-") & (F.get(masked, i) == a), a)), lambda a: a.isNotNull())
+    roots = F.when(F.size(rest) == 0, texts(["."])).otherwise(plain)
     one = lambda holds, cap, why: F.array(F.when(holds, reason(capability(cap), why)))
     found = F.concat(
         one(program.isin(*V.SHELLS) | hinted(V.SHELL_HINTS), "exec:shell", "runs shell commands"),

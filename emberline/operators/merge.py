@@ -15,8 +15,8 @@ FILE_KEY = "array<struct<is_dir:boolean,name:string>>"
 PLACE = f"struct<phase:int,file_key:{FILE_KEY},doc:int,step:array<int>>"
 SEQ = f"struct<phase:int,file_key:{FILE_KEY},doc:int,step:array<int>,sub:array<{PLACE}>>"
 
-#: Attributes by the way later emissions change them. last: the last that is not null. union: distinct
-#: values in order of appearance. append: all values in order. ever: true once true.
+#: Attributes by the way later emissions change them. last: the last that is not null. union: the first
+#: list, then what later lists add to those before. append: all values in order. ever: true once true.
 ATTRS = {
     "platform": ("string", "last"), "image": ("string", "last"), "source": ("string", "last"), "namespace": ("string", "last"),
     "automount": ("boolean", "last"), "type": ("string", "last"), "scope": ("string", "last"), "role": ("string", "last"),
@@ -63,8 +63,8 @@ def merge_nodes(emissions: DataFrame, attrs: dict[str, tuple[str, str]] = ATTRS)
             merged = F.when(F.bool_or(value), True)
         else:
             parts = F.array_sort(F.collect_set(F.when(present, F.struct("seq", name))))
-            flat = F.flatten(parts[name])
-            merged = F.when(F.size(parts) > 0, F.array_distinct(flat) if way == "union" else flat)
+            unseen = F.aggregate(parts[name], F.array().cast(attrs[name][0]), lambda have, more: F.concat(have, F.filter(more, lambda x: ~F.array_contains(have, x))))
+            merged = F.when(F.size(parts) > 0, unseen if way == "union" else F.flatten(parts[name]))
         out.append(merged.alias(name))
     merged = emissions.where("id is not null").groupBy("id").agg(*out)
     return merged.select("id", "first.kind", "first.label", "severity", "cited.file", "cited.line", *attrs, "seq")
