@@ -22,7 +22,7 @@ SPAN_SCHEMA = "array<struct<kind:string,start:int,end:int>>"
 # The contract's patterns, in possessive form where giving back characters cannot help.
 EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBERS = re.compile(r"[0-9]")
