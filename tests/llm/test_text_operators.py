@@ -209,6 +209,17 @@ def test_leaks_are_found_and_clean_documents_are_not(spark, docs):
     assert held <= leaking and len(leaking - held) <= 0.05 * docs.count()
 
 
+def test_leaks_that_a_third_of_a_large_table_holds(spark):
+    big = "/root/testdata/sf0.01"
+    bench = read_table(spark, big, "benchmark")
+    item = bench.orderBy("item_id").first()
+    words = [(r.doc_id, (r.text or "").split()) for r in read_table(spark, big, "documents").collect()]
+    rows = [(i, " ".join(w[: len(w) // 2] + item.text.split() + w[len(w) // 2 :] if i % 3 == 0 else w)) for i, w in words]
+    assert sum(-(-len(t.split()) // 24) for _, t in rows) > 10_000
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).where(F.col("item_id") == item.item_id)
+    assert {i for i, _ in rows if i % 3 == 0} <= {r.doc_id for r in found.collect()}
+
+
 def test_mix_meets_its_targets(spark):
     big = "/root/testdata/sf0.01"
     out = mixing.mix(read_table(spark, big, "documents"), read_table(spark, big, "labels")).toPandas()
