@@ -9,6 +9,7 @@ little, key material adds nearly its own length.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -71,6 +72,7 @@ def _scan(p: Novelty, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cue = re.compile("|".join(map(re.escape, CUES)), re.ASCII | re.IGNORECASE)
         run_of = re.compile(rf"[A-Za-z0-9+/_=~!@#$%^&*-]{{{p.least},{p.most}}}")
+        rest_of = re.compile(r"(?:\.?[A-Za-z0-9+/_=~!@#$%^&*-])*+")
         kind_order = {k: i for i, k in enumerate(KINDS)}
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         size = zstandard.ZstdCompressor(level=p.level, dict_data=primed, write_content_size=False)
@@ -83,7 +85,17 @@ def _scan(p: Novelty, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]],
         def spans(text: str) -> list[dict]:
             found = base_spans(text)
             out = [{"kind": k, "start": s, "end": e, "novelty": None} for s, e, k in found]
-            taken = sorted((s, e) for s, e, _ in found)
+            taken: list[list[int]] = []  # merged base spans
+            for s, e in sorted((s, e) for s, e, _ in found):
+                if taken and s <= taken[-1][1]:
+                    taken[-1][1] = max(taken[-1][1], e)
+                else:
+                    taken.append([s, e])
+
+            def covered(start: int, end: int) -> bool:
+                k = bisect_right(taken, start, key=lambda x: x[0]) - 1
+                return k >= 0 and end <= taken[k][1]
+
             done = 0
             for m in cue.finditer(text):
                 stop = m.end() + p.reach
@@ -91,11 +103,17 @@ def _scan(p: Novelty, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]],
                     if c.start() > stop:
                         break
                     done = c.end()
-                    if any(s < c.end() and c.start() < e for s, e in taken):
+                    if covered(*c.span()):
                         continue
                     own = c.group()
                     if any(x.isdigit() for x in own) and any(x.isalpha() for x in own) and (value := novelty(text, *c.span())) >= p.bytes_per_char:
                         out.append({"kind": "novel", "start": c.start(), "end": c.end(), "novelty": value})
+            # The pattern stops inside a value at signs such as '!'; the rest is part of the same secret.
+            novel = [x for x in out if x["kind"] == "novel"]
+            for start, end in [(m.start(2), rest_of.match(text, m.end()).end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_MIN] if found else []:
+                k = bisect_right(novel, start, key=lambda x: x["start"]) - 1
+                if not covered(start, end) and not (k >= 0 and end <= novel[k]["end"]):
+                    out.append({"kind": "novel", "start": start, "end": end, "novelty": novelty(text, start, end)})
             return sorted(out, key=lambda x: (x["start"], kind_order[x["kind"]]))
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.float64())]))
@@ -109,8 +127,8 @@ def _scan(p: Novelty, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]],
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Novelty | None = None) -> DataFrame:
     """(id_col, spans) for every row: kind, start, end (code points, end exclusive) and novelty.
 
-    Kinds assign, access and hex are the fixed patterns; novel spans overlap none
-    of them and stand within reach of a cue. Null and empty texts have no spans.
+    Kinds assign, access and hex are the fixed patterns; novel spans stand within
+    reach of a cue or go on where an assigned value's pattern stops, and may overlap them. Null and empty texts have no spans.
     Rows with a null or repeated id are returned like any other.
     """
     p = params or Novelty()

@@ -65,6 +65,12 @@ def test_secrets_novelty_and_masking(spark):
     assert "q8Zx3" not in masked[1] and "configuration_settings_default" in masked[1] and masked[2] is None
 
 
+def test_secrets_mask_the_rest_of_a_value_behind_a_base_span(spark):
+    texts = ["password = 'Qx7vT2!kP9zLw4#mR8sYb3' ok", "password: Hunter2!xY#9, ok", "secret=correct!horse!battery ok", "password='abcdefgh' ok!"]
+    masked = {r.doc_id: r.text for r in secrets.redact_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert masked == {0: "<secret:assign>' ok", 1: "<secret:assign>, ok", 2: "<secret:assign> ok", 3: "<secret:assign>' ok!"}
+
+
 def test_odd_rows_everywhere(spark, odd, labels):
     n = len(ODD)
     assert secrets.find_secrets(odd).count() == n and secrets.redact_secrets(odd).columns == odd.columns
