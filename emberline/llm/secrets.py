@@ -35,8 +35,9 @@ SPAN_SCHEMA = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 
 @dataclass(frozen=True)
 class Novelty:
-    """context: code points on either side that prime the compressor. reach: how far before a
-    candidate a cue may stand. bytes_per_char: least marginal compressed bytes for each code point.
+    """least: code points of a candidate's first run. most: code points tested at once; a candidate goes
+    on to its real end, over dots and the lines of a private key. context: code points on either side that
+    prime the compressor. reach: how far before a candidate a cue may stand. bytes_per_char: least marginal compressed bytes for each code point.
     dictionary_bytes and names bound the identifier dictionary that every task gets.
     """
 
@@ -71,8 +72,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def _scan(p: Novelty, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cue = re.compile("|".join(map(re.escape, CUES)), re.ASCII | re.IGNORECASE)
-        run_of = re.compile(rf"[A-Za-z0-9+/_=~!@#$%^&*-]{{{p.least},{p.most}}}")
+        run_of = re.compile(rf"[A-Za-z0-9+/_=~!@#$%^&*-]{{{p.least}}}")
         rest_of = re.compile(r"(?:\.?[A-Za-z0-9+/_=~!@#$%^&*-])*+")
+        mark = re.compile(r"-----(BEGIN|END)([A-Z0-9 ]*)-----")
+        gap = r"(?:\\[rnt]?|[\s\"',>#*|;])"
+        key_lines = re.compile(rf"(?:{gap}++[A-Za-z0-9+/=]++)*+")
+        open_lines = re.compile(rf"(?:{gap}++[A-Za-z0-9-]+:[^\n]*+)*+(?:{gap}++[A-Za-z0-9+/=]{{16,}}+)*+")
         kind_order = {k: i for i, k in enumerate(KINDS)}
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         size = zstandard.ZstdCompressor(level=p.level, dict_data=primed, write_content_size=False)
@@ -82,7 +87,24 @@ def _scan(p: Novelty, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]],
             known = len(size.compress(around.encode()))
             return (len(size.compress((around + text[start:end]).encode())) - known) / (end - start)
 
+        def novelty_of_run(text: str, start: int, end: int) -> float | None:
+            """The novelty of the first part of a run, most characters long at most, that is novel enough; the whole run goes with it."""
+            for s in range(start, end, p.most):
+                e = min(end, s + p.most)
+                s = max(start, e - p.most)
+                own = text[s:e]
+                if any(x.isdigit() for x in own) and any(x.isalpha() for x in own) and (value := novelty(text, s, e)) >= p.bytes_per_char:
+                    return value
+            return None
+
+        def key_blocks(text: str) -> list[tuple[int, int, int]]:
+            """Start and end of each BEGIN line of a private key, and the end of its block: the next marker, or the last of its lines."""
+            marks = list(mark.finditer(text)) if "-----BEGIN" in text else []
+            after = [m.start() for m in marks[1:]]
+            return [(m.start(), m.end(), after[k] if k < len(after) else open_lines.match(text, m.end()).end()) for k, m in enumerate(marks) if m[1] == "BEGIN" and "PRIVATE KEY" in m[2]]
+
         def spans(text: str) -> list[dict]:
+            keys = key_blocks(text)
             found = base_spans(text)
             out = [{"kind": k, "start": s, "end": e, "novelty": None} for s, e, k in found]
             taken: list[list[int]] = []  # merged base spans
@@ -98,16 +120,20 @@ def _scan(p: Novelty, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]],
 
             done = 0
             for m in cue.finditer(text):
-                stop = m.end() + p.reach
-                for c in run_of.finditer(text, max(done, m.end()), min(len(text), stop + p.most)):
-                    if c.start() > stop:
-                        break
-                    done = c.end()
-                    if covered(*c.span()):
-                        continue
-                    own = c.group()
-                    if any(x.isdigit() for x in own) and any(x.isalpha() for x in own) and (value := novelty(text, *c.span())) >= p.bytes_per_char:
-                        out.append({"kind": "novel", "start": c.start(), "end": c.end(), "novelty": value})
+                stop, last = m.end() + p.reach, m.end()
+                k = bisect_right(keys, m.start(), key=lambda x: x[0]) - 1
+                if k >= 0 and m.start() < keys[k][1]:  # in the BEGIN line of a private key, whose block is all in reach
+                    stop = last = keys[k][2]
+                at = max(done, m.end())
+                while c := run_of.search(text, at, min(len(text), stop + p.least)):
+                    start, end = c.start(), rest_of.match(text, c.end()).end()
+                    reported = covered(start, end)
+                    value = novelty(text, start, end) if reported else novelty_of_run(text, start, end)
+                    if (reported or value is not None) and end < last:
+                        end = key_lines.match(text, end, last).end()
+                    if value is not None and not covered(start, end):
+                        out.append({"kind": "novel", "start": start, "end": end, "novelty": value})
+                    at = done = end
             # The pattern stops inside a value at signs such as '!'; the rest is part of the same secret.
             novel = [x for x in out if x["kind"] == "novel"]
             for start, end in [(m.start(2), rest_of.match(text, m.end()).end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_MIN] if found else []:
