@@ -58,58 +58,75 @@ def with_features(docs: DataFrame, text_col: str) -> DataFrame:
     ).drop("_text")
 
 
-def train_domains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, p: Mix) -> tuple[list[str], PipelineModel | None]:
+def train_domains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, p: Mix) -> tuple[list[str], list[str], PipelineModel | None]:
+    """The domains, those of them that the labelled rows of docs still have, and the model of the latter."""
     names = sorted(p.targets)
     chosen = domain_labels(labels, id_col).where(F.col("domain").isin(names)).orderBy(F.xxhash64("id"), "id").limit(p.train_rows)
-    code = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("domain")).cast("double") - 1
-    rows = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(chosen), "id").withColumn("_label", code)
-    rows = cut_lineage(with_features(rows, text_col).select("_label", "_words", "_capitals", "_symbols", "_repeats").repartition(6))
-    if rows.select("_label").distinct().count() < 2:
-        return names, None
+    rows = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(chosen), "id")
+    rows = cut_lineage(with_features(rows, text_col).select("domain", "_words", "_capitals", "_symbols", "_repeats").repartition(6))
+    present = sorted(r["domain"] for r in rows.select("domain").distinct().collect())
+    if len(present) < 2:
+        return names, present, None
+    rows = rows.withColumn("_label", F.array_position(F.array(*[F.lit(x) for x in present]), F.col("domain")).cast("double") - 1)
     steps = [
         HashingTF(inputCol="_words", outputCol="_hashed", numFeatures=p.features, binary=True),
         VectorAssembler(inputCols=["_hashed", "_capitals", "_symbols", "_repeats"], outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_p", family="multinomial", regParam=0.003, elasticNetParam=0.5, maxIter=60, standardization=True),
     ]
-    return names, Steps(stages=steps).fit(rows)
+    return names, present, Steps(stages=steps).fit(rows)
 
 
-def posteriors(docs: DataFrame, names: list[str], model: PipelineModel | None, text_col: str) -> DataFrame:
-    """docs with _tokens and one column p_<domain> for each domain."""
+def posteriors(docs: DataFrame, names: list[str], present: list[str], model: PipelineModel | None, text_col: str) -> DataFrame:
+    """docs with _tokens and one column p_<domain> for each domain, 0 for one without labelled rows."""
     rows = with_features(docs, text_col)
     if model is None:
         return rows.drop("_words", "_capitals", "_symbols", "_repeats").select("*", *[F.lit(1.0 / len(names)).alias(f"p_{x}") for x in names])
     made = model.transform(rows).withColumn("_p", vector_to_array("_p"))
-    known = model.stages[-1].numClasses
-    out = [(F.get("_p", k) if k < known else F.lit(0.0)).alias(f"p_{x}") for k, x in enumerate(names)]
+    out = [(F.get("_p", present.index(x)) if x in present else F.lit(0.0)).alias(f"p_{x}") for x in names]
     return made.select(*docs.columns, "_tokens", *out)
 
 
-def fitted_rates(rows: DataFrame, names: list[str], p: Mix) -> tuple[list[np.ndarray], np.ndarray]:
+def fitted_rates(rows: DataFrame, names: list[str], present: list[str], p: Mix) -> tuple[list[np.ndarray], np.ndarray]:
     """Steps of the projected descent from rate 1, as coefficients of the posteriors, and the last domain totals.
 
     The objective is the squared distance of domain totals from the targets, in the norm
     of the inverse of M = sum(tokens * p p') over documents with a positive rate; in the
     metric of tokens its gradient at a document is -p . M^-1 (target - total), and 1 is a safe step.
+
+    Only domains that labelled rows and posteriors still have are aimed at. Where the totals stay off by
+    over a hundredth, or a domain loses more mass to rate 0 than its target calls for (and a hundredth), the
+    domain furthest short of its target is given up and the descent starts again for the others.
     """
-    k, steps, total = len(names), [], np.zeros(len(names))
+    k = len(names)
     ps = [F.col(f"p_{x}") for x in names]
-    want = np.array([p.targets[x] for x in names]) / sum(p.targets.values())
-    goal = None
-    for _ in range(p.steps):
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def state(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         rate = rate_column(names, steps)
         mass = F.col("_tokens") * rate
         active = F.when(rate > 0, F.col("_tokens")).otherwise(0)
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
         got = rows.agg(*[F.coalesce(F.sum(mass * x), F.lit(0.0)) for x in ps], *[F.coalesce(F.sum(active * ps[i] * ps[j]), F.lit(0.0)) for i, j in pairs]).first()
-        total, m = np.array(got[:k], float), np.zeros((k, k))
+        m = np.zeros((k, k))
         for (i, j), v in zip(pairs, got[k:], strict=True):
             m[i, j] = m[j, i] = v
-        goal = want * total.sum() if goal is None else goal
-        if goal.sum() <= 0 or np.abs(goal - total).sum() <= p.tolerance * goal.sum():
-            break
-        steps.append(np.linalg.lstsq(m, goal - total, rcond=1e-9)[0])
-    return steps, total
+        return np.array(got[:k], float), m
+
+    first, m_first = state([])
+    aimed = [i for i, x in enumerate(names) if x in present and p.targets[x] > 0 and first[i] > 0] if len(present) > 1 else []
+    while len(aimed) > 1:
+        share = np.array([p.targets[names[i]] for i in aimed])
+        goal = share / share.sum() * first[aimed].sum()
+        steps, total, m = [], first, m_first
+        while np.abs(goal - total[aimed]).sum() > p.tolerance * goal.sum() and len(steps) < p.steps:
+            step = np.zeros(k)
+            step[aimed] = np.linalg.lstsq(m[np.ix_(aimed, aimed)], goal - total[aimed], rcond=1e-9)[0]
+            steps.append(step)
+            total, m = state(steps)
+        kept = m[aimed].sum(axis=1)  # posteriors add up to 1, so this is each domain's mass at a positive rate
+        if np.abs(goal - total[aimed]).sum() <= 0.01 * goal.sum() and (kept >= np.minimum(goal, first[aimed]) - 0.01 * first[aimed]).all():
+            return steps, total
+        aimed.pop(int(np.argmax(goal / first[aimed])))
+    return [], first
 
 
 def rate_column(names: list[str], steps: list[np.ndarray]):  # noqa: ANN201
@@ -126,14 +143,14 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rate rounded up or down by a hash of the id, so that sums are right on average.
     Null and empty texts have no tokens and take the rate that their posterior gives.
     Null ids and repeated rows are each rated; other columns are ignored. With fewer
-    than two labelled domains the posteriors are flat; a domain without
-    any mass keeps its total of 0, whatever its target.
+    than two labelled domains the posteriors are flat and every rate is 1; targets are
+    shared out among the domains that can meet theirs, see fitted_rates().
     """
     p = params or Mix()
     texts = docs.select(F.col(id_col), F.col(text_col))
-    names, model = train_domains(texts, labels, id_col, text_col, p)
-    rows = cut_lineage(posteriors(texts, names, model, text_col).drop(text_col))
-    return rated(rows, names, fitted_rates(rows, names, p)[0], [id_col], id_col, p)
+    names, present, model = train_domains(texts, labels, id_col, text_col, p)
+    rows = cut_lineage(posteriors(texts, names, present, model, text_col).drop(text_col))
+    return rated(rows, names, fitted_rates(rows, names, present, p)[0], [id_col], id_col, p)
 
 
 def rated(rows: DataFrame, names: list[str], steps: list[np.ndarray], keep: list[str], id_col: str, p: Mix) -> DataFrame:
@@ -151,9 +168,9 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     instead of being carried through a join. A column of docs that mix() makes is replaced.
     """
     p = params or Mix()
-    names, model = train_domains(docs.select(id_col, text_col), labels, id_col, text_col, p)
+    names, present, model = train_domains(docs.select(id_col, text_col), labels, id_col, text_col, p)
     made = {"n_tokens", "domain", "rate", "copies", "_tokens", *[f"p_{x}" for x in names]}
-    rows = posteriors(docs.select(*[c for c in docs.columns if c not in made]), names, model, text_col)
+    rows = posteriors(docs.select(*[c for c in docs.columns if c not in made]), names, present, model, text_col)
     narrow = cut_lineage(rows.select("_tokens", *[f"p_{x}" for x in names]))
-    steps, _ = fitted_rates(narrow, names, p)
+    steps, _ = fitted_rates(narrow, names, present, p)
     return rated(rows, names, steps, [c for c in docs.columns if c not in made], id_col, p).where("rate > 0")

@@ -247,6 +247,18 @@ def test_mix_meets_its_targets(spark):
     assert abs(out.copies.mul(out.n_tokens).sum() / out.rate.mul(out.n_tokens).sum() - 1) < 0.1
 
 
+@pytest.mark.parametrize("junk_left", [0, 3])
+def test_mix_keeps_clean_documents_when_junk_is_gone(spark, junk_left):
+    big = "/root/testdata/sf0.01"
+    labels, docs = read_table(spark, big, "labels"), read_table(spark, big, "documents")
+    junk = mixing.domain_labels(labels).where("domain = 'junk'").orderBy("id").offset(junk_left)
+    docs = docs.join(mixing.domain_labels(labels).select(F.col("id").alias("doc_id")), "doc_id", "left_semi").join(junk.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    clean = docs.join(mixing.domain_labels(labels).where("domain = 'clean'").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").count()
+    kept = mixing.mixed_documents(docs, labels).where("n_tokens > 0").join(mixing.domain_labels(labels).where("domain = 'clean'").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").count()
+    print("kept", junk_left, kept, "of", clean)
+    assert kept >= 0.95 * clean > 0
+
+
 def test_licence_families(spark):
     text = "Some code follows.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software\n\nbye"
     got = {r.doc_id: r for r in license.licence_scan(spark.createDataFrame([(1, text), (2, "A plain story about a licence to fish in the river."), (3, None)], "doc_id long, text string")).collect()}
