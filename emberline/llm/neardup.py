@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,8 @@ class HyperMinHash:
     size are sketched with one hash function per bucket, since a single hash
     leaves most buckets empty; sets up to small / threshold get both bandings,
     so that a pair on either side of the border still meets. estimate_registers: how many go into
-    the estimate; slack is then over five of its standard deviations below the threshold.
+    the estimate; slack is over five of its standard deviations below the threshold where all of them are
+    used, and pairs with fewer used ones are ruled out by least_same() only.
     """
 
     width: int = 4
@@ -159,6 +161,28 @@ def _full_sets(p: HyperMinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def least_same(p: HyperMinHash, chance: float = 1e-7) -> np.ndarray:
+    """For each number of used registers, the count of equal ones that a pair at the threshold falls below with at most that chance."""
+    out = np.zeros(p.estimate_registers + 1, np.int64)
+    for used in range(p.estimate_registers + 1):
+        below, same = 0.0, 0
+        while same < used:
+            below += comb(used, same) * (p.percent / 100) ** same * (1 - p.percent / 100) ** (used - same)
+            if below > chance:
+                break
+            same += 1
+        out[used] = same
+    return out
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, p: HyperMinHash, least: np.ndarray) -> bool:
+    """Whether the full sets have to decide: few used registers say little, so they rule out less."""
+    if (n_a < p.small) != (n_b < p.small):  # two kinds of registers can't be compared
+        return True
+    used = (a != EMPTY) | (b != EMPTY)
+    return int(((a == b) & used).sum()) >= least[int(used.sum())] or estimate(a, b, n_a, n_b, p) >= p.percent / 100 - p.slack
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, p: HyperMinHash) -> float:
     """Jaccard from registers, less the matches that chance alone would give."""
     used = (a != EMPTY) | (b != EMPTY)
@@ -170,16 +194,14 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, p: HyperMinHash)
 
 
 def _estimates(p: HyperMinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, n_a, registers_a, n_b, registers_b) to (a, b, estimate)."""
+    """(a, b, n_a, registers_a, n_b, registers_b) to the pairs (a, b) that may be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = least_same(p)
         for batch in batches:
             c = batch.to_pydict()
-            got = []
-            for n_a, r_a, n_b, r_b in zip(c["n_a"], c["registers_a"], c["n_b"], c["registers_b"], strict=True):
-                mixed = (n_a < p.small) != (n_b < p.small)  # two kinds of registers can't be compared: the full sets decide
-                got.append(1.0 if mixed else estimate(np.frombuffer(r_a, np.uint16), np.frombuffer(r_b, np.uint16), n_a, n_b, p))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got, pa.float64())], names=["a", "b", "estimate"])
+            keep = [may_link(np.frombuffer(r_a, np.uint16), np.frombuffer(r_b, np.uint16), n_a, n_b, p, least) for n_a, r_a, n_b, r_b in zip(c["n_a"], c["registers_a"], c["n_b"], c["registers_b"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -341,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def estimated(pairs: DataFrame) -> DataFrame:
         with_b = pairs.join(side("b", "n", "registers"), "b")
         with_both = with_b.join(side("a", "n", "registers"), "a").select("a", "b", "n_a", "registers_a", "n_b", "registers_b")
-        return with_both.mapInArrow(_estimates(p), "a long, b long, estimate double").where(F.col("estimate") >= p.percent / 100 - p.slack)
+        return with_both.mapInArrow(_estimates(p), "a long, b long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_b = pairs.select("a", "b").join(side("b", "hashes"), "b")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,19 @@ def test_near_duplicates_match_all_pairs(spark, docs):
     assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
 
 
+def test_estimates_of_small_sets_rule_out_no_link():
+    p, random = neardup.HyperMinHash(), np.random.default_rng(3)
+    least, old = neardup.least_same(p), 0
+    for n in (64, 81, 100, 128):
+        own = n // 9  # of n + own shingles of both, n - own are shared: 0.8
+        for _ in range(1500):
+            h = random.integers(0, 2**64, n + own, dtype=np.uint64)
+            a, b = (neardup.bucket_registers(np.sort(x), p)[: p.estimate_registers] for x in (h[:n], h[own:]))
+            old += neardup.estimate(a, b, n, n, p) < p.percent / 100 - p.slack
+            assert neardup.may_link(a, b, n, n, p, least)
+    assert old > 0
+
+
 def test_rule_order_never_changes_verdicts(spark, docs):
     some = rules.default_rules()
     forward = rules.quality_rules(docs, rules=some, sample_rows=5).orderBy("doc_id").collect()
