@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from types import TracebackType
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +27,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named in spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none, which is the
-    case in local runs and tests.
+    A folder of our own is made only where the session names none and the master
+    is local; on a cluster a folder of one machine would be of no use to the others.
     """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberline-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -43,5 +47,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared checkpoint folder, for the time of a with block.
+
+    Unlike checkpoints they are compressed and read by column, and their sizes are
+    known to the planner. They are gone after the block: what leaves it has to be
+    cut off before (cut_lineage).
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.made = spark, 0
+        self.root = f"{ensure_checkpoint_dir(spark)}/emberline-{uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        self.remove(self.root)
+
+    def remove(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def store(self, df: DataFrame, thin: bool = False) -> DataFrame:
+        """df written and read back. thin: rows of a few numbers, for which a file for each core is enough."""
+        path, self.made = f"{self.root}/{self.made}", self.made + 1
+        (df.coalesce(self.spark.sparkContext.defaultParallelism) if thin else df).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
