@@ -3,18 +3,19 @@
 Every distinct shingle set gets compressed registers: a leading-zero count and
 a few mantissa bits of the smallest hash in each bucket. Bands of registers
 give candidates, the collision-corrected estimate thins them, and the full
-shingle sets confirm what is left. Links are made between class
-representatives (texts with the same set share one), never between all pairs
-of a group.
-
-Exactness. A pair at or above the threshold shares a band with a chance of
-1 - 3e-7 at the production parameters. Within the buckets no link is lost:
-every member is held against its best bucket leader; members with too many
-shingles of their own to be similar to any other are proven single; the rest
-are held against the bucket's most typical member, its hub. Sets close to a hub
-are then compared by how they deviate from it, inside the join, which makes rows
-for links alone; pairs further off are tested on full sets. Testing stops only
-where the answer cannot change a component.
+shingle sets confirm what is left. Links are made between classes (texts with
+the same set are one), never between all pairs of a group.
+
+Exactness. A pair at or above the threshold shares a band but for a chance of
+5e-8 at the production parameters. Among sets that share bands no link is lost:
+
+1. Every set is held against one leader, the one that leads most of its bands.
+2. Bands whose sets are in one component by then are closed. In the others, a
+   set too many of whose shingles no other open set has can't be similar to any.
+3. What is left is held against its band's hub, the most typical set. A set y
+   that is not similar to the hub can be similar to a set x only if both differ
+   from the hub in common shingles, so x is looked up by the rarest of those
+   (see deviations()), and the pairs found are held against each other.
 """
 
 from __future__ import annotations
@@ -25,37 +26,36 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import cut_lineage
+from ..functions.session import Scratch, cut_lineage
 from .textvec import mix64, pieces, shingle_hashes, words
 
 EMPTY = 0xFFFF
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 @dataclass(frozen=True)
 class HyperMinHash:
     """Parameters of sketch and bands.
 
-    index_bits: 2**index_bits buckets. mantissa_bits: kept after the leading
-    one. bands x rows registers are used for banding. small: sets below this
-    size are sketched with one hash function per bucket, since a single hash
-    leaves most buckets empty; sets up to small / threshold get both bandings,
-    so that a pair on either side of the border still meets. estimate_registers: how many go into
-    the estimate; slack is over five of its standard deviations below the threshold where all of them are
-    used, and pairs with fewer used ones are ruled out by least_same() only.
+    width: words of a shingle. percent: least similarity. index_bits: 2**index_bits buckets.
+    mantissa_bits: kept after the leading one. bands x rows registers are used for banding, where a
+    bucket that a set leaves empty borrows from another. chance: how often the estimate may rule out
+    a pair at the threshold. hot_share: classes with at least this share of all rows are looked up by
+    broadcast, so there are 1 / hot_share of them at most. broadcast_rows: bound of a broadcast list of ids.
     """
 
-    width: int = 4
+    width: int = 5
     percent: int = 80
-    index_bits: int = 9
+    index_bits: int = 7
     mantissa_bits: int = 10
-    bands: int = 64
-    rows: int = 7
-    small: int = 64
-    estimate_registers: int = 128
-    slack: float = 0.2
+    bands: int = 32
+    rows: int = 4
+    chance: float = 1e-9
+    hot_share: float = 0.001
+    broadcast_rows: int = 1_000_000
 
 
 def compress(value: np.ndarray, mantissa_bits: int) -> np.ndarray:
@@ -76,38 +76,48 @@ def bucket_registers(sorted_hashes: np.ndarray, p: HyperMinHash) -> np.ndarray:
     return out
 
 
+def random_walks(p: HyperMinHash) -> np.ndarray:
+    buckets = 1 << p.index_bits
+    return (mix64(np.arange(1, 257 * buckets + 1, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64).reshape(257, buckets)
+
+
 def filled(registers: np.ndarray, probes: np.ndarray) -> np.ndarray:
     """Empty buckets borrow from buckets that a fixed random walk of their own visits."""
-    out, empty = registers.copy(), registers == EMPTY
+    out = registers.copy()
+    row, bucket = np.nonzero((registers == EMPTY) & (registers != EMPTY).any(axis=1)[:, None])
     for walk in probes:
-        if not empty.any():
+        if not len(row):
             return out
-        got = registers[:, walk]
-        take = empty & (got != EMPTY)
-        out[take] = got[take]
-        empty &= ~take
-    for row in np.flatnonzero(empty.any(axis=1)):
-        have = np.flatnonzero(registers[row] != EMPTY)
-        if len(have):
-            at = np.searchsorted(have, probes[-1][empty[row]]) % len(have)
-            out[row, empty[row]] = registers[row, have[at]]
+        got = registers[row, walk[bucket]]
+        have = got != EMPTY
+        out[row[have], bucket[have]] = got[have]
+        row, bucket = row[~have], bucket[~have]
+    for r, b in zip(row, bucket, strict=True):
+        have = np.flatnonzero(registers[r] != EMPTY)
+        out[r, b] = registers[r, have[np.searchsorted(have, probes[-1][b]) % len(have)]]
     return out
 
 
-def many_hash_registers(hashes: np.ndarray, p: HyperMinHash) -> np.ndarray:
-    seeds = mix64(np.arange(1, (1 << p.index_bits) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    return compress(mix64(hashes[:, None] ^ seeds[None, :]).min(axis=0), p.mantissa_bits)
-
-
-def band_keys(registers: np.ndarray, p: HyperMinHash, salt: int) -> np.ndarray:
+def band_keys(registers: np.ndarray, p: HyperMinHash) -> np.ndarray:
     """One 64-bit key for each row and band."""
     used = registers[:, : p.bands * p.rows].astype(np.uint64).reshape(len(registers), p.bands, p.rows)
-    key = np.broadcast_to(mix64(np.arange(p.bands, dtype=np.uint64) * np.uint64(2) + np.uint64(salt + 1)), used.shape[:2]).copy()
+    key = np.broadcast_to(mix64(np.arange(p.bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1 << 20)), used.shape[:2]).copy()
     for k in range(p.rows):
         key = mix64(key ^ (used[:, :, k] + np.uint64((k + 1) << 20)))
     return key.view(np.int64)
 
 
+def as_binary(registers: np.ndarray) -> pa.Array:
+    size = registers.shape[1] * registers.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(registers), [None, pa.py_buffer(np.arange(len(registers) + 1, dtype=np.int32) * size), pa.py_buffer(np.ascontiguousarray(registers))])
+
+
+def as_registers(column: pa.Array, p: HyperMinHash) -> np.ndarray:
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint16).reshape(len(column), 1 << p.index_bits)
+
+
 def distinct_sets(column: pa.Array, p: HyperMinHash) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, the sorted distinct shingle hashes of each row) by runs of rows."""
     for row, end, data, offsets in pieces(column):
@@ -116,120 +126,134 @@ def distinct_sets(column: pa.Array, p: HyperMinHash) -> Iterator[tuple[int, list
         yield row, [np.unique(hashes[at[k] : at[k + 1]]) for k in range(end - row)]
 
 
-def _sketches(p: HyperMinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sketches(p: HyperMinHash) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = 1 << p.index_bits
-        probes = (mix64(np.arange(1, 257 * buckets + 1, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64).reshape(257, buckets)
         for batch in batches:
-            ids = batch.column(0)
-            for row, sets in distinct_sets(batch.column(1), p):
-                n = np.array([len(s) for s in sets], np.int64)
+            for row, sets in distinct_sets(batch.column(2), p):
                 with np.errstate(over="ignore"):
                     print_a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                     print_b = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                keys: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sets)
-                large = np.flatnonzero(n >= p.small)
-                if len(large):
-                    made = band_keys(filled(np.stack([bucket_registers(sets[k], p) for k in large]), probes), p, 1 << 20)
-                    for k, own in zip(large, made, strict=True):
-                        keys[k] = own
-                small = np.flatnonzero((n > 0) & (n * p.percent <= p.small * 100))
-                if len(small):
-                    made = band_keys(np.stack([many_hash_registers(sets[k], p) for k in small]), p, 2 << 20)
-                    for k, own in zip(small, made, strict=True):
-                        keys[k] = np.concatenate([keys[k], own])
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(sets)), pa.array(n), pa.array(print_a), pa.array(print_b), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))],
-                    names=["id", "n_shingles", "print_a", "print_b", "bands"],
+                    [batch.column(0).slice(row, len(sets)), batch.column(1).slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(print_a), pa.array(print_b), as_binary(np.stack([bucket_registers(s, p) for s in sets]))],
+                    names=["id", "text_hash", "n_shingles", "print_a", "print_b", "registers"],
                 )
 
     return run
 
 
-def _full_sets(p: HyperMinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _bands(p: HyperMinHash) -> Batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = random_walks(p)
+        for batch in batches:
+            if len(batch):
+                keys = band_keys(filled(as_registers(batch.column(1), p), probes), p)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), p.bands)), pa.array(keys.ravel())], names=["node", "band"])
+
+    return run
+
+
+def _full_sets(p: HyperMinHash) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for row, sets in distinct_sets(batch.column(1), p):
-                registers = [(bucket_registers(s, p) if len(s) >= p.small else many_hash_registers(s, p))[: p.estimate_registers].tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(registers, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["id", "n", "registers", "hashes"],
+                    [batch.column(0).slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), as_binary(np.stack([bucket_registers(s, p) for s in sets])), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    names=["node", "n", "registers", "hashes"],
                 )
 
     return run
 
 
-def least_same(p: HyperMinHash, chance: float = 1e-7) -> np.ndarray:
+def least_same(p: HyperMinHash) -> np.ndarray:
     """For each number of used registers, the count of equal ones that a pair at the threshold falls below with at most that chance."""
-    out = np.zeros(p.estimate_registers + 1, np.int64)
-    for used in range(p.estimate_registers + 1):
+    most, share = 1 << p.index_bits, p.percent / 100
+    out = np.zeros(most + 1, np.int64)
+    for used in range(most + 1):
         below, same = 0.0, 0
         while same < used:
-            below += comb(used, same) * (p.percent / 100) ** same * (1 - p.percent / 100) ** (used - same)
-            if below > chance:
+            below += comb(used, same) * share**same * (1 - share) ** (used - same)
+            if below > p.chance:
                 break
             same += 1
         out[used] = same
     return out
 
 
-def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, p: HyperMinHash, least: np.ndarray) -> bool:
-    """Whether the full sets have to decide: few used registers say little, so they rule out less."""
-    if (n_a < p.small) != (n_b < p.small):  # two kinds of registers can't be compared
-        return True
+def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, p: HyperMinHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Jaccard of each pair from registers, less the matches that chance alone would give; the used registers; the chance."""
     used = (a != EMPTY) | (b != EMPTY)
-    return int(((a == b) & used).sum()) >= least[int(used.sum())] or estimate(a, b, n_a, n_b, p) >= p.percent / 100 - p.slack
-
-
-def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, p: HyperMinHash) -> float:
-    """Jaccard from registers, less the matches that chance alone would give."""
-    used = (a != EMPTY) | (b != EMPTY)
-    same = int(((a == b) & used).sum())
-    ratio = max(n_a, n_b) / max(1, min(n_a, n_b))
+    same, n_used = ((a == b) & used).sum(axis=1), used.sum(axis=1)
+    ratio = np.maximum(n_a, n_b) / np.maximum(1, np.minimum(n_a, n_b))
     # Fixed value: expected share of chance matches for one mantissa bit less than none.
     chance = 0.169919487159739 * 4 * ratio / (1 + ratio) ** 2 / 2**p.mantissa_bits
-    return max(0.0, same / max(1, int(used.sum())) - chance) / (1 - chance)
+    return np.maximum(0.0, same / np.maximum(1, n_used) - chance) / (1 - chance), n_used, chance
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, p: HyperMinHash, least: np.ndarray) -> np.ndarray:
+    """Which pairs the full sets have to decide: few used registers say little, so they rule out less."""
+    value, used, chance = estimates(a, b, n_a, n_b, p)
+    return value >= np.maximum(0.0, least[used] / np.maximum(1, used) - chance) / (1 - chance) - 1e-12
 
 
-def _estimates(p: HyperMinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, n_a, registers_a, n_b, registers_b) to the pairs (a, b) that may be similar enough."""
+def lists(column: pa.Array) -> list[np.ndarray]:
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return [flat[at[k] : at[k + 1]] for k in range(len(column))]
+
+
+def is_in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the sorted x are in the sorted y."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+
+
+def _verified(p: HyperMinHash) -> Batches:
+    """(a, b, registers and hashes of both) to the pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = least_same(p)
         for batch in batches:
-            c = batch.to_pydict()
-            keep = [may_link(np.frombuffer(r_a, np.uint16), np.frombuffer(r_b, np.uint16), n_a, n_b, p, least) for n_a, r_a, n_b, r_b in zip(c["n_a"], c["registers_a"], c["n_b"], c["registers_b"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not len(batch):
+                continue
+            x, y = lists(batch.column("hashes_a")), lists(batch.column("hashes_b"))
+            n_x, n_y = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+            keep = may_link(as_registers(batch.column("registers_a"), p), as_registers(batch.column("registers_b"), p), n_x, n_y, p, least)
+            keep &= np.minimum(n_x, n_y) * 100 >= np.maximum(n_x, n_y) * p.percent
+            for k in np.flatnonzero(keep):
+                both = int(is_in(x[k], y[k]).sum())
+                keep[k] = 100 * both >= p.percent * (n_x[k] + n_y[k] - both)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _confirmed(p: HyperMinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, hashes_a, hashes_b) to the pairs whose full sets are similar enough."""
+def _deviations(p: HyperMinHash) -> Batches:
+    """(node, hub, component, hashes, hub_hashes) to (node, hub, component, linked, size, need, tokens); see deviations()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for s, t in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
-                x, y = s.values.to_numpy().view(np.uint64), t.values.to_numpy().view(np.uint64)
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(100 * both >= p.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            linked, size, need, tokens = [], [], [], []
+            for own, hub in zip(lists(batch.column("hashes")), lists(batch.column("hub_hashes")), strict=True):
+                differ = np.concatenate([own[~is_in(own, hub)], hub[~is_in(hub, own)]])
+                over = len(differ) * (100 + p.percent) - (len(own) + len(hub)) * (100 - p.percent)
+                linked.append(over <= 0)
+                size.append(len(differ))
+                need.append(max(1, -(-over // (2 * (100 + p.percent)))))
+                tokens.append(differ.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("hub"), batch.column("component"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(need, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
+                names=["node", "hub", "component", "linked", "size", "need", "tokens"],
+            )
 
     return run
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b); component is the least node reachable.
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) for every node of edges (a, b) but those that are their own component; component is the least node reachable.
 
     Alternates the large-star and small-star steps until no edge changes, each
     step an aggregation and a join, so a hub is never gathered in one task.
     """
     state_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = scratch.store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), thin=True)
     seen = state_of(now)
     while seen[0]:
         both = now.union(now.select("b", "a"))
@@ -238,94 +262,65 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.union(least.where("u <> m").select("u", "m"))
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut_lineage(small.union(least.select("u", "m")).distinct())
+        now = scratch.store(small.union(least.select("u", "m")).distinct(), thin=True)
         state = state_of(now)
         if state == seen:
             break
         seen = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def keep_ids(texts: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows of texts whose id is in ids: by broadcast while the counted ids stay under the bound, else by shuffle."""
-    return texts.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "id", "left_semi")
+def nearest(bands: DataFrame) -> DataFrame:
+    """(a, b): for each node b the leader a of the most of its bands, the least of equals."""
+    met = bands.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
+    return met.groupBy(F.col("node").alias("b")).agg(F.max_by("leader", F.struct("c", F.negative("leader"))).alias("a")).select("a", "b")
 
 
-def nearest(meetings: DataFrame) -> DataFrame:
-    """(a, b) with a < b: for each id the hub that it meets in the most buckets, the least of equals."""
-    met = meetings.groupBy("hub", "id").agg(F.count("*").alias("c"))
-    best = met.groupBy("id").agg(F.max_by("hub", F.struct("c", F.negative("hub"))).alias("hub"))
-    return best.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+def open_bands(rows: DataFrame) -> DataFrame:
+    """Those rows (band, component, n, ..) whose band holds more than one component, with least_n of the band."""
+    mixed = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi").select("band", "least_n")
+    return rows.join(mixed, "band")
 
 
-def linkable(ids: DataFrame, full: DataFrame, p: HyperMinHash, rounds: int = 2) -> DataFrame:
-    """(id, n, own) of those ids (id, n, least_n) that can still be linked with another of them.
+def linkable(rows: DataFrame, sets: DataFrame, p: HyperMinHash) -> DataFrame:
+    """(node, own) of those nodes of rows (node, n, least_n) that can still be similar to another of them.
 
-    own counts the shingles that no other of the ids has. A set of n shingles and a
-    partner of at least m share n - own at most, so their similarity is at most
-    (n - own) / (n + max(m, n - own) - (n - own)). Removing sets makes more shingles single,
-    hence the rounds. Nothing that could be linked is lost, however many there are.
+    own counts the shingles that no other of the nodes has. A set of n shingles and a partner of m share
+    n - own at most, and m is at least least_n, what they share, and percent of n; so their similarity is at
+    most (n - own) / (n + m - (n - own)). Nothing that could be linked is lost, however many there are.
     """
-    now = ids
-    for _ in range(rounds):
-        spread = full.select("id", "hashes").join(now, "id", "left_semi").select("id", F.explode("hashes").alias("h"))
-        single = spread.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
-        shared = F.col("n") - F.col("own")
-        partner = F.greatest(F.col("least_n"), shared, F.ceil(F.col("n") * p.percent / 100))
-        scored = now.drop("own").join(single, "id", "left").fillna(0, ["own"])
-        now = cut_lineage(scored.where(shared * 100 >= (F.col("n") + partner - shared) * p.percent))
-    return now
-
-
-def similar(shared: Column, n: Column, m: Column, p: HyperMinHash) -> Column:
-    return shared * 100 >= (n + m - shared) * p.percent
-
-
-def deviations(pairs: DataFrame, full: DataFrame, p: HyperMinHash) -> DataFrame:
-    """pairs (id, hub, own) with n, hub_n, shared (shingles of both), far (Jaccard distance), gone and fresh.
-
-    gone are the hub's shingles that the set lacks, fresh the set's that the hub lacks. They are kept
-    for sets within 0.3 of the hub, where they are short; others have nulls.
+    nodes = rows.groupBy("node", "n").agg(F.min("least_n").alias("least_n"))
+    spread = sets.join(nodes, "node", "left_semi").select("node", F.explode("hashes").alias("h"))
+    single = spread.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    shared = F.col("n") - F.col("own")
+    partner = F.greatest(F.col("least_n"), shared, F.ceil(F.col("n") * p.percent / 100))
+    scored = nodes.join(single, "node", "left").fillna(0, ["own"])
+    return scored.where(shared * 100 >= (F.col("n") + partner - shared) * p.percent).select("node", "own")
+
+
+def deviations(met: DataFrame, sets: DataFrame, p: HyperMinHash) -> DataFrame:
+    """met (node, hub, component) with linked, size, need and tokens, the shingles that only one of node and hub has.
+
+    Let x and y be linked, d(x) the tokens of x, n(x) its shingles and t the threshold. The sets differ in
+    |d(x)| + |d(y)| - 2 |d(x) & d(y)| shingles, (n(x) + n(y)) (1 - t) / (1 + t) at most, and n(x) is n(hub) + |d(x)|
+    at most. So |d(x) & d(y)| is at least half of |d(y)| - (n(hub) + n(y)) (1 - t) / (1 + t), which is above 0
+    just when y is not linked to the hub. That is `need`. All but need - 1 of y's tokens hold one of x's.
     """
-    sets = full.select("id", "n", "hashes")
-    hub = full.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("hashes").alias("hub_hashes"))
-    both = pairs.join(sets, "id").join(hub, "hub").withColumns({"gone": F.array_except("hub_hashes", "hashes"), "fresh": F.array_except("hashes", "hub_hashes")})
-    both = both.withColumn("shared", F.col("n") - F.size("fresh"))
-    both = both.withColumn("far", 1 - F.col("shared") / (F.col("hub_n") + F.size("fresh")))
-    kept = lambda c: F.when(F.col("far") <= 0.3, F.col(c)).alias(c)
-    return both.select("id", "hub", "own", "n", "hub_n", "shared", "far", kept("gone"), kept("fresh"))
+    own, hubs = sets.select("node", "hashes"), sets.select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes"))
+    both = met.join(own, "node").join(hubs, "hub").select("node", "hub", "component", "hashes", "hub_hashes")
+    return both.mapInArrow(_deviations(p), "node long, hub long, component long, linked boolean, size long, need long, tokens array<long>")
 
 
-def near_pairs(placed: DataFrame, p: HyperMinHash) -> DataFrame:
-    """Links (a, b) between different components of the sets close to one hub.
-
-    What two sets share follows from how each deviates from the hub, so the join's own condition is
-    the exact test and it makes no row but for a link. Hubs all of whose sets are in one component are left out.
-    """
-    close = placed.where("gone is not null")
-    mixed = close.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub")
-    close = close.join(mixed, "hub")
-    other = close.select("hub", *[F.col(c).alias(f"{c}_2") for c in ("id", "component", "own", "n", "shared", "gone", "fresh")])
-    x, y = lambda c: F.col(c), lambda c: F.col(f"{c}_2")
-    most = F.least(x("n") - x("own"), y("n") - y("own"))
-    both = x("shared") + y("shared") - F.col("hub_n") + F.size(F.array_intersect(x("gone"), y("gone"))) + F.size(F.array_intersect(x("fresh"), y("fresh")))
-    may = (x("component") != y("component")) & (x("id") < y("id")) & similar(most, x("n"), y("n"), p)
-    return close.join(other, "hub").where(may & similar(both, x("n"), y("n"), p)).select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct()
-
-
-def far_pairs(met: DataFrame, placed: DataFrame, p: HyperMinHash) -> DataFrame:
-    """Candidates (a, b) from bands, of which at least one is too far from the band's hub for near_pairs().
-
-    Jaccard distance is a metric: two similar sets are about as far from the hub, which rules out most.
-    """
-    rows = met.join(placed.select("id", "hub", "component", "own", "n", "far"), ["id", "hub"])
-    mixed = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("far").alias("most")).where("lo <> hi and most > 0.3").select("band")
-    rows = rows.join(mixed, "band").drop("hub")
-    other = rows.select("band", *[F.col(c).alias(f"{c}_2") for c in ("id", "component", "own", "n", "far")])
-    most = F.least(F.col("n") - F.col("own"), F.col("n_2") - F.col("own_2"))
-    apart = F.abs(F.col("far") - F.col("far_2")) <= 1 - p.percent / 100 + 1e-9
-    may = (F.col("component") != F.col("component_2")) & (F.col("id") < F.col("id_2")) & similar(most, F.col("n"), F.col("n_2"), p)
-    return rows.join(other, "band").where((F.greatest("far", "far_2") > 0.3) & apart & may).select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct()
+def by_rare_tokens(dev: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share one of the rarest tokens of one of them, which is not linked to the hub."""
+    rows = dev.select("hub", "node", "component", "linked", "size", "need", F.explode("tokens").alias("token"))
+    common = rows.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.join(common, ["hub", "token"])
+    lists_ = rows.where("not linked").groupBy("hub", "node", "component", "size", "need").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
+    lists_ = lists_.where(F.size("found") >= F.col("need")).withColumn("found", F.slice("found", F.lit(1), (F.size("found") - F.col("need") + 1).cast("int")))
+    asked = lists_.select("hub", F.col("node").alias("y"), F.col("component").alias("of_y"), F.explode("found.token").alias("token"))
+    found = asked.join(rows.select("hub", "token", "node", "component"), ["hub", "token"]).where("y <> node and of_y <> component")
+    return found.select(F.least("y", "node").alias("a"), F.greatest("y", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: HyperMinHash | None = None) -> DataFrame:
@@ -335,71 +330,101 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct word shingles (A-Z lower-cased, words split at the ASCII space
     characters). component_id is the least id that links reach.
 
-    A null, empty or wordless text has no shingles and is linked with nothing.
-    A row with a null id is returned with a null component and kept true. Rows
-    that repeat an id are each returned, and share one component. Other columns are ignored.
+    A null, empty or wordless text has no shingles and is linked with nothing. Rows that repeat an id
+    are each judged by their own text; kept says that the id is the component's least, so of equal rows
+    each is kept. A row with a null id takes part like any other; it is kept only where no row of its
+    component has an id. Other columns are ignored. An empty table gives no rows.
+    """
+    out = _judged(docs, id_col, text_col, params or HyperMinHash())
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: HyperMinHash | None = None) -> DataFrame:
+    """docs with one row of each component, that of the least id; columns as before.
+
+    Of rows that repeat both id and text one stays; rows that repeat an id with another text
+    are judged by that text. A row with a null id goes if a row with an id is in its component; components
+    without any id keep one row of each different text. Null, empty and wordless texts are in no group. An empty table stays empty.
     """
     p = params or HyperMinHash()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = cut_lineage(texts.mapInArrow(_sketches(p), "id long, n_shingles long, print_a long, print_b long, bands array<long>"))
-    with_set = sketch.where("id is not null and n_shingles > 0")
-    prints = ["n_shingles", "print_a", "print_b"]
-    classes = with_set.groupBy(*prints).agg(F.min("id").alias("rep"))
-    members = cut_lineage(with_set.select("id", *prints).join(classes, prints).select("id", "rep", "n_shingles").distinct())
-
-    reps = with_set.join(members.where("id = rep").select(F.col("id").alias("r"), F.col("n_shingles").alias("rn")), (F.col("id") == F.col("r")) & (F.col("n_shingles") == F.col("rn")))
-    rows = reps.select("id", "n_shingles", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("leader"), F.min_by("n_shingles", "id").alias("leader_n")).where("c > 1").drop("c")
-    buckets = cut_lineage(rows.join(shared, "band"))
-
-    ok = lambda n, m: (F.least(n, m) * 100 >= F.greatest(n, m) * p.percent)  # noqa: E731  sizes further apart can't be similar enough
-    star = nearest(buckets.where((F.col("id") != F.col("leader")) & ok(F.col("n_shingles"), F.col("leader_n"))).select(F.col("leader").alias("hub"), "id"))
-    bucketed = buckets.select("id").distinct()
-    full = cut_lineage(keep_ids(texts, bucketed).dropDuplicates(["id"]).mapInArrow(_full_sets(p), "id long, n long, registers binary, hashes array<long>"))
-
-    def side(which: str, *cols: str) -> DataFrame:
-        return full.select(F.col("id").alias(which), *[F.col(c).alias(f"{c}_{which}") for c in cols])
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.join(side("b", "n", "registers"), "b")
-        with_both = with_b.join(side("a", "n", "registers"), "a").select("a", "b", "n_a", "registers_a", "n_b", "registers_b")
-        return with_both.mapInArrow(_estimates(p), "a long, b long")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.select("a", "b").join(side("b", "hashes"), "b")
-        with_both = with_b.join(side("a", "hashes"), "a").select("a", "b", "hashes_a", "hashes_b")
-        return with_both.mapInArrow(_confirmed(p), "a long, b long")
-
-    links = cut_lineage(confirmed(estimated(star)))
-    up = links.select(F.col("b").alias("node"), F.col("a").alias("up"))  # one for each node, and to a lesser id
-    over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-    component = up.join(over, "up", "left").select("node", F.coalesce("top", "up").alias("component"))  # part of the true one, which is all that is needed here
-    component = cut_lineage(component.union(component.select("component", "component").distinct()).groupBy("node").agg(F.min("component").alias("component")))
-
-    def open_rows(component: DataFrame, ids: DataFrame | None) -> DataFrame:
-        """Rows of the buckets whose members are not all in one component."""
-        placed = buckets.select("band", "id", "n_shingles") if ids is None else buckets.select("band", "id", "n_shingles").join(ids, "id")
-        placed = placed.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_shingles").alias("least_n")).where("lo <> hi").select("band", "least_n")
-        return placed.join(mixed, "band")
-
-    alive = linkable(open_rows(component, None).groupBy("id", F.col("n_shingles").alias("n")).agg(F.min("least_n").alias("least_n")), full, p)
-    if not alive.isEmpty():
-        rows = cut_lineage(open_rows(component, alive.select("id", "own")))
-        hubs = rows.groupBy("band").agg(F.min_by("id", F.struct("own", "id")).alias("hub"))
-        met = rows.join(hubs, "band").select("band", "id", "hub", "own", "least_n")
-        offs = cut_lineage(deviations(met.groupBy("id", "hub").agg(F.first("own").alias("own")), full, p))
-        spokes = offs.where((F.col("id") != F.col("hub")) & similar(F.col("shared"), F.col("n"), F.col("hub_n"), p))
-        links = cut_lineage(links.union(spokes.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct())
-        component = cut_lineage(connected_components(links))
-        placed = offs.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        more = near_pairs(placed, p).union(confirmed(estimated(far_pairs(met.select("band", "id", "hub"), placed, p))))
-        more = cut_lineage(more)
-        if not more.isEmpty():
-            component = connected_components(links.union(more))
-    else:
-        component = connected_components(links)
-
-    final = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = sketch.select("id", "n_shingles").join(final, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    judged = _judged(docs, id_col, text_col, p)
+    dropped = cut_lineage(judged.where("not kept").select(F.col("id").alias("_dropped_id"), F.col("text_hash").alias("_dropped_hash")).distinct())
+    dropped = F.broadcast(dropped) if dropped.count() <= p.broadcast_rows else dropped
+    key = [docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))]
+    out = docs.join(dropped, key[0].eqNullSafe(F.col("_dropped_id")) & (key[1] == F.col("_dropped_hash")), "left_anti")
+    if judged.where("kept and n_shingles > 0").groupBy("id", "text_hash").count().where("count > 1").isEmpty():
+        return out
+    is_group = F.coalesce(F.trim(F.translate(docs[text_col].cast("string"), "\t\n\x0b\f\r", " ")) != "", F.lit(False))
+    first = out.where(is_group).groupBy(*[k.alias(f"_k{n}") for n, k in enumerate(key)]).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("_row"))
+    return first.select("_row.*").unionByName(out.where(~is_group))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, p: HyperMinHash) -> DataFrame:
+    """(id, text_hash, n_shingles, component_id, kept) of every row of docs, cut off."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        sketches = scratch.store(texts.mapInArrow(_sketches(p), "id long, text_hash long, n_shingles long, print_a long, print_b long, registers binary"))
+        classes = _classes(sketches, scratch)
+        component = _components(texts, classes, scratch, p)
+        return cut_lineage(_by_row(sketches, classes, component, scratch, p))
+
+
+PRINTS = ("n_shingles", "print_a", "print_b")
+
+
+def _classes(sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, prints, least_id, text_hash, copies, registers), a row for each different set; id and text_hash name one of its texts."""
+    grouped = sketches.where("n_shingles > 0").groupBy(*PRINTS).agg(F.min("id").alias("least_id"), F.coalesce(F.min_by("text_hash", "id"), F.first("text_hash")).alias("text_hash"), F.count("*").alias("copies"), F.first("registers").alias("registers"))
+    return scratch.store(grouped.withColumn("node", F.monotonically_increasing_id()))
+
+
+def _components(texts: DataFrame, classes: DataFrame, scratch: Scratch, p: HyperMinHash) -> DataFrame:
+    """(node, component) of the classes that are linked with another, but for each component's least node."""
+    rows = classes.select("node", "registers").mapInArrow(_bands(p), "node long, band long")
+    shared = rows.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("leader")).where("c > 1")
+    bands = scratch.store(rows.join(shared, "band").select("band", "node", "leader"))
+    wanted = scratch.store(classes.select("node", F.col("n_shingles").alias("n"), F.col("least_id").alias("id"), F.col("text_hash").alias("hash")).join(bands.select("node").distinct(), "node", "left_semi"))
+    n_wanted = wanted.count()
+    if not n_wanted:
+        return bands.select("node", F.col("node").alias("component")).limit(0)
+
+    asked = wanted.select("node", F.col("id").alias("wanted_id"), "hash")
+    asked = F.broadcast(asked) if n_wanted <= p.broadcast_rows else asked
+    picked = texts.join(asked, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
+    sets = scratch.store(picked.mapInArrow(_full_sets(p), "node long, n long, registers binary, hashes array<long>"))
+    if sets.count() > n_wanted:  # rows that repeat both id and text
+        sets = scratch.store(sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "registers", "hashes")]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("registers").alias(f"registers_{x}"), F.col("hashes").alias(f"hashes_{x}"))
+        return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verified(p), "a long, b long")
+
+    links = scratch.store(verified(nearest(bands)), thin=True)
+    up, over = links.select(F.col("b").alias("node"), F.col("a").alias("up")), links.select(F.col("b").alias("up"), F.col("a").alias("top"))
+    part = up.join(over, "up", "left").select("node", F.coalesce("top", "up").alias("component"))  # part of the true component, which is all that is needed here
+    placed = wanted.select("node", "n").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = scratch.store(open_bands(bands.select("band", "node").join(placed, "node")))
+    left = scratch.store(open_bands(left.drop("least_n").join(linkable(left, sets, p), "node")).drop("least_n"))
+    if not left.isEmpty():
+        hubs = left.groupBy("band").agg(F.min_by("node", F.struct("own", "node")).alias("hub"))
+        met = left.join(hubs, "band").where("node <> hub").groupBy("node", "hub").agg(F.first("component").alias("component"))
+        dev = scratch.store(deviations(met, sets, p))
+        spokes = dev.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        links = links.union(spokes).union(scratch.store(verified(by_rare_tokens(dev)), thin=True))
+    return connected_components(links, scratch)
+
+
+def _by_row(sketches: DataFrame, classes: DataFrame, component: DataFrame, scratch: Scratch, p: HyperMinHash) -> DataFrame:
+    """(id, text_hash, n_shingles, component_id, kept) of every sketch."""
+    members = component.union(component.select("component", "component").distinct()).join(classes.select("node", "least_id"), "node")
+    least = members.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = members.join(least, "component").select("node", "component_id")
+    table = classes.select("node", *PRINTS, "least_id", "copies").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "least_id"))
+    table = scratch.store(table.where("copies > 1 or not component_id <=> least_id").select(*PRINTS, "copies", "component_id"))
+    rows = sketches.select("id", "text_hash", *PRINTS)
+    is_hot = F.col("copies") >= max(1000, p.hot_share * sketches.count())
+    rows = rows.join(F.broadcast(table.where(is_hot).select(*PRINTS, F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))), list(PRINTS), "left")
+    cold = rows.where("hot is null").drop("hot", "hot_id").join(table.where(~is_hot).select(*PRINTS, "component_id"), list(PRINTS), "left")
+    out = cold.select("id", "text_hash", "n_shingles", "component_id").union(rows.where("hot").select("id", "text_hash", "n_shingles", "hot_id"))
+    component_id = F.coalesce("component_id", "id")
+    return out.withColumn("component_id", component_id).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

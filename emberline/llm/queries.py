@@ -13,7 +13,7 @@ from .decontaminate import find_leaks
 from .langid import identify
 from .license import licence_scan
 from .mixing import mix
-from .neardup import near_duplicates
+from .neardup import HyperMinHash, near_duplicates
 from .pii import find_pii
 from .quality import quality_scores
 from .rules import quality_rules
@@ -65,7 +65,7 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), params=HyperMinHash(width=4))
 
 
 OP7_SQL = r"""

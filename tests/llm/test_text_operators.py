@@ -94,7 +94,7 @@ def test_odd_rows_everywhere(spark, odd, labels):
     assert len(got) == n and {r.doc_id: r.n_words for r in got}[5] == 120_000 and not any(r.kept for r in got if r.doc_id in (1, 2, 3, 4))
     scored = quality.quality_scores(odd, labels).collect()
     assert len(scored) == n and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
-    near = neardup.near_duplicates(odd).collect()
+    near = neardup.near_duplicates(odd, params=FOUR).collect()
     assert len(near) == n and {r.doc_id: r.n_shingles for r in near}[5] == 4 and all(r.n_shingles == 0 for r in near if r.doc_id in (1, 2, 3))
     assert [r.component_id for r in near if r.doc_id == 4] == [4, 4]
     assert license.licence_scan(odd).count() == n
@@ -148,17 +148,16 @@ def test_quality_is_learnt_without_held_out_rows(spark, labels):
     assert sum((first[r.doc_id] >= 0.5) == (r.quality == 1) for r in held) >= 0.95 * len(held)
 
 
+FOUR = neardup.HyperMinHash(width=4)
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     return {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
 
 
-def test_near_duplicates_match_all_pairs(spark, docs):
-    """Includes a group whose members differ from one base by growing amounts, so that some pairs are just too far."""
-    base = [f"w{i}" for i in range(60)]
-    extra = [(10_000 + k, " ".join("x%d" % k if (i * 7) % 60 < k % 9 else w for i, w in enumerate(base))) for k in range(40)]
-    df = docs.select("doc_id", "text").union(spark.createDataFrame([*extra, (9_000, None), (9_001, "A B"), (9_002, "a b")], "doc_id long, text string"))
-    sets = {r.doc_id: shingles(r.text) for r in df.collect()}
+def plain_components(texts):
+    sets = {i: shingles(t) for i, t in texts.items()}
     ids, parent = sorted(sets), {i: i for i in sets}
 
     def root(i):
@@ -172,21 +171,72 @@ def test_near_duplicates_match_all_pairs(spark, docs):
             if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
-    assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
-
-
-def test_estimates_of_small_sets_rule_out_no_link():
-    p, random = neardup.HyperMinHash(), np.random.default_rng(3)
-    least, old = neardup.least_same(p), 0
-    for n in (64, 81, 100, 128):
-        own = n // 9  # of n + own shingles of both, n - own are shared: 0.8
-        for _ in range(1500):
-            h = random.integers(0, 2**64, n + own, dtype=np.uint64)
-            a, b = (neardup.bucket_registers(np.sort(x), p)[: p.estimate_registers] for x in (h[:n], h[own:]))
-            old += neardup.estimate(a, b, n, n, p) < p.percent / 100 - p.slack
-            assert neardup.may_link(a, b, n, n, p, least)
-    assert old > 0
+    return {i: root(i) for i in ids}
+
+
+def test_near_duplicates_match_all_pairs(spark, docs):
+    """Includes a group whose members differ from one base by growing amounts, so that some pairs are just too far."""
+    base = [f"w{i}" for i in range(60)]
+    extra = [(10_000 + k, " ".join("x%d" % k if (i * 7) % 60 < k % 9 else w for i, w in enumerate(base))) for k in range(40)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([*extra, (9_000, None), (9_001, "A B"), (9_002, "a b")], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    want = plain_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, params=FOUR).collect()}
+    assert got == {i: (len(shingles(t)), want[i], want[i] == i) for i, t in texts.items()}
+
+
+def pairs_at_the_threshold(n, count, random):
+    """Sets of n shingle hashes of which as many are shared as makes a similarity of 0.8, or just above."""
+    own = n // 9
+    for _ in range(count):
+        h = random.integers(0, 2**64, n + own, dtype=np.uint64)
+        yield np.sort(h[:n]), np.sort(h[own:])
+
+
+@pytest.mark.parametrize("n", [9, 18, 40, 64, 72, 100, 150, 300])
+def test_bands_and_estimates_lose_no_pair_at_the_threshold(n):
+    p, random = neardup.HyperMinHash(), np.random.default_rng(n)
+    least, walks = neardup.least_same(p), neardup.random_walks(p)
+    pairs = list(pairs_at_the_threshold(n, 4000, random))
+    a, b = (np.stack([neardup.bucket_registers(x[k], p) for x in pairs]) for k in (0, 1))
+    size = np.full(len(pairs), n)
+    assert neardup.may_link(a, b, size, size, p, least).all()
+    same = neardup.band_keys(neardup.filled(a, walks), p) == neardup.band_keys(neardup.filled(b, walks), p)
+    assert same.any(axis=1).all()
+
+
+def test_sets_far_from_every_leader_keep_their_links(spark):
+    """Chains that drift away from a crowd: each text is linked with the next only, and some edits are shared by many."""
+    random = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for chain in range(12):
+        now = list(base)
+        for step in range(8):
+            at = random.integers(0, 116)
+            now[at : at + 2] = [f"c{chain % 3}s{step}a{random.integers(3)}", f"c{chain % 3}s{step}"]
+            rows.append((len(rows), " ".join(now)))
+    rows += [(1000 + k, " ".join(w if random.random() > 0.02 else f"r{k}x{i}" for i, w in enumerate(base))) for k in range(150)]
+    sets, want = {i: shingles(t) for i, t in rows}, plain_components(dict(rows))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), params=FOUR).collect()}
+    assert got == want and 1 < len(set(want.values())) < len(sets)
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(7, text), (7, text), (7, "quite another text of some words"), (None, text + " tail"), (None, "alone in the world with no id"), (None, None), (9, text.upper())]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), params=FOUR).collect()), key=str)
+    assert got == sorted([(7, 47, 7, True), (7, 47, 7, True), (7, 3, 7, True), (None, 48, 7, False), (None, 4, None, True), (None, 0, None, True), (9, 47, 7, False)], key=str)
+
+
+def test_one_row_of_each_group_stays(spark, odd):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(7, text, 1), (7, text, 2), (7, "quite another text of some words", 3), (None, text + " tail", 4), (None, "alone in the world with no id", 5), (None, None, 6), (None, None, 7), (9, text.upper(), 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    got = neardup.keep_one(df)
+    assert got.columns == df.columns
+    ids = sorted(r.id for r in got.collect())
+    assert ids in ([1, 3, 5, 6, 7], [2, 3, 5, 6, 7])
+    assert neardup.keep_one(odd).count() == len(ODD) - 1 and neardup.keep_one(odd.limit(0)).count() == 0
 
 
 def test_rule_order_never_changes_verdicts(spark, docs):
