@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions.session import cut_lineage, read_table
 from emberline.llm.decontaminate import drop_leaking
 from emberline.llm.mixing import mixed_documents
-from emberline.llm.neardup import near_duplicates
+from emberline.llm.neardup import keep_one
 from emberline.llm.quality import keep_good
 from emberline.llm.secrets import redact_secrets
 
@@ -19,9 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least id. Rows that repeat an id are one group too."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies, over shingles of five words: that with the least id."""
+    return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
