@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +34,11 @@ def is_credential_name(name: Column) -> Column:
     return name.rlike(f"(?iu)({any_of(V.CREDENTIAL_WORDS)})") & ~name.rlike(f"(?iu)({any_of(V.NOT_CREDENTIAL_ENDINGS)})\\n?\\z")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -69,14 +74,14 @@ def capability(name: Column | str) -> Column:
 
 def host_path_severity(path: Column, read_only: Column) -> Column:
     """4, or 8 below sensitive prefixes, less 2 if read-only. The prefix needs no path boundary."""
-    sensitive = path.rlike(r"^(/etc|/root|/home|/var/lib|/var/run|/run|~|\$HOME)")
+    sensitive = path.rlike(V.SENSITIVE_PATHS)
     return F.when(sensitive, 8).otherwise(4) - F.when(read_only, 2).otherwise(0)
 
 
 def host_path_capability(path: Column) -> Column:
     """The capability that a mount of path amounts to, null for other paths."""
-    socket = F.regexp_replace(path, "/+$", "").isin("/var/run/docker.sock", "/run/docker.sock")
-    return F.when(socket, "host:docker").when(path.isin("/", "/proc", "/sys", "/dev"), "host:root")
+    socket = F.regexp_replace(path, "/+$", "").isin(*V.DOCKER_SOCKETS)
+    return F.when(socket, "host:docker").when(path.isin(*V.HOST_ROOTS), "host:root")
 
 
 def host_path(path: Column, read_only: Column) -> Column:
@@ -87,7 +92,7 @@ def host_path(path: Column, read_only: Column) -> Column:
 
 
 def fs_severity(path: Column, write: Column) -> Column:
-    broad = path.isin("/", "~", "$HOME", ".") | path.rlike(r"^(/Users/[^/]+|/home/[^/]+|~)/?\n?\z")
+    broad = path.isin(*V.BROAD_ROOTS) | path.rlike(V.BROAD_ROOT)
     return F.when(write, 5).otherwise(3) + F.when(broad, 3).otherwise(0)
 
 
@@ -140,21 +145,20 @@ def reads_secrets(verbs: Column, resources: Column) -> Column:
 
 def redact(arg: Column) -> Column:
     """arg without user information in URLs, values of secret-like flags and long opaque tokens."""
-    arg = F.regexp_replace(arg, r"(?U)(\w+://)[^/@\s]+@", "$1***@")
-    flag = r"(?iuU)^(--?[\w.-]*(?:key|token|secret|passw|pwd|auth)[\w.-]*[=:])(?-U:.+)$"
-    opaque = arg.rlike(r"^[A-Za-z0-9_\-+/=.]{24,}$") & arg.rlike("[a-z]") & arg.rlike("[A-Z]") & arg.rlike("[0-9]") & ~arg.startswith("/")
-    return F.when(arg.rlike(flag), F.concat(F.regexp_extract(arg, flag, 1), F.lit("***"))).when(opaque, "***").otherwise(arg)
+    arg = F.regexp_replace(arg, V.URL_USER, "$1***@")
+    opaque = arg.rlike(V.OPAQUE) & arg.rlike("[a-z]") & arg.rlike("[A-Z]") & arg.rlike("[0-9]") & ~arg.startswith("/")
+    return F.when(arg.rlike(V.SECRET_FLAG), F.concat(F.regexp_extract(arg, V.SECRET_FLAG, 1), F.lit("***"))).when(opaque, "***").otherwise(arg)
 
 
 def redact_args(args: Column) -> Column:
     """args, each redacted; what follows a credential-named flag is masked whole."""
 
-    def one(arg: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(args, i - 1), F.lit(""))
+    def one(all_: Column, arg: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(all_, i - 1), F.lit(""))
         named = F.replace(F.regexp_replace(before, "^-+", ""), F.lit("-"), F.lit("_"))
         return F.when(before.startswith("-") & is_credential_name(named), "***").otherwise(redact(arg))
 
-    return F.transform(args, one)
+    return bound(args, lambda all_: F.transform(all_, lambda arg, i: one(all_, arg, i)))
 
 
 # Launch commands.
@@ -181,6 +185,11 @@ def docker_reason(args: Column, arg: Column, i: Column) -> Column:
 
 def classify(command: Column, args: Column, env_names: Column) -> Column:
     """What a launch command gives: array of (target, why), in a fixed order; several may hold."""
+    read = F.struct(command.alias("command"), args.alias("args"), redact_args(args).alias("masked"))
+    return bound(read, lambda r: reasons(r["command"], r["args"], r["masked"], env_names))
+
+
+def reasons(command: Column, args: Column, masked: Column, env_names: Column) -> Column:
     text = F.lower(F.concat_ws(" ", command, args))
     program = F.lower(base_name(command))
     hinted = lambda words: text.rlike(any_of(words))
@@ -188,9 +197,8 @@ def classify(command: Column, args: Column, env_names: Column) -> Column:
     # Arguments after the one that names the server; none at all (or no such argument) means the working folder.
     at = F.array_position(F.transform(args, lambda a: a.contains("server-filesystem")), True)
     rest = F.when(at > 0, F.slice(args, (at + 1).cast("int"), F.greatest(F.size(args) - at, F.lit(0)).cast("int"))).otherwise(F.array().cast("array<string>"))
-    # A value that would be masked in the node's args is no root, so that it never becomes part of an id.
-    masked = redact_args(args)
-    plain = F.filter(F.transform(args, lambda a, i: F.when((i >= at) & ~a.startswith("-") & (F.get(masked, i) == a), a)), lambda a: a.isNotNull())
+    # A root is named as it is masked in the node's args, so that no secret becomes part of an id.
+    plain = bound(at, lambda k: F.filter(F.transform(args, lambda a, i: F.when((i >= k) & ~a.startswith("-"), F.get(masked, i))), lambda a: a.isNotNull()))
     roots = F.when(F.size(rest) == 0, texts(["."])).otherwise(plain)
     one = lambda holds, cap, why: F.array(F.when(holds, reason(capability(cap), why)))
     found = F.concat(

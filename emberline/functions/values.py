@@ -88,5 +88,21 @@ FACTORIES = {
 BODY_CALLS = {"subprocess": "exec:shell", "os.system": "exec:shell", "os.popen": "exec:shell", "eval": "exec:code", "exec": "exec:code", "requests": "net:http", "httpx": "net:http", "urllib.request": "net:http"}
 AGENT_WORDS = ("langchain", "@tool", "langgraph")
 
-# Labels a workload carries to be an agent, kept from the input format.
-COMPOSE_AGENT_LABEL, K8S_AGENT_LABEL = "zerograph.agent", "zerograph.io/agent"
+# Keywords of agent factories that take tools, and wrappers of a function.
+TOOL_KEYWORDS = ("tools", "toolkit", "extra_tools")
+TOOL_WRAPPERS = ("Tool", "StructuredTool", "from_function")
+
+# Paths of a host. Below the first, access is severe, without a path boundary; the others amount to a capability.
+SENSITIVE_PATHS = r"^(/etc|/root|/home|/var/lib|/var/run|/run|~|\$HOME)"
+DOCKER_SOCKETS = ("/var/run/docker.sock", "/run/docker.sock")
+HOST_ROOTS = ("/", "/proc", "/sys", "/dev")
+BROAD_ROOTS = ("/", "~", "$HOME", ".")
+BROAD_ROOT = r"^(/Users/[^/]+|/home/[^/]+|~)/?\n?\z"
+
+# What is masked in arguments (user information of URLs, values of secret-like flags, opaque tokens).
+URL_USER = r"(?U)(\w+://)[^/@\s]+@"
+SECRET_FLAG = r"(?iuU)^(--?[\w.-]*(?:key|token|secret|passw|pwd|auth)[\w.-]*[=:])(?-U:.+)$"
+OPAQUE = r"^[A-Za-z0-9_\-+/=.]{24,}$"
+
+#: Labels that make a workload an agent, by default; scan() and the command line take others.
+COMPOSE_AGENT_LABEL, K8S_AGENT_LABEL = "emberline.agent", "emberline.io/agent"

@@ -164,35 +164,28 @@ def derive_mcp(docs: DataFrame) -> list[DataFrame]:
 
 
 def derive_registry(docs: DataFrame) -> list[DataFrame]:
-    """Agents and tools of registries. A tool's own fields go before those of the shared definition of its name."""
+    """Agents of registries, and their tools, which the source has merged with the shared definitions."""
     rel = F.col("rel")
-    agents = docs.where("registry is not null").select("file_key", "doc", "rel", "registry.shared", F.posexplode("registry.agents").alias("i", "a")).withColumn("agent", joined("agent:registry:", rel, ":", F.col("a.name")))
+    agents = docs.where("registry is not null").select("file_key", "doc", "rel", F.posexplode("registry.agents").alias("i", "a")).withColumn("agent", joined("agent:registry:", rel, ":", F.col("a.name")))
     a, agent, i = F.col("a"), F.col("agent"), F.col("i")
     heads = exploded(
         agents,
         F.array(emit([i, 0], id=agent, kind="agent", label=a["name"], severity=0, file=rel, line=a["line"], source="tool registry")),
         only(a["runs_as"].isNotNull(), emit([i, 1], src=agent, ref=a["runs_as"], rel="runs as", edge_file=rel, edge_line=a["runs_line"])),
     )
-    tools = agents.select("file_key", "doc", "rel", "agent", "i", F.posexplode("a.tools").alias("j", "t"), "shared")
-    t, j = F.col("t"), F.col("j")
-    by_text = F.try_element_at("shared", t["name"])
-    mcp = F.when(t["plain"], by_text["mcp"]).otherwise(t["mcp"])
-    name = F.coalesce(t["name"], t["type"], F.lit("tool"))
-    tools = tools.withColumns({"name": name, "mcp": mcp, "def": F.try_element_at(F.col("shared"), name)})
-    own = {k: F.coalesce(t[k], F.col("def")[k]) for k in ("type", "path", "creds")}
-    tools = tools.withColumns({"tool": joined("tool:", rel, ":", F.col("name")), "line": t["line"], **own})
-    kind = F.lower(F.coalesce("type", "name"))
+    tools = agents.select("file_key", "doc", "rel", "agent", "i", F.posexplode("a.tools").alias("j", "t")).withColumn("tool", joined("tool:", rel, ":", F.col("t.name")))
+    t, j, tool, line = F.col("t"), F.col("j"), F.col("tool"), F.col("t.line")
+    kind = F.lower(F.coalesce(F.nullif(t["type"], F.lit("")), t["name"]))
     cap, writes = R.lookup(V.REGISTRY_TYPES, kind), R.lookup(V.REGISTRY_FILES, kind)
-    tool, line = F.col("tool"), F.col("line")
-    is_mcp = F.col("mcp").isNotNull()
-    node = emit([i, 2, j, 0], id=tool, kind="tool", label=F.col("name"), severity=0, file=rel, line=line, type=F.col("type"), aliases=F.array(joined("tool:", F.col("name"))), src=agent, dst=tool, rel="can call", edge_file=rel, edge_line=line)
+    is_mcp = t["mcp"].isNotNull()
+    node = emit([i, 2, j, 0], id=tool, kind="tool", label=t["name"], severity=0, file=rel, line=line, type=t["type"], aliases=F.array(joined("tool:", t["name"])), src=agent, dst=tool, rel="can call", edge_file=rel, edge_line=line)
     inside = exploded(
         tools,
-        only(is_mcp, emit([i, 2, j, 0], src=agent, ref=joined("mcp:", F.col("mcp")), rel="can call", edge_file=rel, edge_line=line)),
+        only(is_mcp, emit([i, 2, j, 0], src=agent, ref=joined("mcp:", t["mcp"]), rel="can call", edge_file=rel, edge_line=line)),
         only(~is_mcp, node),
         only(~is_mcp & cap.isNotNull(), give([i, 2, j, 1], tool, R.capability(cap), kind, rel, line)),
-        only(~is_mcp & cap.isNull() & writes.isNotNull(), give([i, 2, j, 1], tool, R.fs_path(F.coalesce("path", F.lit(".")), writes), kind, rel, line)),
-        some(F.when(~is_mcp, F.col("creds")), lambda c, k: give_env([i, 2, j, 2, k], tool, c, None, rel, line)),
+        only(~is_mcp & cap.isNull() & writes.isNotNull(), give([i, 2, j, 1], tool, R.fs_path(t["path"], writes), kind, rel, line)),
+        some(F.when(~is_mcp, t["creds"]), lambda c, k: give_env([i, 2, j, 2, k], tool, c, None, rel, line)),
     )
     return [placed(x, FILES) for x in (heads, inside)]
 

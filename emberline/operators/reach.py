@@ -3,8 +3,9 @@
 Every start explores breadth first. A node counts for a start by the edge that
 meets it first; it hands on its own access only if that edge is transitive.
 First means: least level, then the parent met first, then the parent's earlier
-edge. The trail, the list of edge sequence numbers from the start, orders nodes
-of one level in just that way, so no per-start window or counter is needed.
+edge. Edges get a number in the order of their source's edges, and every row of a
+level gets one in the order of discovery (its place), both by range partitions and
+without a window, so that a level is settled by fixed-width minimums.
 """
 
 from __future__ import annotations
@@ -13,51 +14,84 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import evidence, rating
-from ..functions.session import cut_lineage
+from ..functions.session import Scratch, cut_lineage
 
 HOP = ("src", "dst", "rel", "file", "line")
 
 
-def reach(edges: DataFrame, starts: DataFrame, hops: bool = False) -> DataFrame:
-    """One row per start and node reached: start, node, src, rel, level, trail, transitive (and hops).
-
-    edges: src, dst, rel, transitive, seq, distinct by (src, dst, rel); seq orders the edges of a
-    source and has any orderable type. With hops also file and line, and the way to every node is
-    carried along. starts: column start; repeated starts count once. Starts without edges reach
-    nothing and have no rows; null starts are dropped. Each level costs one expansion join, one
-    aggregation with map-side combine by (start, node) and one anti join; levels are cut off in the
-    shared checkpoint folder, so a lost executor costs no recomputation of earlier levels.
+def in_order(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with a number that grows with the order; gaps are usual. It is settled once the rows are stored."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+
+
+def numbered_edges(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The first edge of each source and target, with edge, its number among all; self loops are left out."""
+    carried = F.struct("rel", "seq", "transitive", *[c for c in ("file", "line") if c in edges.columns])
+    first = edges.where("src <> dst").groupBy("src", "dst").agg(F.min_by(carried, F.col("seq")).alias("first")).select("src", "dst", "first.*")
+    return scratch.store(in_order(first, "edge", "src", "seq").drop("seq"))
+
+
+def discover(edges: DataFrame, starts: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """The levels of numbered edges from starts: start, node, parent (its place), edge, transitive, place.
+
+    A level costs an expansion join, an aggregation with map-side combine by (start, node), anti joins with
+    the levels before and a sort; it is stored, so that a lost executor costs no earlier level again.
     """
-    carried = ["node", "trail", "transitive"] + (["hops"] if hops else [])
-    edge = edges.where("src <> dst").select(
-        "src", "dst", "rel", "seq", F.col("transitive").alias("passes"), *([F.struct(*HOP).alias("hop")] if hops else [])
-    )
-    seq_type = edges.schema["seq"].dataType.simpleString()
-    frontier = starts.where("start is not null").select("start").distinct().select(
-        "start", F.col("start").alias("node"), F.array().cast(f"array<{seq_type}>").alias("trail"), F.lit(True).alias("transitive"),
-        *([F.array().cast(f"array<{dict(edge.dtypes)['hop']}>").alias("hops")] if hops else []),
-    )
+    step = edges.select("src", F.col("dst").alias("next"), "edge", F.col("transitive").alias("passes"))
+    frontier = starts.where("start is not null").select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("place")).distinct()
     levels: list[DataFrame] = []
     while True:
-        found = frontier.where("transitive").select("start", *carried).join(edge, F.col("node") == F.col("src"))
-        step = F.struct(
-            F.concat("trail", F.array("seq")).alias("trail"), "src", "rel", F.col("passes").alias("transitive"),
-            *([F.concat("hops", F.array("hop")).alias("hops")] if hops else []),
-        )
-        best = found.where("dst <> start").groupBy("start", "dst").agg(F.min_by(step, F.concat("trail", F.array("seq"))).alias("best"))
-        new = best.select("start", F.col("dst").alias("node"), F.lit(len(levels) + 1).alias("level"), "best.*")
+        met = frontier.join(step, F.col("node") == F.col("src")).where("next <> start")
+        first = met.groupBy("start", F.col("next").alias("node")).agg(F.min("place").alias("parent"), F.min_by("edge", "place").alias("edge"), F.min_by("passes", "place").alias("transitive"))
         for before in levels:
-            new = new.join(before.select("start", "node"), ["start", "node"], "left_anti")
-        frontier = cut_lineage(new)
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    out = frontier
-    for one in levels:
-        out = out.unionByName(one)
+            first = first.join(before.select("start", "node"), ["start", "node"], "left_anti")
+        level = scratch.store(in_order(first, "place", "start", "parent", "edge"))
+        if level.isEmpty():
+            return levels
+        levels.append(level)
+        frontier = level.where("transitive").select("start", "node", "place")
+
+
+def joined_levels(levels: list[DataFrame], *columns: str) -> DataFrame | None:
+    out = None
+    for n, level in enumerate(levels, 1):
+        one = level.select(*columns, F.lit(n).alias("level"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
+def reach(edges: DataFrame, starts: DataFrame, hops: bool = False) -> DataFrame:
+    """One row per start and node reached: start, node, src, rel, level, place, transitive (and hops).
+
+    edges: src, dst, rel, transitive, seq; seq orders the edges of a source and has any orderable type. The order
+    of discovery of a start is (level, place). With hops also file and line, and the way to every node is
+    added. starts: column start; repeated starts count once. Starts without edges reach
+    nothing and have no rows; null starts are dropped.
+    """
+    with Scratch(edges.sparkSession) as scratch:
+        numbered_ = numbered_edges(edges, scratch)
+        levels = discover(numbered_, starts, scratch)
+        hop = F.struct(*HOP).alias("hop") if hops else F.lit(None).alias("hop")
+        by_edge = numbered_.select("edge", "src", "rel", hop)
+        empty = starts.sparkSession.createDataFrame([], "start string, node string, edge long, transitive boolean, place long, level int")
+        if not hops:
+            out = joined_levels(levels, "start", "node", "edge", "transitive", "place") or empty
+            return cut_lineage(out.join(by_edge, "edge").select("start", "node", "src", "rel", "level", "place", "transitive"))
+        named, before = [], None
+        for level in levels:
+            now = level.join(by_edge, "edge").select("start", "node", "src", "rel", "place", "transitive", "hop")
+            if before is None:
+                now = now.withColumn("hops", F.array("hop")).drop("hop")
+            else:
+                way = before.select("start", F.col("node").alias("src"), F.col("hops").alias("way"))
+                now = now.join(way, ["start", "src"]).withColumn("hops", F.concat("way", F.array("hop"))).drop("hop", "way")
+            before = scratch.store(now)
+            named.append(before)
+        columns = ("start", "node", "src", "rel", "place", "transitive", "hops")
+        out = joined_levels(named, *columns)
+        return cut_lineage(out if out is not None else empty.join(by_edge, "edge").withColumn("hops", F.array("hop")).select(*columns, "level"))
+
+
 def weighted(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     """Reached nodes of a positive severity, with their id, label, kind and severity."""
     heavy = nodes.where("severity > 0").select(F.col("id").alias("node"), "label", "kind", "severity")
@@ -74,6 +108,15 @@ def score(reached: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
+def scores_from(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """score() of starts straight from edges: only pairs of start and node are kept, no evidence."""
+    with Scratch(edges.sparkSession) as scratch:
+        pairs = joined_levels(discover(numbered_edges(edges, scratch), starts, scratch), "start", "node")
+        if pairs is None:
+            pairs = starts.select("start", F.col("start").alias("node")).limit(0)
+        return cut_lineage(score(pairs, nodes, starts))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with 1, 2, ... in a total order, without gathering all rows in one task.
 
@@ -96,7 +139,7 @@ def rank(scores: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def findings(reached: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Flat findings, one row per start and weighted node; order by start, -severity, label, level, trail."""
+    """Flat findings, one row per start and weighted node; order by start, -severity, label, level, place."""
     return weighted(reached, nodes)
 
 

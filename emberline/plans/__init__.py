@@ -1,5 +1,8 @@
 """Queries over the driver tables, with the SQL that checks them, and scans of config files."""
 
-from .tables import QUERIES, SQL
+from . import scan_tables, tables
+
+QUERIES = tables.QUERIES | scan_tables.QUERIES
+SQL = tables.SQL | scan_tables.SQL
 
 __all__ = ["QUERIES", "SQL"]

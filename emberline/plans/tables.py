@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.session import cut_lineage, read_table
 from ..operators import link, merge
-from ..operators.reach import numbered, rank, reach, score, weighted
+from ..operators.reach import numbered, rank, reach, scores_from, weighted
 
 #: Levels that the SQL unrolls; the tables' graphs end at 4, and the last level is empty.
 LEVELS = 6
@@ -116,7 +116,7 @@ def agents(nodes: DataFrame) -> DataFrame:
 def rank_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = star_nodes(spark, sf_dir)
     starts = agents(nodes)
-    return rank(score(reach(star_edges(spark, sf_dir), starts), nodes, starts), nodes)
+    return rank(scores_from(star_edges(spark, sf_dir), nodes, starts), nodes)
 
 
 def blast_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def blast_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every agent by kind: how many, their weight, the worst one in finding order."""
     nodes = star_nodes(spark, sf_dir)
     found = weighted(reach(star_edges(spark, sf_dir), agents(nodes)), nodes)
-    order = F.struct((-F.col("severity")).alias("s"), F.col("label"), F.col("level"), F.col("trail"))
+    order = F.struct((-F.col("severity")).alias("s"), F.col("label"), F.col("level"), F.col("place"))
     return found.groupBy(F.col("start").alias("id"), "kind").agg(F.count("*").alias("n_findings"), F.sum("severity").cast("long").alias("weight"), F.min_by("node", order).alias("worst"))
 
 
@@ -148,7 +148,7 @@ def all_radii_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every node as a start, agents included."""
     nodes = star_nodes(spark, sf_dir)
     starts = nodes.select(F.col("id").alias("start"))
-    return score(reach(star_edges(spark, sf_dir), starts), nodes, starts).withColumnRenamed("start", "id")
+    return scores_from(star_edges(spark, sf_dir), nodes, starts).withColumnRenamed("start", "id")
 
 
 def upsert_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

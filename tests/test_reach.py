@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators.link import mesh, resolve_refs
 from emberline.operators.merge import ATTRS, first_edges, merge_nodes
-from emberline.operators.reach import numbered, path_steps, rank, reach, score, weighted
+from emberline.operators.reach import numbered, path_steps, rank, reach, score, scores_from, weighted
 
 EDGE = "src string, dst string, rel string, file string, line int, transitive boolean, seq int"
 
@@ -33,7 +33,7 @@ def test_random_graphs_match_plain_search(spark):
     rng.shuffle(rows)
     starts = spark.createDataFrame([(s,) for s in want] + [(None,)], "start string")
     got = {}
-    for r in sorted(reach(spark.createDataFrame(rows, EDGE), starts).collect(), key=lambda r: (r.level, r.trail)):
+    for r in sorted(reach(spark.createDataFrame(rows, EDGE), starts).collect(), key=lambda r: (r.level, r.place)):
         got.setdefault(r.start, {})[r.node] = (r.src, r.rel)
     for start, found in want.items():
         assert list(got.get(start, {}).items()) == list(found.items())
@@ -51,6 +51,8 @@ def test_scores_paths_and_ranking(spark):
     reached = reach(edges, starts, hops=True)
     scores = {r.start: (r.score, r.max_severity, r.rating) for r in score(reached, nodes, starts).collect()}
     assert scores == {"a": (14, 7, "high"), "b": (5, 5, "medium"), "lone": (0, 0, "low")}
+    assert scores == {r.start: (r.score, r.max_severity, r.rating) for r in scores_from(edges, nodes, starts).collect()}
+    assert scores_from(edges.limit(0), nodes, starts).count() == 3
     assert {r.node for r in reached.where("start = 'a'").collect()} == {"t", "x", "i", "n", "j", "s", "b"}
     steps = path_steps(weighted(reached, nodes).where("start = 'a' and node = 'x'"), nodes).orderBy("step").collect()
     assert [(s["from"], s["to"], s["evidence"]) for s in steps] == [("Agent A", "shell tool", "f.yml:3"), ("shell tool", "Shell", "f.yml:4")]

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import rules as R
+from emberline.functions.values import COMPOSE_AGENT_LABEL, K8S_AGENT_LABEL
 from emberline.plans.scan import rank_agents, scan
-from emberline.report import summary, to_dict, to_html, to_json
+from emberline.report import messages, summary, to_dict, to_html, to_json, write_tables
 from emberline.sources.config_files import file_rows, read_config_files
 
 SECRET = "hunter2-planted-value"
@@ -32,7 +33,7 @@ services:
     secrets: [pg]
   bot:
     build: ./bot
-    labels: {{zerograph.agent: "true"}}
+    labels: {{{COMPOSE_AGENT_LABEL}: "true"}}
   odd: just text
 secrets:
   pg: {{file: x}}
@@ -59,7 +60,7 @@ data: {b: x, a: y}
 ---
 apiVersion: apps/v1
 kind: Deployment
-metadata: {name: app, namespace: ai, labels: {zerograph.io/agent: "TRUE"}}
+metadata: {name: app, namespace: ai, labels: {K8S_LABEL: "TRUE"}}
 spec:
   template:
     spec:
@@ -74,7 +75,7 @@ spec:
 apiVersion: v1
 kind: ConfigMap
 metadata: {name: c}
-""",
+""".replace("K8S_LABEL", K8S_AGENT_LABEL),
     "k8s/b.yaml": """apiVersion: v1
 kind: List
 items:
@@ -205,7 +206,67 @@ def test_reports_hold_no_secret_values(graph):
     assert [a["id"] for a in data["agents"]] == ranked and len(ranked) == 5  # triage runs as the labelled deployment, which is thus no agent of its own
     best = data["agents"][0]
     assert best["score"] == sum(f["severity"] for f in best["findings"]) and best["findings"][0]["path"][0]["from"] == best["label"]
-    assert best["label"][:20] in summary(data)
+    said = summary(graph)
+    assert best["label"][:20] in said and f"{len(data['nodes'])} nodes" in said and messages(graph)[0] == f"{len(data['warnings'])} warning(s):"
+    assert SECRET not in said and SECRET not in str(messages(graph))
+    assert all(n["degree"] == sum(n["id"] in (e["source"], e["target"]) for e in data["edges"]) for n in data["nodes"]) and "degree" not in text
+
+
+def test_no_file_stops_a_scan(spark, tmp_path):
+    """A surrogate in a key, a dangling link, a file that goes between listing and reading: each is one warning at most."""
+    import os
+
+    from emberline.sources.config_files import ConfigReader
+
+    (tmp_path / ".mcp.json").write_text('{"mcpServers": {"\\ud800": {"command": "bash"}, "fine": {"command": "bash"}}}')
+    os.symlink(tmp_path / "nowhere", tmp_path / "gone.yaml")
+    (tmp_path / "ok.yaml").write_text("agents:\n  - {name: a, tools: [bash]}\n")
+    made = scan(spark, str(tmp_path))
+    ids = {r.id for r in made.nodes.collect()}
+    assert {"mcp:.mcp.json:fine", "agent:registry:ok.yaml:a", "cap:exec:shell"} <= ids
+    said = [r.message for r in made.warnings.collect()]
+    assert any(m == "gone.yaml: can't be read (FileNotFoundError), skipped" for m in said)
+    reader = ConfigReader(str(tmp_path))
+    parts = reader.partitions()
+    (tmp_path / "ok.yaml").unlink()
+    assert {r[0]: r[4] for p in parts for r in reader.read(p)}["ok.yaml"] == "can't be read (FileNotFoundError)"
+
+
+def test_registry_nulls_hide_the_shared_definition(spark):
+    text = """tools:
+  - {name: shell, type: bash, credentials: [A_KEY]}
+  - {name: disk, type: filesystem, path: /srv, env: [B_KEY]}
+agents:
+  - name: x
+    tools: [shell, {name: disk}]
+  - name: y
+    tools: [{name: shell, type: null, credentials: null}, {name: disk, path: /etc}]
+"""
+    from emberline.plans.scan import build_graph
+
+    rows = lambda t: file_rows(spark.createDataFrame([("r.yaml", t)], "rel string, content string"))
+    both = build_graph(rows(text)).edges
+    assert {r.dst for r in both.where("src = 'tool:r.yaml:disk'").collect()} == {"fs:write:/srv", "fs:write:/etc", "secret:env:B_KEY"}
+    only_y = build_graph(rows(text.replace("tools: [shell, {name: disk}]", "tools: []"))).edges
+    assert {r.dst for r in only_y.where("src = 'tool:r.yaml:shell'").collect()} == {"cap:exec:shell"}
+
+
+def test_command_line_and_tables(spark, tmp_path, capsys, graph):
+    from emberline import cli
+
+    (tmp_path / "agents.yaml").write_text("agents:\n  - {name: triage, tools: [bash]}\n  - {tools: []}\n")
+    page, doc, tables = tmp_path / "p.html", tmp_path / "g.json", tmp_path / "t"
+    assert cli.main(["scan", str(tmp_path / "agents.yaml"), "-o", str(page), "--json", str(doc), "--tables", str(tables)]) == 0
+    out = capsys.readouterr()
+    assert "triage" in out.out and "1 warning(s):" in out.err and "<script>" in page.read_text()
+    assert {a["label"] for a in json.loads(doc.read_text())["agents"]} == {"triage"}
+    assert spark.read.parquet(str(tables / "edges")).count() == 2
+    assert cli.main(["scan", str(tmp_path / "agents.yaml"), "-q"]) == 0 and "warning" not in capsys.readouterr().err
+    with pytest.raises(SystemExit) as stop:
+        cli.main(["scan", str(tmp_path / "none")])
+    assert stop.value.code == 2 and "no such file" in capsys.readouterr().err
+    write_tables(graph, str(tmp_path / "all"))
+    assert spark.read.parquet(str(tmp_path / "all/nodes")).count() == graph.nodes.count()
 
 
 def test_single_file_and_rows(spark, root):
