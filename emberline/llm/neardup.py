@@ -9,7 +9,8 @@ the same set are one), never between all pairs of a group.
 Exactness. A pair at or above the threshold shares a band but for a chance of
 5e-8 at the production parameters. Among sets that share bands no link is lost:
 
-1. Every set is held against one leader, the one that leads most of its bands.
+1. Every set is held against one leader, the one that leads most of its bands. A band is led by the set
+   that meets the most others in all its bands, which in a group of copies is close to their base.
 2. Bands whose sets are in one component by then are closed. In the others, a
    set too many of whose shingles no other open set has can't be similar to any.
 3. What is left is held against its band's hub, the most typical set. A set y
@@ -226,36 +227,38 @@ def _verified(p: HyperMinHash) -> Batches:
 
 
 def _deviations(p: HyperMinHash) -> Batches:
-    """(node, hub, component, hashes, hub_hashes) to (node, hub, component, linked, size, need, tokens); see deviations()."""
+    """(node, hub, component, hashes, hub_hashes) to (node, hub, component, n, linked, size, need, partly, tokens); see deviations()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, size, need, tokens = [], [], [], []
+            n, linked, size, need, partly, tokens = [], [], [], [], [], []
             for own, hub in zip(lists(batch.column("hashes")), lists(batch.column("hub_hashes")), strict=True):
                 differ = np.concatenate([own[~is_in(own, hub)], hub[~is_in(hub, own)]])
                 over = len(differ) * (100 + p.percent) - (len(own) + len(hub)) * (100 - p.percent)
+                n.append(len(own))
                 linked.append(over <= 0)
                 size.append(len(differ))
-                need.append(max(1, -(-over // (2 * (100 + p.percent)))))
+                need.append(max(1, -(-over // 200)))
+                partly.append(max(need[-1], (len(differ) * (100 + p.percent) + (len(hub) - len(own)) * (100 - p.percent)) // (2 * (100 + p.percent)) + 1))
                 tokens.append(differ.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("hub"), batch.column("component"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(need, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
-                names=["node", "hub", "component", "linked", "size", "need", "tokens"],
+                [batch.column("node"), batch.column("hub"), batch.column("component"), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(need, pa.int64()), pa.array(partly, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
+                names=["node", "hub", "component", "n", "linked", "size", "need", "partly", "tokens"],
             )
 
     return run
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of edges (a, b) but those that are their own component; component is the least node reachable.
 
-    Alternates the large-star and small-star steps until no edge changes, each
+    With rounds it stops after so many, and a component may still be a part of the true one. Alternates the large-star and small-star steps until no edge changes, each
     step an aggregation and a join, so a hub is never gathered in one task.
     """
     state_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = scratch.store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), thin=True)
-    seen = state_of(now)
-    while seen[0]:
+    seen = state_of(now) if rounds is None else [1]
+    while seen[0] and rounds != 0:
         both = now.union(now.select("b", "a"))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -263,6 +266,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = scratch.store(small.union(least.select("u", "m")).distinct(), thin=True)
+        if rounds is not None:
+            rounds -= 1
+            continue
         state = state_of(now)
         if state == seen:
             break
@@ -270,8 +276,14 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def leaders(bands: DataFrame) -> DataFrame:
+    """(band, leader): of each band (rows band, node, c) the node whose bands hold the most nodes, the likeliest base of its copies."""
+    mass = bands.groupBy("node").agg(F.sum("c").alias("mass"))
+    return bands.join(mass, "node").groupBy("band").agg(F.max_by("node", F.struct("mass", "node")).alias("leader"))
+
+
 def nearest(bands: DataFrame) -> DataFrame:
-    """(a, b): for each node b the leader a of the most of its bands, the least of equals."""
+    """(a, b): for each node b the leader a of the most of its bands (rows band, node, leader), the least of equals."""
     met = bands.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
     return met.groupBy(F.col("node").alias("b")).agg(F.max_by("leader", F.struct("c", F.negative("leader"))).alias("a")).select("a", "b")
 
@@ -299,28 +311,47 @@ def linkable(rows: DataFrame, sets: DataFrame, p: HyperMinHash) -> DataFrame:
 
 
 def deviations(met: DataFrame, sets: DataFrame, p: HyperMinHash) -> DataFrame:
-    """met (node, hub, component) with linked, size, need and tokens, the shingles that only one of node and hub has.
+    """met (node, hub, component) with n, linked, size, need, partly and tokens, the shingles that only one of node and hub has.
 
-    Let x and y be linked, d(x) the tokens of x, n(x) its shingles and t the threshold. The sets differ in
-    |d(x)| + |d(y)| - 2 |d(x) & d(y)| shingles, (n(x) + n(y)) (1 - t) / (1 + t) at most, and n(x) is n(hub) + |d(x)|
-    at most. So |d(x) & d(y)| is at least half of |d(y)| - (n(hub) + n(y)) (1 - t) / (1 + t), which is above 0
-    just when y is not linked to the hub. That is `need`. All but need - 1 of y's tokens hold one of x's.
+    Let x and y be linked, d(x) the tokens of x, n(x) its shingles, t the threshold and r = (1 - t) / (1 + t). The sets
+    differ in |d(x)| + |d(y)| - 2 |d(x) & d(y)| shingles, r (n(x) + n(y)) at most. As n(x) is n(hub) + |d(x)| at most
+    and |d(x)| no less than |d(x) & d(y)|, the latter is at least (|d(y)| - r (n(hub) + n(y))) / (1 + r), which is above
+    0 just when y is not linked to the hub. That is `need`. All but need - 1 of y's tokens hold one of x's.
     """
     own, hubs = sets.select("node", "hashes"), sets.select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes"))
     both = met.join(own, "node").join(hubs, "hub").select("node", "hub", "component", "hashes", "hub_hashes")
-    return both.mapInArrow(_deviations(p), "node long, hub long, component long, linked boolean, size long, need long, tokens array<long>")
+    return both.mapInArrow(_deviations(p), "node long, hub long, component long, n long, linked boolean, size long, need long, partly long, tokens array<long>")
+
+
+def able(dev: DataFrame, p: HyperMinHash) -> DataFrame:
+    """Those deviations that can be in a link at all, with most and least.
+
+    x shares with y no more tokens than it has in common with any other, s(x). So a link needs most(x) >= least(y)
+    and most(y) >= least(x), where most(x) = 2 s(x) - |d(x)| + r n(x) and least(y) = |d(y)| - r n(y) (both times 100 + percent).
+    """
+    tokens = dev.select("hub", "node", F.explode("tokens").alias("token"))
+    single = tokens.groupBy("hub", "token").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("hub", "node").agg(F.count("*").alias("single"))
+    scored = dev.join(single, ["hub", "node"], "left").fillna(0, ["single"])
+    scored = scored.withColumn("most", (F.col("size") - 2 * F.col("single")) * (100 + p.percent) + F.col("n") * (100 - p.percent))
+    scored = scored.withColumn("least", F.col("size") * (100 + p.percent) - F.col("n") * (100 - p.percent)).drop("single")
+    bounds = scored.groupBy("hub").agg(F.max("most").alias("top"), F.min(F.when(~F.col("linked"), F.col("least"))).alias("low"), F.min("least").alias("lowest"))
+    may = F.when(F.col("linked"), F.col("most") >= F.col("low")).otherwise((F.col("least") <= F.col("top")) & (F.col("most") >= F.col("lowest")))
+    return scored.join(bounds, "hub").where(may & (F.col("linked") | (F.col("size") >= F.col("need")))).drop("top", "low", "lowest")
 
 
 def by_rare_tokens(dev: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share one of the rarest tokens of one of them, which is not linked to the hub."""
-    rows = dev.select("hub", "node", "component", "linked", "size", "need", F.explode("tokens").alias("token"))
+    """Pairs (a, b) of different components that share one of the rarest tokens of each, of which one at least is not linked to the hub."""
+    rows = dev.select("hub", "node", "component", "linked", "need", "partly", "most", "least", F.explode("tokens").alias("token"))
     common = rows.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1")
-    rows = rows.join(common, ["hub", "token"])
-    lists_ = rows.where("not linked").groupBy("hub", "node", "component", "size", "need").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
-    lists_ = lists_.where(F.size("found") >= F.col("need")).withColumn("found", F.slice("found", F.lit(1), (F.size("found") - F.col("need") + 1).cast("int")))
-    asked = lists_.select("hub", F.col("node").alias("y"), F.col("component").alias("of_y"), F.explode("found.token").alias("token"))
-    found = asked.join(rows.select("hub", "token", "node", "component"), ["hub", "token"]).where("y <> node and of_y <> component")
-    return found.select(F.least("y", "node").alias("a"), F.greatest("y", "node").alias("b")).distinct()
+    found = rows.join(common, ["hub", "token"]).groupBy("hub", "node", "component", "linked", "need", "partly", "most", "least").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
+
+    def rarest(of: DataFrame, least: str, mark: str) -> DataFrame:
+        first = F.slice("found", F.lit(1), (F.size("found") - F.col(least) + 1).cast("int"))["token"]
+        return of.where(F.size("found") >= F.col(least)).select("hub", *[F.col(c).alias(c + mark) for c in ("node", "component", "most", "least")], F.explode(first).alias("token"))
+
+    met = rarest(found.where("not linked"), "need", "_y").join(rarest(found, "partly", "_x"), ["hub", "token"])
+    met = met.where("node_y <> node_x and component_y <> component_x and most_y >= least_x and most_x >= least_y")
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: HyperMinHash | None = None) -> DataFrame:
@@ -381,8 +412,8 @@ def _classes(sketches: DataFrame, scratch: Scratch) -> DataFrame:
 def _components(texts: DataFrame, classes: DataFrame, scratch: Scratch, p: HyperMinHash) -> DataFrame:
     """(node, component) of the classes that are linked with another, but for each component's least node."""
     rows = classes.select("node", "registers").mapInArrow(_bands(p), "node long, band long")
-    shared = rows.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("leader")).where("c > 1")
-    bands = scratch.store(rows.join(shared, "band").select("band", "node", "leader"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    bands = scratch.store(rows.join(shared, "band").select("band", "node", "c"))
     wanted = scratch.store(classes.select("node", F.col("n_shingles").alias("n"), F.col("least_id").alias("id"), F.col("text_hash").alias("hash")).join(bands.select("node").distinct(), "node", "left_semi"))
     n_wanted = wanted.count()
     if not n_wanted:
@@ -399,19 +430,26 @@ def _components(texts: DataFrame, classes: DataFrame, scratch: Scratch, p: Hyper
         side = lambda x: sets.select(F.col("node").alias(x), F.col("registers").alias(f"registers_{x}"), F.col("hashes").alias(f"hashes_{x}"))
         return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verified(p), "a long, b long")
 
-    links = scratch.store(verified(nearest(bands)), thin=True)
-    up, over = links.select(F.col("b").alias("node"), F.col("a").alias("up")), links.select(F.col("b").alias("up"), F.col("a").alias("top"))
-    part = up.join(over, "up", "left").select("node", F.coalesce("top", "up").alias("component"))  # part of the true component, which is all that is needed here
-    placed = wanted.select("node", "n").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = scratch.store(open_bands(bands.select("band", "node").join(placed, "node")))
+    links = scratch.store(verified(nearest(bands.join(leaders(bands), "band"))), thin=True)
+    component = connected_components(links, scratch, rounds=1)
+    left = scratch.store(open_bands(placed(bands.select("band", "node").join(wanted.select("node", "n"), "node"), component)))
     left = scratch.store(open_bands(left.drop("least_n").join(linkable(left, sets, p), "node")).drop("least_n"))
-    if not left.isEmpty():
-        hubs = left.groupBy("band").agg(F.min_by("node", F.struct("own", "node")).alias("hub"))
-        met = left.join(hubs, "band").where("node <> hub").groupBy("node", "hub").agg(F.first("component").alias("component"))
-        dev = scratch.store(deviations(met, sets, p))
-        spokes = dev.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        links = links.union(spokes).union(scratch.store(verified(by_rare_tokens(dev)), thin=True))
-    return connected_components(links, scratch)
+    if left.isEmpty():
+        return connected_components(links, scratch)
+    hubs = left.groupBy("band").agg(F.min_by("node", F.struct("own", "node")).alias("hub"))
+    led = scratch.store(left.join(hubs, "band").select("band", "node", "n", "hub", "component"))
+    dev = scratch.store(deviations(led.where("node <> hub").groupBy("node", "hub").agg(F.first("component").alias("component")), sets, p))
+    spokes = dev.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    component = connected_components(links.union(spokes), scratch)
+    still = open_bands(placed(led.drop("component"), component)).select("node", "hub", "component").distinct()
+    close = scratch.store(able(dev.drop("component").join(still, ["node", "hub"]), p))
+    more = scratch.store(verified(by_rare_tokens(close)), thin=True)
+    return connected_components(component.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), scratch)
+
+
+def placed(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """rows (node, ..) with their component; a node without links is its own."""
+    return rows.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _by_row(sketches: DataFrame, classes: DataFrame, component: DataFrame, scratch: Scratch, p: HyperMinHash) -> DataFrame:
