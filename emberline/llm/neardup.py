@@ -329,6 +329,7 @@ def able(dev: DataFrame, p: HyperMinHash) -> DataFrame:
     x shares with y no more tokens than it has in common with any other, s(x). So a link needs most(x) >= least(y)
     and most(y) >= least(x), where most(x) = 2 s(x) - |d(x)| + r n(x) and least(y) = |d(y)| - r n(y) (both times 100 + percent).
     """
+    dev = dev.repartition("node", "hub")  # tasks of even size to explode
     tokens = dev.select("hub", "node", F.explode("tokens").alias("token"))
     single = tokens.groupBy("hub", "token").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("hub", "node").agg(F.count("*").alias("single"))
     scored = dev.join(single, ["hub", "node"], "left").fillna(0, ["single"])
@@ -341,7 +342,7 @@ def able(dev: DataFrame, p: HyperMinHash) -> DataFrame:
 
 def by_rare_tokens(dev: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share one of the rarest tokens of each, of which one at least is not linked to the hub."""
-    rows = dev.select("hub", "node", "component", "linked", "need", "partly", "most", "least", F.explode("tokens").alias("token"))
+    rows = dev.repartition("node", "hub").select("hub", "node", "component", "linked", "need", "partly", "most", "least", F.explode("tokens").alias("token"))
     common = rows.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1")
     found = rows.join(common, ["hub", "token"]).groupBy("hub", "node", "component", "linked", "need", "partly", "most", "least").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
 
@@ -379,10 +380,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """
     p = params or HyperMinHash()
     judged = _judged(docs, id_col, text_col, p)
-    dropped = cut_lineage(judged.where("not kept").select(F.col("id").alias("_dropped_id"), F.col("text_hash").alias("_dropped_hash")).distinct())
-    dropped = F.broadcast(dropped) if dropped.count() <= p.broadcast_rows else dropped
+    dropped = cut_lineage(judged.where("not kept").select("id", "text_hash").distinct())
+    listed = F.broadcast(dropped) if dropped.count() <= p.broadcast_rows else dropped
     key = [docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))]
-    out = docs.join(dropped, key[0].eqNullSafe(F.col("_dropped_id")) & (key[1] == F.col("_dropped_hash")), "left_anti")
+    out = docs.join(listed, key[0].eqNullSafe(dropped["id"]) & (key[1] == dropped["text_hash"]), "left_anti")
     if judged.where("kept and n_shingles > 0").groupBy("id", "text_hash").count().where("count > 1").isEmpty():
         return out
     is_group = F.coalesce(F.trim(F.translate(docs[text_col].cast("string"), "\t\n\x0b\f\r", " ")) != "", F.lit(False))
