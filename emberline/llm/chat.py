@@ -59,13 +59,13 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     loss_spans are code point ranges of formatted, end exclusive, one for each turn of
     loss_role. attachments are (index, type, ref, tokens) in order. Turns go by turn
-    number, nulls first, then role and parts where numbers tie; repeated rows stay.
+    number, nulls first, then role, text and other parts where numbers tie; repeated rows stay.
     A null role is an empty one, null parts and null texts are empty, a null
     conv_id is a conversation of its own. Other columns are ignored.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")).alias("parts"))
     media = F.filter("parts", is_attachment)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", F.to_json("parts"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), ""), F.to_json("parts"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("k", F.row_number().over(order)).withColumn("first_media", F.coalesce(F.sum(F.size(media)).over(before), F.lit(0)))
     shown = F.transform(

@@ -27,7 +27,7 @@ from .textvec import LOWER, pieces
 class Fusion:
     """bits: 2**bits hashed trigrams. train_rows: labelled texts in the fit, the first by hash. evidence:
     trigrams that a text may count as at most, since those of a long text are not independent.
-    strength: pseudo-counts behind every smoothed share.
+    strength: pseudo-counts behind every smoothed share. languages: those with the most labelled rows are told apart.
     """
 
     bits: int = 14
@@ -35,15 +35,47 @@ class Fusion:
     evidence: float = 150.0
     strength: float = 20.0
     sure: float = 0.5
+    languages: int = 200
 
 
-# What is not running text in a page, and where a page declares its language.
-NOT_TEXT = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
+# Elements of a page that are not running text, and how a page declares its language.
+HIDDEN = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+HIDDEN_TAG = re.compile(r"<(script|style)\b", re.IGNORECASE)
+HTML_TAG = re.compile(r"<html\b", re.IGNORECASE)
+LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
+
+
+def markup_end(source: str, start: int, gone: set[str]) -> int:
+    """Where the hidden element, comment or tag at start ends, -1 if it does not. gone: closers that no later place has, so that each is missed once."""
+    if (m := HIDDEN_TAG.match(source, start)) and (name := m[1].lower()) not in gone:
+        if closer := HIDDEN[name].search(source, m.end()):
+            return closer.end()
+        gone.add(name)
+    if source.startswith("<!--", start) and "-->" not in gone:
+        if (end := source.find("-->", start + 4)) >= 0:
+            return end + 3
+        gone.add("-->")
+    return source.find(">", start) + 1 or -1
 
 
 def page_text(source: str) -> str:
-    return html.unescape(NOT_TEXT.sub(" ", source))
+    """A page without markup, in one pass: the text is read once however its tags are broken."""
+    out, at, gone = [], 0, set()
+    while (start := source.find("<", at)) >= 0 and (end := markup_end(source, start, gone)) >= 0:
+        out += [source[at:start], " "]
+        at = end
+    return html.unescape("".join([*out, source[at:]]))
+
+
+def declared_language(source: str) -> str | None:
+    """The language of the first html tag that names one; a tag without end reaches to the end of the page."""
+    at = 0
+    while tag := HTML_TAG.search(source, at):
+        end = source.find(">", tag.end())
+        at = len(source) if end < 0 else end
+        if m := LANG.search(source, tag.end(), at):
+            return m[1].lower()
+    return None
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +116,8 @@ def _counts(p: Fusion) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def train(labelled: DataFrame, p: Fusion) -> tuple[list[str], np.ndarray]:
     """Languages and (buckets, languages) log likelihoods from (id, lang, text), on at most train_rows rows."""
     chosen = labelled.where("lang is not null and id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(p.train_rows)
-    sample = labelled.where("lang is not null").join(F.broadcast(chosen), "id").select("lang", "text")
+    often = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.languages).select("lang")
+    sample = labelled.where("lang is not null").join(F.broadcast(chosen), "id").join(F.broadcast(often), "lang", "left_semi").select("lang", "text")
     rows = sample.mapInArrow(_counts(p), "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["label"] for r in rows})
     counts = np.full((1 << p.bits, len(langs)), 0.5)
@@ -104,8 +137,7 @@ def _likelihoods(p: Fusion, table: np.ndarray) -> Callable[[Iterator[pa.RecordBa
                 sources = text.to_pylist()
                 for k, kind in enumerate(kinds):
                     if kind == "page" and sources[k]:
-                        m = DECLARED.search(sources[k])
-                        declared[k], sources[k] = m and m[1].lower(), page_text(sources[k])
+                        declared[k], sources[k] = declared_language(sources[k]), page_text(sources[k])
                 text = pa.array(sources, pa.string())
             got = []
             for row, end, data, offsets in pieces(text, 400_000):

@@ -165,12 +165,16 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """docs with the columns of mix(), less the documents of rate 0.
 
     The rates are fitted on a narrow table; the texts are then classified once more
-    instead of being carried through a join. A column of docs that mix() makes is replaced.
+    instead of being carried through a join. A column of docs that mix() makes is replaced, others come back as they
+    were. Null ids, repeated rows, null and empty texts: as for mix(). An empty table stays empty.
     """
     p = params or Mix()
-    names, present, model = train_domains(docs.select(id_col, text_col), labels, id_col, text_col, p)
-    made = {"n_tokens", "domain", "rate", "copies", "_tokens", *[f"p_{x}" for x in names]}
-    rows = posteriors(docs.select(*[c for c in docs.columns if c not in made]), names, present, model, text_col)
+    texts = docs.select(F.col(id_col), F.col(text_col))
+    names, present, model = train_domains(texts, labels, id_col, text_col, p)
+    made = {"n_tokens", "domain", "rate", "copies", *[f"p_{x}" for x in names]}
+    # The row rides along as one struct, so that none of its columns can clash with those made on the way.
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns if c not in made]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_own"))
+    rows = posteriors(whole, names, present, model, "_own")
     narrow = cut_lineage(rows.select("_tokens", *[f"p_{x}" for x in names]))
     steps, _ = fitted_rates(narrow, names, present, p)
-    return rated(rows, names, steps, [c for c in docs.columns if c not in made], id_col, p).where("rate > 0")
+    return rated(rows, names, steps, ["_row", "_id"], "_id", p).where("rate > 0").select("_row.*", "n_tokens", *[f"p_{x}" for x in names], "domain", "rate", "copies")

@@ -43,8 +43,9 @@ NEIGHBOUR = [1, 4, 5, 6, 11, 12, 13]
 
 @dataclass(frozen=True)
 class CrfFit:
-    """train_rows: labelled rows that the fit takes, the first by hash of the id. train_lines: labelled
-    documents with more lines are left out of the fit (never of scoring)."""
+    """train_rows: labelled rows that the fit takes, the first by hash of the id. train_lines: of longer
+    labelled documents the fit takes so many lines in a row, from a place that a hash of the id gives (scoring takes all).
+    Together they bound what the driver fits on: train_rows x train_lines lines."""
 
     train_rows: int = 4000
     train_lines: int = 256
@@ -151,12 +152,19 @@ def fit_crf(features: np.ndarray, first: np.ndarray, labels: np.ndarray, p: CrfF
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
+def window(n: int, most: int, place: int) -> slice:
+    """All of n lines, or `most` in a row."""
+    at = place % (n - most + 1) if n > most else 0
+    return slice(at, min(n, at + most))
+
+
 def _features(most_lines: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in pieces(batch.column(2)):
                 feats, _, first = line_features(data, offsets)
-                own = [feats[first[k] : first[k + 1]].astype(np.float32).tobytes() if first[k + 1] - first[k] <= most_lines else None for k in range(end - row)]
+                places = batch.column(3).to_pylist()[row:end]
+                own = [feats[first[k] : first[k + 1]][window(int(first[k + 1] - first[k]), most_lines, places[k])].astype(np.float32).tobytes() for k in range(end - row)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(own, pa.binary())], names=["id", "label", "features"])
 
     return run
@@ -180,7 +188,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     p = params or CrfFit()
     chosen = labels.where(F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % 3 != 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(p.train_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(_features(p.train_lines), "id long, label int, features binary").where("features is not null")
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text", F.crc32(F.col("id").cast("string")).alias("place")).mapInArrow(_features(p.train_lines), "id long, label int, features binary")
     got = sorted((r["id"], r["label"], bytes(r["features"])) for r in rows.collect())
     parts = [np.frombuffer(f, np.float32).reshape(-1, N_ALL).astype(np.float64) for _, _, f in got]
     first = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
@@ -202,7 +210,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: CrfFit | None = None) -> DataFrame:
-    """Rows of docs that the field accepts, scored in place with no join; columns as before."""
+    """Rows of docs that the field accepts, scored in place with no join; columns as before.
+
+    Rows with a null or repeated id are judged each by its own text, equal texts alike. A null or empty text is one
+    empty line. Without usable labels every score is 0.5 and every row stays. An empty table stays empty.
+    """
     weight, trans = train_quality(docs, labels, id_col, text_col, params=params)
     columns, at = docs.columns, docs.columns.index(text_col)
     score = _scores(weight, trans)

@@ -78,6 +78,7 @@ def _scan(p: Novelty, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]],
         gap = r"(?:\\[rnt]?|[\s\"',>#*|;])"
         key_lines = re.compile(rf"(?:{gap}++[A-Za-z0-9+/=]++)*+")
         open_lines = re.compile(rf"(?:{gap}++[A-Za-z0-9-]+:[^\n]*+)*+(?:{gap}++[A-Za-z0-9+/=]{{16,}}+)*+")
+        parted, vowels = re.compile(r"[^A-Za-z]+"), re.compile(r"[aeiouy]", re.IGNORECASE)
         kind_order = {k: i for i, k in enumerate(KINDS)}
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         size = zstandard.ZstdCompressor(level=p.level, dict_data=primed, write_content_size=False)
@@ -87,13 +88,21 @@ def _scan(p: Novelty, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]],
             known = len(size.compress(around.encode()))
             return (len(size.compress((around + text[start:end]).encode())) - known) / (end - start)
 
+        def may_be_key(own: str) -> bool:
+            """Letters alone have to be unlike words: a long piece of them in changing case, or with few vowels or none for long."""
+            if any(x.isdigit() for x in own):
+                return True
+            piece = max(parted.split(own), key=len)
+            turns = sum(a.isupper() != b.isupper() for a, b in zip(piece, piece[1:], strict=False))
+            return len(piece) >= p.least and (5 * turns >= len(piece) or 4 * len(vowels.findall(piece)) < len(piece) or max(map(len, vowels.split(piece))) >= 5)
+
         def novelty_of_run(text: str, start: int, end: int) -> float | None:
             """The novelty of the first part of a run, most characters long at most, that is novel enough; the whole run goes with it."""
             for s in range(start, end, p.most):
                 e = min(end, s + p.most)
                 s = max(start, e - p.most)
                 own = text[s:e]
-                if any(x.isdigit() for x in own) and any(x.isalpha() for x in own) and (value := novelty(text, s, e)) >= p.bytes_per_char:
+                if may_be_key(own) and (value := novelty(text, s, e)) >= p.bytes_per_char:
                     return value
             return None
 
@@ -173,7 +182,8 @@ def span_text(spans: Column, kinds: tuple[str, ...]) -> Column:
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Novelty | None = None) -> DataFrame:
     """docs with every found span replaced by <secret:kind>; all rows and columns stay.
 
-    Overlapping spans are merged and named for the first. A null text stays null.
+    Overlapping spans are merged and named for the first. A null text stays null, an empty one empty; rows with a null or
+    repeated id are each masked, equal texts alike. An empty table stays empty.
     """
     p = params or Novelty()
     columns = docs.columns

@@ -86,6 +86,32 @@ def test_secrets_reach_their_real_end(spark):
     assert masked[0].endswith(" end") and "-----END RSA PRIVATE KEY-----\nplain words follow" in masked[1]
 
 
+def test_planted_keys_are_found_and_names_are_not(spark):
+    """Recall over keys of every alphabet behind cues, and no report for identifiers and words."""
+    import random
+    import string
+
+    rng = random.Random(11)
+    alphabets = {"base64": string.ascii_letters + string.digits + "+/", "hex": "0123456789ABCDEF", "digits": string.digits, "letters": string.ascii_letters, "lower": string.ascii_lowercase}
+    rows, keys = [], {}
+    for kind, alphabet in alphabets.items():
+        for k in range(60):
+            key = "".join(rng.choice(alphabet) for _ in range(rng.choice((24, 32, 48))))
+            keys[len(rows)] = (kind, key)
+            rows.append((len(rows), f"for the service the {rng.choice(('private key', 'bearer', 'credential'))} is {key} as agreed with the team"))
+    for size in (1000, 10_000):
+        key = "".join(rng.choice(alphabets["base64"]) for _ in range(size))
+        keys[len(rows)] = ("long", key)
+        rows.append((len(rows), f"bearer credential is {key} end"))
+    names = ["authentication_token_provider_factory", "configurationSettingsDefaultProvider", "straightforwardness and internationalization", "the_quick_brown_fox_jumps_over"]
+    plain = [(10_000 + k, f"the private key is {n} as agreed") for k, n in enumerate(names)]
+    masked = {r.doc_id: r.text for r in secrets.redact_secrets(spark.createDataFrame(rows + plain, "doc_id long, text string")).collect()}
+    lost = [kind for i, (kind, key) in keys.items() if key in masked[i]]
+    assert len(lost) <= 0.04 * len(keys) and "long" not in lost, lost
+    assert all(not any(key[j : j + 24] in masked[i] for j in range(0, len(key) - 24, 8)) for i, (kind, key) in keys.items() if kind == "long")
+    assert all(masked[i] == t for i, t in plain)
+
+
 def test_odd_rows_everywhere(spark, odd, labels):
     n = len(ODD)
     assert secrets.find_secrets(odd).count() == n and secrets.redact_secrets(odd).columns == odd.columns
@@ -247,6 +273,19 @@ def test_rule_order_never_changes_verdicts(spark, docs):
     assert (row.n_words, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (13, 2, 1, 10)
 
 
+def test_rules_stand_by_rejections_for_counted_work(spark, docs):
+    rows = rules.measured(rules.sampled(docs, "doc_id", 100), "doc_id", "text")
+    assert rows.count() == 100
+    some = rules.default_rules()
+    ordered = [r.name for r in rules.order_rules(rows, some)]
+    assert all(ordered == [r.name for r in rules.order_rules(rows, some[::-1])] for _ in range(3))
+    texts = rows.toPandas()
+    work = {r.name: len(texts) + r.passes * texts.text.str.len().sum() for r in some}
+    hits = {r.name: rows.where(F.coalesce(r.reject, F.lit(False))).count() for r in some}
+    assert ordered == sorted(ordered, key=lambda n: (-(hits[n] + 0.5) / work[n], n))
+    assert {r.name: w for r, _, w in rules.estimates(rows, some)} == pytest.approx(work)
+
+
 def test_chat_round_trip_of_hostile_texts(spark):
     texts = ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "[\\INST]<|>", "<s>", "", None, "<\\s>[/INST]\\", "é😀\n[INST"]
     rows = [(c, t, ("user", "assistant")[t % 2], texts[(c + t) % len(texts)]) for c in range(9) for t in range(4)] + [(99, None, None, None), (None, 0, "assistant", "x")]
@@ -259,6 +298,15 @@ def test_chat_round_trip_of_hostile_texts(spark):
     assert got[99] == ([("", "")], "") and got[None][1] == "x"
 
 
+def test_chat_ties_go_by_text(spark):
+    rows = [(1, 0, "user", "abc def", 9), (1, 0, "user", "abc", 8), (1, 0, "user", "abc", 7), (2, 0, "user", "", 1)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_tokens int")
+    chats = chat.format_chats(turns.withColumn("parts", chat.text_part(F.col("text"))))
+    got = {r.conv_id: [t.text for t in r.turns] for r in chats.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
+    assert got == {1: ["abc", "abc", "abc def"], 2: [""]}
+    assert chat.format_chats(turns.limit(0).withColumn("parts", chat.text_part(F.col("text")))).count() == 0
+
+
 def test_chat_parts_become_placeholders(spark):
     part = "named_struct('type', {}, 'text', {}, 'ref', {}, 'width', {}, 'height', {}, 'seconds', {}, 'pages', {})"
     image, said = part.format("'image'", "null", "'a.png'", "57", "28", "null", "null"), part.format("'text'", "'see this'", "null", "null", "null", "null", "null")
@@ -280,6 +328,64 @@ def test_languages_by_fused_evidence(spark):
     assert rows[1].lang == "de" and rows[1].declared == "de" and rows[2].lang is not None
 
 
+def test_language_evidence_matches_plain_bayes(spark):
+    """A few pages of three hosts: the fused posterior against the same sums written out."""
+    langs = {"aa": "aba bab abba baab " * 30, "cc": "cdc dcd cddc dccd " * 30}
+    labelled = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(langs.items())], "id long, lang string, text string")
+    p = langid.Fusion(bits=10)
+    facts = [("http://x.one.de/a", "aa", "aba bab"), ("http://x.one.de/b", "cc", "aba cdc"), ("http://y.one.de/c", None, "cdc"), ("http://z.two.fr/", "aa", None), ("http://z.two.fr/", None, "dcd cdc dcd")]
+    html_of = lambda lang, text: f"<html{f' lang={lang}' if lang else ''}><body>{text or ''}</body></html>"
+    pages = spark.createDataFrame([("page", i, u, html_of(d, t)) for i, (u, d, t) in enumerate(facts)], "kind string, id long, address string, text string")
+    got = {r.id: r for r in langid.identify(pages, labelled, p).collect()}
+    names, table = langid.train(labelled, p)
+    like = []
+    for _, _, t in facts:
+        data = np.frombuffer(langid.page_text(html_of(None, t)).encode(), np.uint8)
+        bucket, ok = langid.trigrams(data, np.array([0, len(data)]), p.bits)
+        like.append(table[bucket[ok]].astype(float).sum(axis=0) * min(1, p.evidence / max(1, ok.sum())))
+    share = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    t = [share(x) for x in like]
+    whole = sum(t)
+    prior = (whole + p.strength / 2) / (whole.sum() + p.strength)
+
+    def ratio(keys, own):
+        counts = sum(x for x, k in zip(t, keys, strict=True) if k == own)
+        every = counts.sum() / whole.sum()
+        return (counts + p.strength * every) / (whole + p.strength) / every
+
+    hosts = [u.split("/")[2] for u, _, _ in facts]
+    domains, suffixes = [".".join(h.split(".")[-2:]) for h in hosts], [h.rpartition(".")[2] for h in hosts]
+    for i, (_, d, _) in enumerate(facts):
+        in_domain = [x for x, k in zip(t, domains, strict=True) if k == domains[i]]
+        middle = (sum(in_domain) + p.strength * prior) / (len(in_domain) + p.strength)
+        at_host = [x for n, (x, k) in enumerate(zip(t, hosts, strict=True)) if k == hosts[i] and n != i]
+        host = (sum(at_host, np.zeros(2)) + p.strength * middle) / (len(at_host) + p.strength)
+        logs = like[i] + np.log(host) + np.log(ratio(suffixes, suffixes[i])) + (np.log(ratio([x for _, x, _ in facts], d)) if d else 0)
+        assert got[i].lang == names[int(np.argmax(logs))] and got[i].posterior == pytest.approx(share(logs).max(), abs=1e-6)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    cases = ["<" * 300_000, "<script" * 60_000, "<!--" * 80_000, "<html " * 60_000, "<style>" * 50_000 + "</style>", "lang " * 80_000]
+    began = time.perf_counter()
+    for source in cases:
+        langid.page_text(source), langid.declared_language(source)
+    assert time.perf_counter() - began < 10
+    assert langid.page_text("a<b>c</b><script>x<y</script >d<!-- e > -->f<g") == "a c  d f<g" and langid.page_text("<script>open <i>x</i>") == " open  x "
+    assert langid.declared_language("<html><html class='x' lang = 'DE-at'>") == "de" and langid.declared_language("<p lang=fr>") is None
+
+
+def test_odd_pages_and_rows_of_languages(spark, odd, labels):
+    docs = read_table(spark, SF, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    rows = odd.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("address"), "text", F.lit(1).alias("posterior"), F.lit("x").alias("lang"), F.lit("h").alias("host"))
+    got = langid.identify(rows, docs).collect()
+    assert len(got) == len(ODD) and all(0 < r.posterior <= 1 and r.host == "" for r in got)
+    assert len({(r.lang, round(r.posterior, 9)) for r in got if r.id == 4}) == 1
+    assert langid.identify(rows.limit(0), docs).count() == 0
+    assert all(r.lang is None and r.kept for r in langid.identify(rows, docs.limit(0)).collect())
+
+
 def test_leaks_are_found_and_clean_documents_are_not(spark, docs):
     bench = read_table(spark, SF, "benchmark")
     items = {r.item_id: r.text for r in bench.collect()}
@@ -304,11 +410,135 @@ def test_leaks_that_a_third_of_a_large_table_holds(spark):
     assert {i for i, _ in rows if i % 3 == 0} <= {r.doc_id for r in found.collect()}
 
 
+def test_paraphrases_are_recalled(spark, docs):
+    """Items with a fifth of their words replaced or dropped, never in the answer, inside other prose."""
+    random = np.random.default_rng(4)
+    bench = read_table(spark, SF, "benchmark")
+    prose = docs.where("length(text) > 600").first().text
+    rows = []
+    for r in bench.collect():
+        words, tail = r.text.split(), decontaminate.Latent().answer_words
+        if len(words) <= 2 * tail:
+            continue
+        body = [f"other{random.integers(1000)}" if (x := random.random()) < 0.12 else w if x > 0.18 else "" for w in words[:-tail]] + words[-tail:]
+        rows.append((r.item_id, prose[:250] + " " + " ".join(filter(None, body)) + " " + prose[250:500]))
+    table = docs.select(F.col("doc_id") + 100_000, "text").union(spark.createDataFrame(rows, "doc_id long, text string")).toDF("doc_id", "text")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(table, bench).collect()}
+    recall = sum((i, i) in found for i, _ in rows) / len(rows)
+    print("paraphrase recall", recall, "of", len(rows))
+    assert recall >= 0.9
+
+
+def test_leaks_match_all_texts_by_plain_subsequence(spark, docs):
+    """Texts with parts of items against every item by the plain table of the longest common subsequence."""
+    p, random = decontaminate.Latent(), np.random.default_rng(9)
+    bench = read_table(spark, SF, "benchmark")
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    items = {r.item_id: split(r.text) for r in bench.collect()[:15]}
+    prose = split(docs.where("length(text) > 2000").orderBy("doc_id").first().text)
+    texts = {}
+    for d in range(30):
+        at, own = int(random.integers(len(prose) - 120)), items[sorted(items)[d // 2]]
+        part = [w for w in own if random.random() < (0.5, 0.75, 0.85, 0.95, 1.0)[d % 5]]
+        texts[1_000_000 + d] = prose[at : at + 50] + part + prose[at + 50 : at + 110]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    want = set()
+    for d, words in texts.items():
+        for i, item in items.items():
+            share, answer = common(item, words) / len(item), np.isin(item[-p.answer_words :], words).mean()
+            if share >= p.exact or (share >= p.paraphrase and answer >= p.answer):
+                want.add((d, i))
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect() if r.doc_id in texts and r.item_id in items}
+    assert found <= want and len(want - found) <= 0.05 * len(want) and len(want) > 15, want ^ found
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, labels):
+    """Null and repeated ids, clashing names of any stage, empty tables: rows as the docstrings say, columns as they were."""
+    bench = read_table(spark, SF, "benchmark")
+    leak = bench.first().text
+    kept = read_table(spark, SF, "documents").where("length(text) between 300 and 3000").join(labels.where("quality = 1"), "doc_id").limit(6).select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in kept] + [(None, leak), (kept[0].doc_id, leak), (None, None), (kept[1].doc_id, kept[1].text), (99_999, "")]
+    clash = {c: F.lit("mine") for c in ("_words", "_p", "_hashed", "_features", "prediction", "rawPrediction", "_row", "_id", "_own", "_tokens", "_capitals", "id", "label", "item_id", "_chosen", "_dropped_id", "text_hash")}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash)
+    clean = decontaminate.drop_leaking(df, bench)
+    assert clean.columns == df.columns and clean.count() == len(rows) - 2 and clean.where("id <> 'mine'").count() == 0
+    stages = {"quality": lambda d: quality.keep_good(d, labels), "dedup": neardup.keep_one, "leaks": lambda d: decontaminate.drop_leaking(d, bench), "secrets": secrets.redact_secrets}
+    for name, stage in stages.items():
+        out = stage(df)
+        assert out.columns == df.columns and out.schema == df.schema or name == "dedup", name
+        assert out.where("_words <> 'mine' or prediction <> 'mine'").count() == 0 and stage(df.limit(0)).count() == 0, name
+    mixed = mixing.mixed_documents(df, labels)
+    assert set(df.columns) <= set(mixed.columns) and mixed.schema["_words"].dataType.simpleString() == "string" and mixed.schema["prediction"].dataType.simpleString() == "string"
+    assert mixed.where("_words <> 'mine' or _p <> 'mine'").count() == 0 and mixed.count() > 0
+    assert mixing.mixed_documents(df.limit(0), labels).count() == 0
+
+
 def test_mix_meets_its_targets(spark):
     big = "/root/testdata/sf0.01"
     out = mixing.mix(read_table(spark, big, "documents"), read_table(spark, big, "labels")).toPandas()
     assert (out.rate >= 0).all() and ((out.copies - out.rate).abs() <= 1).all()
     assert abs(out.copies.mul(out.n_tokens).sum() / out.rate.mul(out.n_tokens).sum() - 1) < 0.1
+    mass = {x: (out[f"p_{x}"] * out.rate * out.n_tokens).sum() for x in mixing.TARGETS}
+    for x, share in mixing.TARGETS.items():
+        assert mass[x] / sum(mass.values()) == pytest.approx(share, abs=0.002), x
+
+
+def test_descent_matches_a_plain_one(spark):
+    """Fitted rates against the same projected descent in numpy over all rows."""
+    random = np.random.default_rng(2)
+    names, p = ["a", "b", "c"], mixing.Mix(targets={"a": 0.5, "b": 0.3, "c": 0.2})
+    post = random.dirichlet((0.5, 0.4, 0.3), 400)
+    tokens = random.integers(1, 500, 400)
+    rows = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, post, strict=True)], "_tokens long, p_a double, p_b double, p_c double")
+    steps, total = mixing.fitted_rates(rows, names, names, p)
+    rate, goal = np.ones(400), np.array([0.5, 0.3, 0.2]) * tokens.sum()
+    for _ in range(p.steps):
+        now = post.T @ (tokens * rate)
+        if np.abs(goal - now).sum() <= p.tolerance * goal.sum():
+            break
+        active = tokens * (rate > 0)
+        rate = np.maximum(0, rate + post @ np.linalg.lstsq((post * active[:, None]).T @ post, goal - now, rcond=1e-9)[0])
+    got = np.array([r[0] for r in rows.select(mixing.rate_column(names, steps)).collect()])
+    assert np.allclose(np.sort(got), np.sort(rate), atol=1e-6) and np.allclose(total, goal, rtol=0.01)
+
+
+def test_marginals_match_all_labelings():
+    """Forward-backward against the sum over every labeling of short texts."""
+    from itertools import product
+
+    random = np.random.default_rng(8)
+    first = np.array([0, 1, 5, 5 + 7, 5 + 7 + 3])
+    unary, trans = random.normal(size=(first[-1], 2)), random.normal(size=(2, 2))
+    marginal, joint, log_z = quality.forward_backward(unary, first, trans)
+    want, pairs, total_z = np.zeros(first[-1]), np.zeros((2, 2)), 0.0
+    for s, e in zip(first[:-1], first[1:], strict=True):
+        weights = {}
+        for y in product((0, 1), repeat=e - s):
+            weights[y] = np.exp(sum(unary[s + k, v] for k, v in enumerate(y)) + sum(trans[a, b] for a, b in zip(y, y[1:], strict=False)))
+        z = sum(weights.values())
+        total_z += np.log(z)
+        for y, w in weights.items():
+            want[s:e] += np.array(y) * w / z
+            for a, b in zip(y, y[1:], strict=False):
+                pairs[a, b] += w / z
+    assert np.allclose(marginal, want) and np.allclose(joint, pairs) and log_z == pytest.approx(total_z)
+
+
+def test_long_labelled_texts_take_part_in_the_fit(spark):
+    docs = spark.createDataFrame([(i, "\n".join(["good words in a row here."] * 400) if i % 2 else "\n".join(["#### $$$ !!!"] * 400)) for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    got = quality.quality_scores(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)
+    assert quality.window(10, 4, 123) == slice(123 % 7, 123 % 7 + 4) and quality.window(3, 4, 9) == slice(0, 3)
 
 
 @pytest.mark.parametrize("junk_left", [0, 3])
@@ -325,8 +555,39 @@ def test_mix_keeps_clean_documents_when_junk_is_gone(spark, junk_left):
 
 def test_licence_families(spark):
     text = "Some code follows.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software\n\nbye"
-    got = {r.doc_id: r for r in license.licence_scan(spark.createDataFrame([(1, text), (2, "A plain story about a licence to fish in the river."), (3, None)], "doc_id long, text string")).collect()}
-    assert "mit" in got[1].families.lower() and got[3].n_notices == 0
+    wrapped = "x = 1\n\n# This program is free software: you can redistribute it and/or\n# modify it under the terms of the GNU General Public License as\n# published by the Free Software Foundation\n\ny = 2"
+    rows = [(1, text), (2, "A plain story about a licence to fish in the river."), (3, None), (None, text), (4, "nothing"), (4, "Released under the MIT License."), (5, wrapped)]
+    got = {(r.doc_id, r.n_notices, r.families) for r in license.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, "mit"), (2, 0, "unknown"), (3, 0, "unknown"), (None, 1, "mit"), (4, 0, "unknown"), (4, 1, "mit"), (5, 1, "gpl")}
+
+
+def test_licence_recall_and_precision_on_lines_with_cues(spark):
+    """Notices in words that no template or phrase of the training has, and ordinary sentences with the same words."""
+    notices = {
+        "mit": ["Distributed under the MIT license, see the LICENSE file", "This file is under the terms of the MIT licence", "Permission is hereby granted, free of charge, to any person"], "gpl": ["License: GPL-3.0", "You may use this module under the GNU General Public License v2 or later", "This software is licensed under GNU GPL version 3"],
+        "apache-2.0": ["Distributed under Apache 2.0, a permissive licence", "Code in this directory is licensed under the Apache License 2.0"], "bsd": ["The library has a BSD 3-Clause license", "Licensed under the terms of the BSD License by its authors"],
+        "cc-by-sa": ["Text is available under the CC BY-SA 4.0 license", "Pictures are licensed under Creative Commons Attribution-ShareAlike"], "mpl": ["Covered by the Mozilla Public License 2.0", "MPL 2.0 license applies to this file"],
+        "lgpl": ["This is licensed under the GNU Lesser General Public License"], "agpl": ["Licensed to you under the GNU Affero General Public License v3"], "public-domain": ["The code is released into the public domain by its author, no license needed"],
+    }
+    ordinary = ["The pilot's licence expired last spring.", "Do not publish the letters without permission.", "A copyright notice stood below the painting.", "The law redistributes water among the villages.", "Only licensed doctors may sign the form.", "The rights, reserved by the heirs, were sold.", "He was granted permission to build a shed, free of charge.", "Her songs are in the copyright list of the club.", "The dealer's license number is on the wall.", "A license plate was found in the river.", "Permission slips are due on Friday.", "The teacher explained copyright to the class."]
+    rows = [(f"{family}{k}", family, t) for family, texts in notices.items() for k, t in enumerate(texts)] + [(f"u{k}", "unknown", t) for k, t in enumerate(ordinary)]
+    truth = {i: family for i, family, _ in rows}
+    docs = read_table(spark, SF, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").union(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id string, text string"))
+    got = {r.doc_id: r.families for r in license.licence_scan(docs).collect() if r.doc_id in truth}
+    right = sum(got[i] == f for i, f in truth.items() if f != "unknown")
+    wrong = [(i, got[i]) for i, f in truth.items() if got[i] not in ("unknown", f)]
+    print("licence recall", right, "of", len(truth) - len(ordinary), "missed", [i for i, f in truth.items() if f != "unknown" and got[i] != f], "wrong", wrong)
+    assert right >= 0.85 * (len(truth) - len(ordinary)) and len(wrong) <= 1
+
+
+def test_added_kinds_of_personal_data(spark):
+    texts = {
+        1: "see postgres://bob:s3cret@db.example.com/x now", 2: "account number 1234 5678 90 was closed", 3: "IBAN DE89 3704 0044 0532 0130 00 please", 4: "IBAN DE00 3704 0044 0532 0130 00 please",
+        5: "she lives at 12 Green Hill Street in town", 6: "a quiet street with no number", 7: "http://example.com/a:b@c d", 8: "my account is closed",
+    }
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans if s.kind in ("login", "account", "street")] for r in pii.find_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1] == [("login", "bob:s3cret@db.example.com")] and got[2] == [("account", "1234 5678 90")] and got[3] == [("account", "DE89 3704 0044 0532 0130 00")]
+    assert got[5] == [("street", "12 Green Hill Street")] and not any(got[k] for k in (4, 6, 7, 8))
 
 
 def test_contract_digests(spark):
