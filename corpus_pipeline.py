@@ -43,7 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every stage but the last is cut off in the shared checkpoint folder."""
+    """The rows of the last stage; every stage but the last is cut off in the shared checkpoint folder.
+
+    Null, empty, very long and repeated rows fare as each stage's docstring says: a document without words is one
+    empty line to the first stage, in no group of copies, holds no passage and no secret, and has no tokens to mix.
+    An empty table gives no rows. Columns of other names pass through; those that mixing adds replace their namesakes.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
