@@ -10,13 +10,18 @@ to nation, 7 supplier holds its secret.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import values as V
 from ..functions.session import cut_lineage, read_table
-from ..operators import link, merge
+from ..operators import derive, link, merge
 from ..operators.reach import numbered, rank, reach, scores_from, weighted
+from ..sources.config_files import file_rows
+from ..sources.documents import parse_files
 
 #: Levels that the SQL unrolls; the tables' graphs end at 4, and the last level is empty.
 LEVELS = 6
@@ -231,10 +236,16 @@ def rbac_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets (suppliers) that a namespace's (nation's) readers (customers in debt) may read."""
-    readers = read_table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("perm:"), "c_custkey").alias("src"), F.col("c_nationkey").alias("ns"))
-    pool = read_table(spark, sf_dir, "supplier").select(F.concat(F.lit("k"), "s_suppkey").alias("dst"), F.col("s_nationkey").alias("ns"))
-    return readers.join(pool, "ns").select("src", "dst")
+    """Secrets (suppliers) that a namespace's (nation's) readers (customers in debt, a role each) may read, by way of manifests."""
+    role = '  - {kind: Role, metadata: {name: r%d, namespace: ns%d}, rules: [{resources: [secrets, c%d], verbs: [get]}]}\n  - {kind: RoleBinding, metadata: {name: b%d, namespace: ns%d}, roleRef: {kind: Role, name: r%d}, subjects: []}'
+    key, ns = F.col("c_custkey"), F.col("c_nationkey")
+    roles = read_table(spark, sf_dir, "customer").where("c_acctbal < 0").select(ns.alias("ns"), F.format_string(role, key, ns, key, key, ns, key).alias("line"))
+    secrets = read_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("ns"), F.format_string("  - {kind: Secret, metadata: {name: k%d, namespace: ns%d}}", "s_suppkey", "s_nationkey").alias("line"))
+    lists = roles.unionByName(secrets).groupBy("ns").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
+    files = lists.select(F.format_string("ns%d.yaml", "ns").alias("rel"), F.concat(F.lit("apiVersion: v1\nkind: List\nitems:\n"), "lines").alias("content"))
+    emitted, _ = derive.derive_k8s(cut_lineage(parse_files(file_rows(files))))
+    edges = derive.split(reduce(DataFrame.unionByName, emitted)).edges.where("rel = 'can read'")
+    return edges.select(F.concat(F.lit("perm:"), F.regexp_extract("src", ":c([0-9]+),secrets:", 1)).alias("src"), F.regexp_extract("dst", "/(k[0-9]+)$", 1).alias("dst"))
 
 
 def network_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,8 +259,9 @@ def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skipped_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return counts.agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s x%d", "event_type", "n"))), ", ").alias("kinds"))
+    """Event types as kinds that a scan skips."""
+    said = derive.skipped_kinds(read_table(spark, sf_dir, "events").select(F.array("event_type").alias("skipped")))
+    return said.select(F.regexp_extract("message", "^skipped unsupported Kubernetes kinds: (.*)$", 1).alias("kinds"))
 
 
 def credential_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,6 +342,33 @@ def rank_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CREDENTIAL_SQL = "regexp_matches({n}, '(?i)(key|token|secret|passw|pwd|credential|auth|private|dsn|conn)') AND NOT regexp_matches({n}, '(?i)(_FILE|_PATH|_URL_PATH|KEYBOARD|AUTHOR)$')"
 
+# Each word of a turn with the one before it, masked by the same three rules.
+REDACT_SQL = f"""WITH t AS (SELECT conv_id, turn, string_split_regex(text, '[ \\n]+') AS a FROM conversations),
+ w AS (SELECT conv_id, turn, i, a[i] AS x, coalesce(a[i - 1], '') AS b FROM t, unnest(range(1, len(a) + 1)) AS r(i)),
+ u AS (SELECT *, regexp_replace(x, '(\\w+://)[^/@\\s]+@', '\\1***@', 'g') AS y, replace(regexp_replace(b, '^-+', ''), '-', '_') AS name FROM w),
+ m AS (SELECT *, CASE WHEN starts_with(b, '-') AND {CREDENTIAL_SQL.format(n="name")} THEN '***'
+  WHEN regexp_matches(y, '(?i)^--?[\\w.-]*(?:key|token|secret|passw|pwd|auth)[\\w.-]*[=:].+$') THEN regexp_extract(y, '(?i)^(--?[\\w.-]*(?:key|token|secret|passw|pwd|auth)[\\w.-]*[=:]).+$', 1) || '***'
+  WHEN regexp_matches(y, '^[A-Za-z0-9_+/=.-]{{24,}}$') AND regexp_matches(y, '[a-z]') AND regexp_matches(y, '[A-Z]') AND regexp_matches(y, '[0-9]') AND NOT starts_with(y, '/') THEN '***' ELSE y END AS z FROM u)"""
+
+
+def hint_sql(words: tuple[str, ...]) -> str:
+    return f"regexp_matches(txt, '{'|'.join(words)}')"
+
+
+CLASSIFY_SQL = REDACT_SQL + f""", p AS (SELECT conv_id, turn, any_value(x) FILTER (i = 1) AS cmd, lower(string_agg(x, ' ' ORDER BY i)) AS txt, coalesce(list(x ORDER BY i) FILTER (i > 1), []) AS args,
+  min(i) FILTER (i > 1 AND contains(x, 'server-filesystem')) AS pos, max(i) AS n FROM m GROUP BY ALL),
+ q AS (SELECT *, regexp_extract(cmd, '[^/]*$') AS base FROM p),
+ f AS (
+  SELECT conv_id, turn, 1 AS o, 0 AS k, 'cap:exec:shell=runs shell commands' AS s FROM q WHERE lower(base) IN {V.SHELLS} OR {hint_sql(V.SHELL_HINTS)}
+  UNION ALL SELECT conv_id, turn, 2, 0, 'cap:exec:code=runs inline code' FROM q WHERE regexp_matches(lower(base), '^(python|node)') AND list_has_any(args, ['-c', '-e'])
+  UNION ALL SELECT conv_id, turn, 3, 0, 'fs:write:.=filesystem root' FROM q WHERE contains(txt, 'server-filesystem') AND (pos IS NULL OR pos = n)
+  UNION ALL SELECT q.conv_id, q.turn, 3, m.i, 'fs:write:' || m.z || '=filesystem root' FROM q JOIN m ON m.conv_id = q.conv_id AND m.turn = q.turn AND m.i > q.pos WHERE NOT starts_with(m.x, '-')
+  UNION ALL SELECT conv_id, turn, 4, 0, 'cap:data:sql=database access' FROM q WHERE {hint_sql(V.SQL_HINTS)}
+  UNION ALL SELECT conv_id, turn, 5, 0, 'cap:net:http=makes web requests' FROM q WHERE {hint_sql(V.HTTP_HINTS)}
+  UNION ALL SELECT conv_id, turn, 6, 0, 'cap:k8s:kubeconfig=uses kubeconfig' FROM q WHERE {hint_sql(V.K8S_HINTS)}
+  UNION ALL SELECT q.conv_id, q.turn, 7, m.i, CASE WHEN m.x = '--privileged' THEN 'cap:host:root=docker --privileged' ELSE 'cap:host:pid=docker --pid host' END FROM q JOIN m ON m.conv_id = q.conv_id AND m.turn = q.turn AND m.i > 1 WHERE base = 'docker' AND m.x IN ('--privileged', '--pid=host'))
+ SELECT t.conv_id, t.turn, coalesce((SELECT string_agg(s, ',' ORDER BY o, k) FROM f WHERE f.conv_id = t.conv_id AND f.turn = t.turn), '') AS found FROM t"""
+
 QUERIES = {f.__name__: f for f in (
     rank_agents, blast_reachable, blast_findings, blast_paths, all_radii_scores, upsert_nodes, edge_dedupe, alias_join, unresolved_refs, prefix_join, promote_agents, rbac_severity,
     secret_fanout, network_mesh, kind_counts, skipped_kinds, credential_names, redact_text, classify_text, host_paths, fs_paths, mounts, url_host, degrees, edge_families, search_neighbourhood, rank_suppliers,
@@ -367,6 +406,8 @@ SQL = {
     "kind_counts": f"WITH {NODES_SQL} SELECT kind, count(*) AS n FROM nodes GROUP BY kind",
     "skipped_kinds": "SELECT string_agg(event_type || ' x' || n, ', ' ORDER BY event_type || ' x' || n) AS kinds FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)",
     "credential_names": f"SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents) WHERE {CREDENTIAL_SQL.format(n='name')} GROUP BY name",
+    "redact_text": REDACT_SQL + " SELECT conv_id, turn, count(*) FILTER (x <> z) AS n_masked, sha256(string_agg(z, ' ' ORDER BY i)) AS masked_sha256 FROM m GROUP BY ALL",
+    "classify_text": CLASSIFY_SQL,
     "host_paths": PATHS_SQL + f" SELECT p_partkey, {HOST_ID_SQL.format(p='path', ro='flag')} AS id, ({HOST_SQL.format(p='path', ro='flag')})::INT AS severity FROM paths",
     "fs_paths": PATHS_SQL + """ SELECT p_partkey, 'fs:' || CASE WHEN flag THEN 'write' ELSE 'read' END || ':' || path AS id, 'Filesystem ' || CASE WHEN flag THEN 'write' ELSE 'read' END || ': ' || path AS label,
  (CASE WHEN flag THEN 5 ELSE 3 END + CASE WHEN path IN ('/', '~', '$HOME', '.') OR regexp_matches(path, '^(/Users/[^/]+|/home/[^/]+|~)/?$') THEN 3 ELSE 0 END)::INT AS severity FROM paths""",

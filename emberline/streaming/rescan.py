@@ -1,35 +1,52 @@
-"""Continuous re-scan: config files that arrive as rows keep the tables of a graph fresh."""
+"""Continuous re-scan: config files that arrive as rows keep the ranking of a graph fresh.
+
+A batch parses only the files that arrive. Their typed rows are stored under the batch's
+number, and the graph is linked anew from the newest rows of each file, because
+links cross files. Everything is written to paths of the batch, so a batch that is
+run again after a failure replaces what it wrote, and readers of an earlier ranking are not disturbed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.session import cut_lineage
-from ..plans.scan import build_graph, rank_agents
+from ..plans.scan import graph_of, rank_agents
 from ..sources.config_files import file_rows
+from ..sources.documents import Labels, parse_files
 
 FILE_SCHEMA = "rel string, content string, version bigint"
 
 
 def latest(files: DataFrame) -> DataFrame:
-    """The newest version of each file."""
-    from pyspark.sql import functions as F
+    """(rel, content, version): the newest version of each file; of equal versions the one whose content sorts last, nulls first."""
+    best = files.groupBy("rel").agg(F.max(F.struct("version", "content")).alias("best"))
+    return best.select("rel", "best.content", "best.version")
+
+
+def current_rows(spark: SparkSession, archive: str) -> DataFrame:
+    """Typed rows of every file's newest version; of equal versions the one that arrived last."""
+    newest = spark.read.parquet(f"{archive}/files").groupBy("rel").agg(F.max(F.struct("version", "batch")).alias("m")).select("rel", "m.batch")
+    return spark.read.parquet(f"{archive}/rows").join(newest, ["rel", "batch"], "left_semi").drop("batch")
 
-    return files.groupBy("rel").agg(F.max_by("content", "version").alias("content"))
 
+def current_ranking(spark: SparkSession, output: str) -> DataFrame:
+    """The ranking of the last batch that was written whole."""
+    ranking = spark.read.parquet(f"{output}/ranking")
+    last = ranking.agg(F.max("batch")).first()[0]
+    return ranking.where(F.col("batch") == last).drop("batch")
 
-def start_rescan(stream: DataFrame, archive: str, output: str, checkpoint: str) -> StreamingQuery:
-    """Start a query that appends arriving files (rel, content, version) to archive and rewrites output/ranking.
 
-    Links cross files, so a batch rebuilds the graph from the archive's newest versions. A batch that
-    is run again after a failure appends rows that latest() makes equal.
-    """
+def start_rescan(stream: DataFrame, archive: str, output: str, checkpoint: str, labels: Labels | None = None) -> StreamingQuery:
+    """Start a query that takes arriving files (rel, content, version) into archive and ranks the agents anew under output."""
 
-    def batch(files: DataFrame, _: int) -> None:
-        spark = files.sparkSession
-        files.select("rel", "content", "version").write.mode("append").parquet(archive)
-        graph = build_graph(file_rows(cut_lineage(latest(spark.read.parquet(archive)))))
-        rank_agents(graph).write.mode("overwrite").parquet(f"{output}/ranking")
+    def batch(files: DataFrame, number: int) -> None:
+        spark, arrived = files.sparkSession, cut_lineage(latest(files))
+        arrived.select("rel", "version").write.mode("overwrite").parquet(f"{archive}/files/batch={number}")
+        parse_files(file_rows(arrived), labels).write.mode("overwrite").parquet(f"{archive}/rows/batch={number}")
+        graph = graph_of(cut_lineage(current_rows(spark, archive)))
+        rank_agents(graph).write.mode("overwrite").parquet(f"{output}/ranking/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
