@@ -3,8 +3,8 @@
 Every start explores breadth first. A node counts for a start by the edge that
 meets it first; it hands on its own access only if that edge is transitive.
 First means: least level, then the parent met first, then the parent's earlier
-edge. Edges get a number in the order of their source's edges, and every row of a
-level gets one in the order of discovery (its place), both by range partitions and
+edge. Edges get a number in the order of their source's edges, and the rows that a level hands
+on get one in the order of discovery, both by range partitions and
 without a window, so that a level is settled by fixed-width minimums.
 """
 
@@ -32,12 +32,15 @@ def numbered_edges(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def discover(edges: DataFrame, starts: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """The levels of numbered edges from starts: start, node, parent (its place), edge, transitive, place.
+    """The levels of numbered edges from starts: start, node, parent, edge, transitive.
 
-    A level costs an expansion join, an aggregation with map-side combine by (start, node), anti joins with
-    the levels before and a sort; it is stored, so that a lost executor costs no earlier level again.
+    (parent, edge) is the order of discovery of a start's nodes inside a level, parent being the number of the row
+    that hands on. A level costs an expansion join, an aggregation with map-side combine by (start, node) and anti joins
+    with the levels before; only rows that hand on to anything are sorted. Levels are stored, so that a lost
+    executor costs no earlier level again.
     """
     step = edges.select("src", F.col("dst").alias("next"), "edge", F.col("transitive").alias("passes"))
+    sources = scratch.store(edges.select(F.col("src").alias("node")).distinct())
     frontier = starts.where("start is not null").select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("place")).distinct()
     levels: list[DataFrame] = []
     while True:
@@ -45,11 +48,14 @@ def discover(edges: DataFrame, starts: DataFrame, scratch: Scratch) -> list[Data
         first = met.groupBy("start", F.col("next").alias("node")).agg(F.min("place").alias("parent"), F.min_by("edge", "place").alias("edge"), F.min_by("passes", "place").alias("transitive"))
         for before in levels:
             first = first.join(before.select("start", "node"), ["start", "node"], "left_anti")
-        level = scratch.store(in_order(first, "place", "start", "parent", "edge"))
+        level = scratch.store(first)
         if level.isEmpty():
             return levels
         levels.append(level)
-        frontier = level.where("transitive").select("start", "node", "place")
+        ahead = level.where("transitive").join(sources, "node", "left_semi")
+        frontier = scratch.store(in_order(scratch.store(ahead.select("start", "node", "parent", "edge")), "place", "start", "parent", "edge").select("start", "node", "place"))
+        if frontier.isEmpty():
+            return levels
 
 
 def joined_levels(levels: list[DataFrame], *columns: str) -> DataFrame | None:
@@ -61,7 +67,7 @@ def joined_levels(levels: list[DataFrame], *columns: str) -> DataFrame | None:
 
 
 def reach(edges: DataFrame, starts: DataFrame, hops: bool = False) -> DataFrame:
-    """One row per start and node reached: start, node, src, rel, level, place, transitive (and hops).
+    """One row per start and node reached: start, node, src, rel, level, place (parent, edge), transitive (and hops).
 
     edges: src, dst, rel, transitive, seq; seq orders the edges of a source and has any orderable type. The order
     of discovery of a start is (level, place). With hops also file and line, and the way to every node is
@@ -73,13 +79,14 @@ def reach(edges: DataFrame, starts: DataFrame, hops: bool = False) -> DataFrame:
         levels = discover(numbered_, starts, scratch)
         hop = F.struct(*HOP).alias("hop") if hops else F.lit(None).alias("hop")
         by_edge = numbered_.select("edge", "src", "rel", hop)
-        empty = starts.sparkSession.createDataFrame([], "start string, node string, edge long, transitive boolean, place long, level int")
+        place = F.struct("parent", "edge").alias("place")
+        if not levels:
+            levels = [starts.select("start", F.col("start").alias("node"), *[F.lit(0).cast("long").alias(c) for c in ("parent", "edge")], F.lit(True).alias("transitive")).limit(0)]
         if not hops:
-            out = joined_levels(levels, "start", "node", "edge", "transitive", "place") or empty
-            return cut_lineage(out.join(by_edge, "edge").select("start", "node", "src", "rel", "level", "place", "transitive"))
+            return cut_lineage(joined_levels(levels, "start", "node", "parent", "edge", "transitive").join(by_edge, "edge").select("start", "node", "src", "rel", "level", place, "transitive"))
         named, before = [], None
         for level in levels:
-            now = level.join(by_edge, "edge").select("start", "node", "src", "rel", "place", "transitive", "hop")
+            now = level.join(by_edge, "edge").select("start", "node", "src", "rel", place, "transitive", "hop")
             if before is None:
                 now = now.withColumn("hops", F.array("hop")).drop("hop")
             else:
@@ -87,9 +94,7 @@ def reach(edges: DataFrame, starts: DataFrame, hops: bool = False) -> DataFrame:
                 now = now.join(way, ["start", "src"]).withColumn("hops", F.concat("way", F.array("hop"))).drop("hop", "way")
             before = scratch.store(now)
             named.append(before)
-        columns = ("start", "node", "src", "rel", "place", "transitive", "hops")
-        out = joined_levels(named, *columns)
-        return cut_lineage(out if out is not None else empty.join(by_edge, "edge").withColumn("hops", F.array("hop")).select(*columns, "level"))
+        return cut_lineage(joined_levels(named, "start", "node", "src", "rel", "place", "transitive", "hops"))
 
 
 def weighted(reached: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -112,8 +117,7 @@ def scores_from(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFr
     """score() of starts straight from edges: only pairs of start and node are kept, no evidence."""
     with Scratch(edges.sparkSession) as scratch:
         pairs = joined_levels(discover(numbered_edges(edges, scratch), starts, scratch), "start", "node")
-        if pairs is None:
-            pairs = starts.select("start", F.col("start").alias("node")).limit(0)
+        pairs = starts.select("start", F.col("start").alias("node")).limit(0) if pairs is None else pairs
         return cut_lineage(score(pairs, nodes, starts))
 
 
