@@ -340,9 +340,9 @@ def able(dev: DataFrame, p: HyperMinHash) -> DataFrame:
     return scored.join(bounds, "hub").where(may & (F.col("linked") | (F.col("size") >= F.col("need")))).drop("top", "low", "lowest")
 
 
-def by_rare_tokens(dev: DataFrame) -> DataFrame:
+def by_rare_tokens(dev: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that share one of the rarest tokens of each, of which one at least is not linked to the hub."""
-    rows = dev.repartition("node", "hub").select("hub", "node", "component", "linked", "need", "partly", "most", "least", F.explode("tokens").alias("token"))
+    rows = scratch.store(dev.repartition("node", "hub").select("hub", "node", "component", "linked", "need", "partly", "most", "least", F.explode("tokens").alias("token")))
     common = rows.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1")
     found = rows.join(common, ["hub", "token"]).groupBy("hub", "node", "component", "linked", "need", "partly", "most", "least").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
 
@@ -444,7 +444,7 @@ def _components(texts: DataFrame, classes: DataFrame, scratch: Scratch, p: Hyper
     component = connected_components(links.union(spokes), scratch)
     still = open_bands(placed(led.drop("component"), component)).select("node", "hub", "component").distinct()
     close = scratch.store(able(dev.drop("component").join(still, ["node", "hub"]), p))
-    more = scratch.store(verified(by_rare_tokens(close)), thin=True)
+    more = scratch.store(verified(by_rare_tokens(close, scratch)), thin=True)
     return connected_components(component.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), scratch)
 
 
