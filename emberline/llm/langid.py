@@ -117,7 +117,7 @@ def train(labelled: DataFrame, p: Fusion) -> tuple[list[str], np.ndarray]:
     """Languages and (buckets, languages) log likelihoods from (id, lang, text), on at most train_rows rows."""
     chosen = labelled.where("lang is not null and id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(p.train_rows)
     often = labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.languages).select("lang")
-    sample = labelled.where("lang is not null").join(F.broadcast(chosen), "id").join(F.broadcast(often), "lang", "left_semi").select("lang", "text")
+    sample = labelled.where("lang is not null").join(F.broadcast(chosen), "id").join(F.broadcast(often), "lang", "left_semi").orderBy(F.xxhash64("id", "lang", "text")).limit(p.train_rows).select("lang", "text")
     rows = sample.mapInArrow(_counts(p), "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["label"] for r in rows})
     counts = np.full((1 << p.bits, len(langs)), 0.5)

@@ -63,6 +63,7 @@ def train_domains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     names = sorted(p.targets)
     chosen = domain_labels(labels, id_col).where(F.col("domain").isin(names)).orderBy(F.xxhash64("id"), "id").limit(p.train_rows)
     rows = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(chosen), "id")
+    rows = rows.orderBy(F.xxhash64("id", text_col)).limit(p.train_rows)  # an id may stand on any number of rows
     rows = cut_lineage(with_features(rows, text_col).select("domain", "_words", "_capitals", "_symbols", "_repeats").repartition(6))
     present = sorted(r["domain"] for r in rows.select("domain").distinct().collect())
     if len(present) < 2:

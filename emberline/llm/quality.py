@@ -189,6 +189,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     chosen = labels.where(F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % 3 != 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(p.train_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text", F.crc32(F.col("id").cast("string")).alias("place")).mapInArrow(_features(p.train_lines), "id long, label int, features binary")
+    rows = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("features"), "features").limit(p.train_rows)  # an id may stand on any number of rows
     got = sorted((r["id"], r["label"], bytes(r["features"])) for r in rows.collect())
     parts = [np.frombuffer(f, np.float32).reshape(-1, N_ALL).astype(np.float64) for _, _, f in got]
     first = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)

@@ -107,9 +107,9 @@ def order_rules(rows: DataFrame, rules: list[Rule]) -> list[Rule]:
 
 
 def sampled(docs: DataFrame, id_col: str, sample_rows: int) -> DataFrame:
-    """The rows of at most sample_rows ids, the first by hash, wherever they stand."""
+    """At most sample_rows rows, those of the first ids by hash, wherever they stand; of a repeated id's rows the first by hash."""
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_chosen")).distinct().orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample_rows)
-    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("_chosen"), "left_semi")
+    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("_chosen"), "left_semi").orderBy(F.xxhash64(*docs.columns)).limit(sample_rows)
 
 
 def cascade(rules: list[Rule]) -> Column:

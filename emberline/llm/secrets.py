@@ -143,12 +143,16 @@ def _scan(p: Novelty, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]],
                     if value is not None and not covered(start, end):
                         out.append({"kind": "novel", "start": start, "end": end, "novelty": value})
                     at = done = end
-            # The pattern stops inside a value at signs such as '!'; the rest is part of the same secret.
-            novel = [x for x in out if x["kind"] == "novel"]
-            for start, end in [(m.start(2), rest_of.match(text, m.end()).end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_MIN] if found else []:
+            # The pattern stops inside a value at signs such as '!'; the rest is part of the same secret, whatever its novelty.
+            novel, run_end = [x for x in out if x["kind"] == "novel"], 0
+            for m in ASSIGN.finditer(text) if found else ():
+                start = m.start(2)
+                if len(m[2]) < ASSIGN_MIN or start < run_end:
+                    continue
+                run_end = end = rest_of.match(text, m.end()).end()
                 k = bisect_right(novel, start, key=lambda x: x["start"]) - 1
                 if not covered(start, end) and not (k >= 0 and end <= novel[k]["end"]):
-                    out.append({"kind": "novel", "start": start, "end": end, "novelty": novelty(text, start, end)})
+                    out.append({"kind": "novel", "start": start, "end": end, "novelty": novelty(text, start, min(end, start + p.most))})
             return sorted(out, key=lambda x: (x["start"], kind_order[x["kind"]]))
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.float64())]))
@@ -163,7 +167,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, spans) for every row: kind, start, end (code points, end exclusive) and novelty.
 
     Kinds assign, access and hex are the fixed patterns; novel spans stand within
-    reach of a cue or go on where an assigned value's pattern stops, and may overlap them. Null and empty texts have no spans.
+    reach of a cue, or go on where an assigned value's pattern stops: these are reported by rule, with the novelty of
+    their first code points for the record, and one run gives one span however many assignments it holds. They may overlap base spans. Null and empty texts have no spans.
     Rows with a null or repeated id are returned like any other.
     """
     p = params or Novelty()
