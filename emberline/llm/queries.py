@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import read_table
+from .bytebpe import bpe_decode, bpe_encode
 from .chat import format_chats, masked_text, read_turns, text_part
 from .decontaminate import find_leaks
 from .langid import identify
@@ -140,6 +141,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file, as installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    coded = bpe_decode(bpe_encode(read_table(spark, sf_dir, "documents"), ranks), ranks)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_novelty": op1_secret_novelty,
     "op2_quality_crf": op2_quality_crf,
@@ -151,5 +166,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_cascade": op8_rule_cascade,
     "op9_chat_parts": op9_chat_parts,
     "op10_language_fusion": op10_language_fusion,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 SQL: dict[str, str] = {"op7_hyperminhash": OP7_SQL, "op8_rule_cascade": OP8_SQL, "op9_chat_parts": OP9_SQL}
