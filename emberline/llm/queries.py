@@ -17,6 +17,7 @@ from .mixing import mix
 from .neardup import HyperMinHash, near_duplicates
 from .pii import find_pii
 from .quality import quality_scores
+from .resample import resample
 from .rules import quality_rules
 from .secrets import find_secrets, span_text
 
@@ -155,6 +156,39 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 byte by byte over the hex digits of a feature, with its table made by rule; each feature is hashed once.
+OP13_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+w AS (
+  SELECT 0 AS side, row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS ws FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') FROM benchmark),
+f AS (
+  SELECT side, row, f, count(*) AS n FROM (
+    SELECT side, row, unnest(list_concat(ws, list_concat(list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i+1], ' ')), list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))))) AS f FROM w)
+  GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+b AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: (instr('0123456789ABCDEF', x[i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1]) - 1)),
+    lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8))) % 10000 AS bucket FROM h, crc),
+p AS (SELECT side, row, bucket, sum(n)::BIGINT AS n FROM f JOIN b USING (f) GROUP BY ALL),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM p GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t FROM c),
+g AS (SELECT bucket, floor(1000 * ln((c.t + 1) * (a.s + 10000) / ((c.s + 1) * (a.t + 10000))))::BIGINT AS gain FROM c, a),
+d AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM p JOIN g USING (bucket) WHERE side = 0 GROUP BY row),
+e AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || sha256('42:' || coalesce(w.doc_id::VARCHAR, ''))[1:8])::BIGINT AS h
+  FROM w LEFT JOIN d USING (row) WHERE side = 0),
+r AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM e),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS n FROM r WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN n <= (SELECT count(*) * 5 // 100 FROM o) THEN n END AS rank FROM o
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM r WHERE n_words < 20
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_novelty": op1_secret_novelty,
     "op2_quality_crf": op2_quality_crf,
@@ -167,5 +201,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_parts": op9_chat_parts,
     "op10_language_fusion": op10_language_fusion,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-SQL: dict[str, str] = {"op7_hyperminhash": OP7_SQL, "op8_rule_cascade": OP8_SQL, "op9_chat_parts": OP9_SQL}
+SQL: dict[str, str] = {"op7_hyperminhash": OP7_SQL, "op8_rule_cascade": OP8_SQL, "op9_chat_parts": OP9_SQL, "op13_importance_resampling": OP13_SQL}
