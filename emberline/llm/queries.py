@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import read_table
+from .alignment import align
 from .bytebpe import bpe_decode, bpe_encode
 from .chat import format_chats, masked_text, read_turns, text_part
 from .decontaminate import find_leaks
@@ -150,6 +151,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))[0]
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_file("byte_bpe_50k.tiktoken")
     coded = bpe_decode(bpe_encode(read_table(spark, sf_dir, "documents"), ranks), ranks)
@@ -200,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_cascade": op8_rule_cascade,
     "op9_chat_parts": op9_chat_parts,
     "op10_language_fusion": op10_language_fusion,
+    "op11_token_alignment": op11_token_alignment,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_importance_resampling": op13_importance_resampling,
 }
