@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +26,8 @@ def libraries():
     return a, SentencePieceProcessor(model_file=B)
 
 
-def plain_bytes_a(model, k):
+@cache
+def letters():
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     letter, n = {}, 0
     for byte in range(256):
@@ -34,7 +36,11 @@ def plain_bytes_a(model, k):
         else:
             letter[chr(256 + n)] = byte
             n += 1
-    return bytes(letter[c] for c in model.id_to_token(k))
+    return letter
+
+
+def plain_bytes_a(model, k):
+    return bytes(letters()[c] for c in model.id_to_token(k))
 
 
 def plain_bytes_b(model, k):
