@@ -239,10 +239,11 @@ def secret_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets (suppliers) that a namespace's (nation's) readers (customers in debt, a role each) may read, by way of manifests."""
     role = '  - {kind: Role, metadata: {name: r%d, namespace: ns%d}, rules: [{resources: [secrets, c%d], verbs: [get]}]}\n  - {kind: RoleBinding, metadata: {name: b%d, namespace: ns%d}, roleRef: {kind: Role, name: r%d}, subjects: []}'
     key, ns = F.col("c_custkey"), F.col("c_nationkey")
-    roles = read_table(spark, sf_dir, "customer").where("c_acctbal < 0").select(ns.alias("ns"), F.format_string(role, key, ns, key, key, ns, key).alias("line"))
-    secrets = read_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("ns"), F.format_string("  - {kind: Secret, metadata: {name: k%d, namespace: ns%d}}", "s_suppkey", "s_nationkey").alias("line"))
-    lists = roles.unionByName(secrets).groupBy("ns").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
-    files = lists.select(F.format_string("ns%d.yaml", "ns").alias("rel"), F.concat(F.lit("apiVersion: v1\nkind: List\nitems:\n"), "lines").alias("content"))
+    file = lambda k: F.floor(F.col(k) / 1250).cast("long").alias("file")
+    roles = read_table(spark, sf_dir, "customer").where("c_acctbal < 0").select(ns.alias("ns"), file("c_custkey"), F.format_string(role, key, ns, key, key, ns, key).alias("line"))
+    secrets = read_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("ns"), file("s_suppkey"), F.format_string("  - {kind: Secret, metadata: {name: k%d, namespace: ns%d}}", "s_suppkey", "s_nationkey").alias("line"))
+    lists = roles.unionByName(secrets).groupBy("ns", "file").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
+    files = lists.select(F.format_string("ns%d-%d.yaml", "ns", "file").alias("rel"), F.concat(F.lit("apiVersion: v1\nkind: List\nitems:\n"), "lines").alias("content"))
     emitted, _ = derive.derive_k8s(cut_lineage(parse_files(file_rows(files))))
     edges = derive.split(reduce(DataFrame.unionByName, emitted)).edges.where("rel = 'can read'")
     return edges.select(F.concat(F.lit("perm:"), F.regexp_extract("src", ":c([0-9]+),secrets:", 1)).alias("src"), F.regexp_extract("dst", "/(k[0-9]+)$", 1).alias("dst"))
