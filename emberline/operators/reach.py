@@ -3,13 +3,15 @@
 Every start explores breadth first. A node counts for a start by the edge that
 meets it first; it hands on its own access only if that edge is transitive.
 First means: least level, then the parent met first, then the parent's earlier
-edge. Edges get a number in the order of their source's edges, and the rows that a level hands
-on get one in the order of discovery, both by range partitions and
-without a window, so that a level is settled by fixed-width minimums.
+edge. Nodes are numbered once. Edges get a number in the order of their source's edges, and the rows that
+a level hands on get one in the order of discovery, both by range partitions and
+without a window, so that a level is settled by fixed-width minimums. Names and evidence are joined at the end, to what is asked for alone.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,77 +26,162 @@ def in_order(df: DataFrame, name: str, *order: str) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
 
 
-def numbered_edges(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """The first edge of each source and target, with edge, its number among all; self loops are left out."""
-    carried = F.struct("rel", "seq", "transitive", *[c for c in ("file", "line") if c in edges.columns])
-    first = edges.where("src <> dst").groupBy("src", "dst").agg(F.min_by(carried, F.col("seq")).alias("first")).select("src", "dst", "first.*")
-    return scratch.store(in_order(first, "edge", "src", "seq").drop("seq"))
+@dataclass
+class Numbered:
+    """A graph in numbers, stored. ids: id, n. steps: src, dst (numbers), code, weight. edges: edge, src, and the edge's own columns.
+
+    code is 4 times the edge's number, plus 2 if it is transitive, plus 1 if the search goes on from its target; so codes
+    are in the order of edges, and one number says all a level has to know. weight is the target's severity if positive.
+    """
 
+    ids: DataFrame
+    steps: DataFrame
+    edges: DataFrame
 
-def discover(edges: DataFrame, starts: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """The levels of numbered edges from starts: start, node, parent, edge, transitive.
 
-    (parent, edge) is the order of discovery of a start's nodes inside a level, parent being the number of the row
-    that hands on. A level costs an expansion join, an aggregation with map-side combine by (start, node) and anti joins
-    with the levels before; only rows that hand on to anything are sorted. Levels are stored, so that a lost
-    executor costs no earlier level again.
+def number(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None, scratch: Scratch) -> Numbered:
+    """Nodes get a number each and the first edge of each source and target one in order; self loops are left out."""
+    carried = F.struct("rel", "seq", "transitive", *[c for c in ("file", "line") if c in edges.columns])
+    first = edges.where("src <> dst").groupBy("src", "dst").agg(F.min_by(carried, F.col("seq")).alias("first")).select("src", "dst", "first.*")
+    first = scratch.store(first)
+    every = first.select(F.explode(F.array("src", "dst")).alias("id")).unionByName(starts.where("start is not null").select(F.col("start").alias("id"))).distinct()
+    ids = scratch.store(every.withColumn("n", F.monotonically_increasing_id()))
+    named = lambda end: ids.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"))
+    sources = first.select(F.col("src").alias("dst")).distinct().withColumn("goes", F.lit(True))
+    whole = first.join(named("src"), "src").join(named("dst"), "dst").join(sources, "dst", "left")
+    if nodes is None:
+        whole = whole.withColumn("weight", F.lit(0))
+    else:
+        heavy = nodes.where("severity > 0").groupBy(F.col("id").alias("dst")).agg(F.max("severity").cast("int").alias("weight"))
+        whole = whole.join(heavy, "dst", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    placed = scratch.store(in_order(scratch.store(whole), "edge", "src_n", "seq").drop("seq"))
+    bit = lambda c, by: F.when(c, by).otherwise(0)
+    onward = F.coalesce(F.col("goes") & F.col("transitive"), F.lit(False))
+    steps = placed.select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst"), (F.col("edge") * 4 + bit(F.col("transitive"), 2) + bit(onward, 1)).alias("code"), "weight")
+    own = [c for c in placed.columns if c not in ("src", "dst", "src_n", "dst_n", "goes")]
+    return Numbered(ids, steps, placed.select(*own, F.col("src_n").alias("at"), "src", "dst"))
+
+
+class Search:
+    """A search from many starts, made in the scratch of a with block; what its methods return is cut off from it.
+
+    A level costs two shuffles: the rows that hand on meet their edges, and what they meet is settled by (start, node) together with
+    the pairs met before, which settle as visited. Only rows that hand on are sorted. Pairs are two numbers. Levels are stored, so that a
+    lost executor costs no earlier level again. AQE splits the join where many starts stand on one node.
     """
-    step = edges.select("src", F.col("dst").alias("next"), "edge", F.col("transitive").alias("passes"))
-    sources = scratch.store(edges.select(F.col("src").alias("node")).distinct())
-    frontier = starts.where("start is not null").select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("place")).distinct()
-    levels: list[DataFrame] = []
-    while True:
-        met = frontier.join(step, F.col("node") == F.col("src")).where("next <> start")
-        first = met.groupBy("start", F.col("next").alias("node")).agg(F.min("place").alias("parent"), F.min_by("edge", "place").alias("edge"), F.min_by("passes", "place").alias("transitive"))
-        for before in levels:
-            first = first.join(before.select("start", "node"), ["start", "node"], "left_anti")
-        level = scratch.store(first)
-        if level.isEmpty():
-            return levels
-        levels.append(level)
-        ahead = level.where("transitive").join(sources, "node", "left_semi")
-        frontier = scratch.store(in_order(scratch.store(ahead.select("start", "node", "parent", "edge")), "place", "start", "parent", "edge").select("start", "node", "place"))
-        if frontier.isEmpty():
-            return levels
-
-
-def joined_levels(levels: list[DataFrame], *columns: str) -> DataFrame | None:
-    out = None
-    for n, level in enumerate(levels, 1):
-        one = level.select(*columns, F.lit(n).alias("level"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def reach(edges: DataFrame, starts: DataFrame, hops: bool = False) -> DataFrame:
+
+    def __init__(self, edges: DataFrame, starts: DataFrame, scratch: Scratch, nodes: DataFrame | None = None) -> None:
+        self.scratch, self.nodes, self.graph = scratch, nodes, number(edges, starts, nodes, scratch)
+        self.starts = scratch.store(starts.where("start is not null").select(F.col("start").alias("id")).distinct().join(self.graph.ids, "id").select(F.col("n").alias("start"), F.col("id").alias("name")))
+        self.levels: list[DataFrame] = []
+        self.ahead: list[DataFrame] = []
+        self.discover()
+
+    def discover(self) -> None:
+        """Levels of start, node, parent, code, weight. (parent, code) is a start's order inside a level; parent numbers the row that hands on."""
+        steps = self.graph.steps.select("src", F.col("dst").alias("next"), "code", "weight")
+        frontier = self.starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("place"))
+        seen = None
+        while True:
+            met = frontier.select("start", "node", "place").join(steps, F.col("node") == F.col("src")).where("next <> start").select("start", F.col("next").alias("node"), "place", "code", "weight")
+            both = met if seen is None else met.unionByName(seen.select("start", "node", F.lit(-1).cast("long").alias("place"), F.lit(-1).cast("long").alias("code"), F.lit(0).alias("weight")))
+            first = both.groupBy("start", "node").agg(F.min("place").alias("parent"), F.min_by("code", "place").alias("code"), F.max("weight").alias("weight"))
+            level = self.scratch.store(first.where("parent >= 0"))
+            ahead = level.where("code % 2 = 1")
+            if level.isEmpty():
+                return
+            self.levels.append(level)
+            if ahead.isEmpty():
+                return
+            seen = level if seen is None else seen.unionByName(level)
+            frontier = self.scratch.store(in_order(ahead.select("start", "node", "parent", "code"), "place", "start", "parent", "code"))
+            self.ahead.append(frontier)
+
+    def pairs(self, *columns: str) -> DataFrame:
+        """All levels as one, with level; no rows where nothing is reached."""
+        none = self.starts.limit(0).select("start", F.col("start").alias("node"), F.col("start").alias("parent"), F.col("start").alias("code"), F.lit(0).alias("weight"))
+        out = none.select(*columns, F.lit(0).alias("level"))
+        for n, level in enumerate(self.levels, 1):
+            out = out.unionByName(level.select(*columns, F.lit(n).alias("level")))
+        return out
+
+    def scores(self) -> DataFrame:
+        """start, score, max_severity, rating of every start, from pairs of numbers alone."""
+        sums = self.pairs("start", "weight").groupBy("start").agg(F.sum("weight").alias("score"), F.max("weight").alias("max_severity"))
+        return cut_lineage(scored(self.starts.join(sums, "start", "left").select(F.col("name").alias("start"), "score", "max_severity")))
+
+    def named(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        """Pairs with the names of start and node, and columns of the edge that met the node."""
+        by_edge = self.graph.edges.select("edge", F.col("dst").alias("name_of_node"), *columns)
+        out = pairs.withColumn("edge", F.shiftright("code", 2)).join(by_edge, "edge").join(self.starts, "start")
+        place, transitive = F.struct("parent", "edge").alias("place"), (F.shiftright("code", 1) % 2 == 1).alias("transitive")
+        more = [c for c in pairs.columns if c not in ("start", "node", "parent", "code", "weight", "level")]
+        return out.select(F.col("name").alias("start"), F.col("name_of_node").alias("node"), *columns, "level", place, transitive, *more)
+
+    def reached(self, evidence: bool = True) -> DataFrame:
+        """start, node, (src, rel,) level, place, transitive."""
+        return cut_lineage(self.named(self.pairs("start", "node", "parent", "code"), *(("src", "rel") if evidence else ())))
+
+    def ways(self) -> DataFrame:
+        """start, node, way (edge numbers) to every node that hands on: parent pointers, doubled in as many joins as the log of the depth."""
+        by_edge = self.graph.edges.select("edge", "at")
+        out = None
+        for rows in self.ahead:
+            own = rows.withColumn("edge", F.shiftright("code", 2)).join(by_edge, "edge").select("start", "node", F.array("edge").alias("way"), F.col("at").alias("anchor"))
+            out = own if out is None else out.unionByName(own)
+        if out is None:
+            return self.starts.limit(0).select("start", F.col("start").alias("node"), F.array("start").alias("way"))
+        for _ in range(max(0, (len(self.ahead) - 1).bit_length())):
+            out = self.scratch.store(out)
+            above = out.select("start", F.col("node").alias("anchor"), F.col("way").alias("before"), F.col("anchor").alias("higher"))
+            out = out.join(above, ["start", "anchor"], "left").select("start", "node", F.concat(F.coalesce("before", F.array().cast("array<long>")), "way").alias("way"), F.coalesce("higher", "anchor").alias("anchor"))
+        return out.select("start", "node", "way")
+
+    def with_ways(self, pairs: DataFrame) -> DataFrame:
+        """pairs with way: those of the nodes that handed on, and the last edge."""
+        by_edge = self.graph.edges.select(F.col("edge").alias("last"), "at")
+        before = self.ways().select("start", F.col("node").alias("at"), F.col("way").alias("before"))
+        own = pairs.withColumn("last", F.shiftright("code", 2)).join(by_edge, "last").join(before, ["start", "at"], "left")
+        return own.withColumn("way", F.concat(F.coalesce("before", F.array().cast("array<long>")), F.array("last"))).drop("last", "at", "before")
+
+    def hops(self, pairs: DataFrame) -> DataFrame:
+        """start, node, hops of pairs with ways: their edges in order."""
+        step = pairs.select("start", "node", F.posexplode("way").alias("pos", "edge"))
+        hop = F.struct(*[F.col(c) if c in self.graph.edges.columns else F.lit(None).cast("string").alias(c) for c in HOP])
+        told = step.join(self.graph.edges, "edge").groupBy("start", "node").agg(F.array_sort(F.collect_list(F.struct("pos", hop.alias("hop")))).alias("hops"))
+        return told.select("start", "node", F.transform("hops", lambda h: h["hop"]).alias("hops"))
+
+    def explained(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        """Named pairs with hops."""
+        known = self.scratch.store(self.with_ways(pairs))
+        return self.named(known.drop("way").join(self.hops(known), ["start", "node"]), *columns)
+
+    def found(self, hops: bool = False, evidence: bool = True) -> DataFrame:
+        """Reached nodes of a positive severity alone, with label, kind and severity: chosen before anything is joined."""
+        pairs = self.pairs("start", "node", "parent", "code", "weight").where("weight > 0").drop("weight")
+        own = ("src", "rel") if evidence else ()
+        return cut_lineage(weighted(self.explained(pairs, *own) if hops else self.named(pairs, *own), self.nodes))
+
+
+def reach(edges: DataFrame, starts: DataFrame, hops: bool = False, evidence: bool = True) -> DataFrame:
     """One row per start and node reached: start, node, src, rel, level, place (parent, edge), transitive (and hops).
 
     edges: src, dst, rel, transitive, seq; seq orders the edges of a source and has any orderable type. The order
-    of discovery of a start is (level, place). With hops also file and line, and the way to every node is
-    added. starts: column start; repeated starts count once. Starts without edges reach
+    of discovery of a start is (level, place). Without evidence src and rel are left out. With hops also file and line are needed, and the
+    way to every node is added. starts: column start; repeated starts count once. Starts without edges reach
     nothing and have no rows; null starts are dropped.
     """
     with Scratch(edges.sparkSession) as scratch:
-        numbered_ = numbered_edges(edges, scratch)
-        levels = discover(numbered_, starts, scratch)
-        hop = F.struct(*HOP).alias("hop") if hops else F.lit(None).alias("hop")
-        by_edge = numbered_.select("edge", "src", "rel", hop)
-        place = F.struct("parent", "edge").alias("place")
-        if not levels:
-            levels = [starts.select("start", F.col("start").alias("node"), *[F.lit(0).cast("long").alias(c) for c in ("parent", "edge")], F.lit(True).alias("transitive")).limit(0)]
+        search = Search(edges, starts, scratch)
         if not hops:
-            return cut_lineage(joined_levels(levels, "start", "node", "parent", "edge", "transitive").join(by_edge, "edge").select("start", "node", "src", "rel", "level", place, "transitive"))
-        named, before = [], None
-        for level in levels:
-            now = level.join(by_edge, "edge").select("start", "node", "src", "rel", place, "transitive", "hop")
-            if before is None:
-                now = now.withColumn("hops", F.array("hop")).drop("hop")
-            else:
-                way = before.select("start", F.col("node").alias("src"), F.col("hops").alias("way"))
-                now = now.join(way, ["start", "src"]).withColumn("hops", F.concat("way", F.array("hop"))).drop("hop", "way")
-            before = scratch.store(now)
-            named.append(before)
-        return cut_lineage(joined_levels(named, "start", "node", "src", "rel", "place", "transitive", "hops"))
+            return search.reached(evidence)
+        return cut_lineage(search.explained(search.pairs("start", "node", "parent", "code"), "src", "rel"))
+
+
+def found(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops: bool = False, evidence: bool = False) -> DataFrame:
+    """The findings of starts: weighted(reach(...)), but nothing else is named or explained on the way."""
+    with Scratch(edges.sparkSession) as scratch:
+        return Search(edges, starts, scratch, nodes).found(hops, evidence)
 
 
 def weighted(reached: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -103,22 +190,21 @@ def weighted(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     return reached.join(heavy, "node")
 
 
+def scored(sums: DataFrame) -> DataFrame:
+    severity = F.coalesce("max_severity", F.lit(0)).cast("int")
+    return sums.select("start", F.coalesce("score", F.lit(0)).cast("long").alias("score"), severity.alias("max_severity"), rating(severity).alias("rating"))
+
+
 def score(reached: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """start, score, max_severity, rating of every start; 0 and low where nothing of weight is reached."""
     sums = weighted(reached, nodes).groupBy("start").agg(F.sum("severity").alias("score"), F.max("severity").alias("max_severity"))
-    severity = F.coalesce("max_severity", F.lit(0)).cast("int")
-    return (
-        starts.where("start is not null").select("start").distinct().join(sums, "start", "left")
-        .select("start", F.coalesce("score", F.lit(0)).cast("long").alias("score"), severity.alias("max_severity"), rating(severity).alias("rating"))
-    )
+    return scored(starts.where("start is not null").select("start").distinct().join(sums, "start", "left"))
 
 
 def scores_from(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
-    """score() of starts straight from edges: only pairs of start and node are kept, no evidence."""
+    """score() of starts straight from edges: only pairs of numbers are kept, no evidence."""
     with Scratch(edges.sparkSession) as scratch:
-        pairs = joined_levels(discover(numbered_edges(edges, scratch), starts, scratch), "start", "node")
-        pairs = starts.select("start", F.col("start").alias("node")).limit(0) if pairs is None else pairs
-        return cut_lineage(score(pairs, nodes, starts))
+        return Search(edges, starts, scratch, nodes).scores()
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

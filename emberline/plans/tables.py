@@ -19,7 +19,7 @@ from ..functions import rules as R
 from ..functions import values as V
 from ..functions.session import cut_lineage, read_table
 from ..operators import derive, link, merge
-from ..operators.reach import numbered, rank, reach, scores_from, weighted
+from ..operators.reach import found, numbered, rank, reach, scores_from
 from ..sources.config_files import file_rows
 from ..sources.documents import parse_files
 
@@ -127,7 +127,7 @@ def rank_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blast_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reached nodes by agent and level, and how many of them hand on no access."""
     nodes = star_nodes(spark, sf_dir)
-    reached = reach(star_edges(spark, sf_dir), agents(nodes))
+    reached = reach(star_edges(spark, sf_dir), agents(nodes), evidence=False)
     return reached.groupBy(F.col("start").alias("id"), F.col("level").cast("int").alias("level")).agg(
         F.count("*").alias("n_reached"), F.count_if(~F.col("transitive")).alias("n_stopped"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
 
@@ -135,18 +135,19 @@ def blast_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blast_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every agent by kind: how many, their weight, the worst one in finding order."""
     nodes = star_nodes(spark, sf_dir)
-    found = weighted(reach(star_edges(spark, sf_dir), agents(nodes)), nodes)
+    rows = found(star_edges(spark, sf_dir), nodes, agents(nodes))
     order = F.struct((-F.col("severity")).alias("s"), F.col("label"), F.col("level"), F.col("place"))
-    return found.groupBy(F.col("start").alias("id"), "kind").agg(F.count("*").alias("n_findings"), F.sum("severity").cast("long").alias("weight"), F.min_by("node", order).alias("worst"))
+    return rows.groupBy(F.col("start").alias("id"), "kind").agg(F.count("*").alias("n_findings"), F.sum("severity").cast("long").alias("weight"), F.min_by("node", order).alias("worst"))
 
 
 def blast_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way to every secret that tools or networks give, as ids joined by >."""
     nodes = star_nodes(spark, sf_dir)
     starts = nodes.where("kind in ('tool', 'resource')").select(F.col("id").alias("start"))
-    found = weighted(reach(star_edges(spark, sf_dir), starts, hops=True), nodes).where("kind = 'secret'")
+    secrets = nodes.where("kind = 'secret'")
+    rows = found(star_edges(spark, sf_dir), secrets, starts, hops=True)
     way = F.concat_ws(">", F.array("start"), F.transform("hops", lambda h: h["dst"]))
-    return found.select(F.col("start").alias("id"), F.col("node").alias("secret"), F.col("level").cast("int").alias("level"), way.alias("way"))
+    return rows.select(F.col("start").alias("id"), F.col("node").alias("secret"), F.col("level").cast("int").alias("level"), way.alias("way"))
 
 
 def all_radii_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
