@@ -10,10 +10,13 @@ postings to the range of right-hand ids they fall in, where the counts of that r
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -51,23 +54,80 @@ def byte_letters() -> dict[str, int]:
 class Tokens:
     """Texts to ids, and each id's bytes. encode() gets texts without the space that both tokenizers put or find before them."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: list[bytes]) -> None:
-        self.encode, self.table = encode, table
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], table: list[bytes]) -> None:
+        self.encode = encode
+        self.table = np.array([*table, None], object)[:-1]
         self.size = np.fromiter(map(len, table), np.int64, len(table))
         self.named = np.array([str(k).encode() for k in range(len(table))], object)
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.table[ids].tolist())
+
+
+def in_order_of_ids(vocabulary: dict[str, int], merges: list) -> bool:
+    """Whether the k-th merge makes the k-th id that is not a byte, so that an id is a rank."""
+    made = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in merges]
+    return None not in made and made == sorted(set(made)) and len(vocabulary) == 256 + len(made)
+
 
 def byte_level(data: bytes) -> Tokens:
-    """A tokenizers file of byte-level BPE; it is given a space before each text, and special strings are ordinary text."""
+    """A tokenizers file of byte-level BPE; it is given a space before each text, and special strings are ordinary text.
+
+    Where the file has plain byte-level BPE whose merges are in the order of their ids, a token's rank is its id, and of a span that no
+    merge crosses all merges of lower ranks leave the one pair that the list has for it. Then merging by ranks
+    gives the same ids, and the quicker library is used; else the library of the file.
+    """
+    from .bytebpe import PATTERN
+
+    parsed, letters = json.loads(data), byte_letters()
+    special = {t["content"] for t in parsed.get("added_tokens") or []}
+    model, cut = parsed["model"], parsed.get("pre_tokenizer") or {}
+    vocabulary = {t: k for t, k in model["vocab"].items() if t not in special}
+    table = [b""] * (1 + max([*vocabulary.values(), *(t["id"] for t in parsed.get("added_tokens") or [])]))
+    for token, k in vocabulary.items():
+        table[k] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and parsed.get("normalizer") is None
+    plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if plain and in_order_of_ids(vocabulary, model["merges"]):
+        from tiktoken import Encoding
+
+        ranked = Encoding("ranked", pat_str=PATTERN, mergeable_ranks={table[k]: k for k in vocabulary.values()}, special_tokens={})
+        return Tokens(lambda texts: [ranked.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int64) for t in texts], table)
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
-    model, letters = Tokenizer.from_str(data.decode()), byte_letters()
-    model.encode_special_tokens = True
-    table = [b""] * model.get_vocab_size()
-    for token, k in model.get_vocab().items():
-        table[k] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-    return Tokens(lambda texts: [x.ids for x in model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], table)
+    library = Tokenizer.from_str(data.decode())
+    library.encode_special_tokens = True
+    return Tokens(lambda texts: [np.array(x.ids, np.int64) for x in library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], table)
+
+
+def parts_at_spaces(data: bytes, names: list[str]) -> bool:
+    """Whether a model merges pairs, leaves texts as they are and has no piece over the border before a space, so that words are coded each by itself."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(data)
+    rule, fit = model.normalizer_spec, model.trainer_spec
+    kept = rule.name == "identity" and not rule.precompiled_charsmap and rule.add_dummy_prefix and rule.escape_whitespaces and not rule.remove_extra_whitespaces
+    return kept and fit.model_type == fit.BPE and not fit.treat_whitespace_as_suffix and not any("▁" in x.lstrip("▁") for x in names)
+
+
+class Words:
+    """Codes texts of single spaces word by word and remembers words; other texts are left to the library whole."""
+
+    KNOWN = 1 << 18
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]]) -> None:
+        self.library, self.ids = encode, {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [t.split(" ") for t in texts]
+        if len(self.ids) > self.KNOWN:
+            self.ids.clear()
+        fresh = [w for w in set(chain.from_iterable(cut)) if w and w not in self.ids]
+        self.ids.update(zip(fresh, (array("i", x).tobytes() for x in self.library(fresh)), strict=True))
+        out = [np.array(self.library([t])[0], np.int64) if "" in own else np.frombuffer(b"".join(map(self.ids.__getitem__, own)), np.int32).astype(np.int64) for t, own in zip(texts, cut, strict=True)]
+        return out
 
 
 def piece_level(data: bytes) -> Tokens:
@@ -77,7 +137,8 @@ def piece_level(data: bytes) -> Tokens:
     model = SentencePieceProcessor(model_proto=data)
     names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
     table = [bytes([int(x[3:5], 16)]) if model.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(names)]
-    return Tokens(lambda texts: model.encode(texts, num_threads=1), table)
+    library = lambda texts: model.encode(texts, num_threads=1)
+    return Tokens(Words(library) if parts_at_spaces(data, names) else lambda texts: [np.array(x, np.int64) for x in library(texts)], table)
 
 
 @lru_cache(maxsize=2)
@@ -170,8 +231,8 @@ def _code(left: bytes, right: bytes, p: Alignment, salts: int) -> Callable[[Iter
                 kept = []
                 for (k, text), x, y in zip(whole, own_a, own_b, strict=True):
                     said = (" " + text).encode()
-                    if b"".join(map(a.table.__getitem__, x)) == said == b"".join(map(b.table.__getitem__, y)):
-                        kept.append((k, np.array(x, np.int64), np.array(y, np.int64)))
+                    if a.joined(x) == said == b.joined(y):
+                        kept.append((k, x, y))
                 if kept:
                     ids_a, ids_b = np.concatenate([x for _, x, _ in kept]), np.concatenate([y for _, _, y in kept])
                     cut_a, cut_b, token, first, count = link(a.size[ids_a], b.size[ids_b])

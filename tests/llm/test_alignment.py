@@ -1,8 +1,10 @@
 """Alignment of two tokenizers against a plain version over all token pairs, and odd rows."""
 
 import hashlib
+import json
 from collections import Counter
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -139,3 +141,30 @@ def test_ranks_and_cuts():
         assert bits.rank(np.arange(n + 1)).tolist() == [int((ends <= k).sum()) for k in range(n + 1)]
         other = np.unique(np.concatenate([rng.integers(1, n + 1, n // 2 + 1), [n]]))
         assert bits.shared(alignment.Ends(other, n)).tolist() == sorted(set(ends.tolist()) & set(other.tolist()))
+
+
+def test_both_libraries_of_byte_level_files_agree(libraries):
+    """Ids by rank are those of the file's own library, over characters of every kind and over words."""
+    data = Path(A).read_bytes()
+    quick = alignment.byte_level(data)
+    points = [chr(c) for c in [*range(1, 0xD800, 3), *range(0xE000, 0x10000, 5), *range(0x10000, 0x110000, 997)]]
+    texts = ["a" + c + "b1" + c + "2 " + c + c + "! " + c for c in points] + ["it's we'll I'M  x   ", "\n\n \n", "<|endoftext|>", "x" * 700, "ab" * 300]
+    for got, want in zip(quick.encode(texts), libraries[0].encode_batch([" " + t for t in texts], add_special_tokens=False), strict=True):
+        assert got.tolist() == want.ids
+    other = json.loads(data)
+    other["model"]["merges"] = other["model"]["merges"][::-1]
+    assert not alignment.in_order_of_ids({t: k for t, k in other["model"]["vocab"].items() if k != 50256}, other["model"]["merges"])
+    slow = alignment.byte_level(json.dumps(other).encode())
+    assert slow.encode(["one two"])[0].tolist() != quick.encode(["one two"])[0].tolist() and slow.joined(slow.encode(["one two"])[0]) == b" one two"
+
+
+def test_words_are_coded_as_in_their_texts(libraries):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefgh    \n\t'.,éß漢😀019<>/") + ["<s>", "</s>", "<0x41>", "▁", "the", " of "]
+    texts = ["".join(rng.choice(letters, rng.integers(1, 120))) for _ in range(2000)] + ["", " ", "  ", "a  b", " a", "a ", "a\n b\r\nc"]
+    model = alignment.piece_level(Path(B).read_bytes())
+    assert isinstance(model.encode, alignment.Words)
+    got = model.encode(texts)
+    for text, ids in zip(texts, got, strict=True):
+        if "▁" not in text:  # such a text does not give back its bytes in any case
+            assert ids.tolist() == libraries[1].encode(text)
