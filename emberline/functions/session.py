@@ -76,5 +76,41 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+class Generations:
+    """Numbered folders root/gen=N of tables; a generation is whole once its table named last has been written."""
+
+    def __init__(self, spark: SparkSession, root: str, last: str) -> None:
+        self.spark, self.root, self.mark = spark, root, last
+        self.fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, where: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(where)
+
+    def path(self, generation: int, table: str) -> str:
+        return f"{self.root}/gen={generation}/{table}"
+
+    def exists(self, where: str) -> bool:
+        return self.fs.exists(self._path(where))
+
+    def every(self) -> list[int]:
+        """Numbers of all generations, whole or not, ascending."""
+        if not self.exists(self.root):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(self.root))]
+        return sorted(int(n[4:]) for n in names if n.startswith("gen="))
+
+    def last(self, below: int | None = None) -> int | None:
+        """The last whole generation (below a number)."""
+        return max((g for g in self.every() if (below is None or g < below) and self.exists(f"{self.path(g, self.mark)}/_SUCCESS")), default=None)
+
+    def drop_below(self, generation: int, *tables: str) -> None:
+        for g in self.every():
+            if g < generation:
+                for table in tables:
+                    self.fs.delete(self._path(self.path(g, table)), True)
+                if not self.fs.listStatus(self._path(f"{self.root}/gen={g}")):
+                    self.fs.delete(self._path(f"{self.root}/gen={g}"), True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
