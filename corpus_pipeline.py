@@ -13,28 +13,44 @@ from emberline.llm.quality import keep_good
 from emberline.llm.secrets import redact_secrets
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, and the session's default of 10,000 of them stands several times in memory.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches; a smaller setting stays. It holds on, since a stage's frame runs after the stage returns."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field accepts."""
+    small_batches(spark)
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, over shingles of five words: that with the least id."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
+    small_batches(spark)
     return drop_leaking(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and n_chars renewed."""
+    small_batches(spark)
     return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a positive rate, and their domain, rate and copies in the mix."""
+    small_batches(spark)
     return mixed_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
