@@ -1,8 +1,8 @@
 """Queries over the driver tables, with the SQL that checks them, and scans of config files."""
 
-from . import scan_tables, sql_scans, tables
+from . import asof_tables, scan_tables, sql_scans, tables
 
-QUERIES = tables.QUERIES | scan_tables.QUERIES | sql_scans.QUERIES
-SQL = tables.SQL | scan_tables.SQL | sql_scans.SQL
+QUERIES = tables.QUERIES | scan_tables.QUERIES | sql_scans.QUERIES | asof_tables.QUERIES
+SQL = tables.SQL | scan_tables.SQL | sql_scans.SQL | asof_tables.SQL
 
 __all__ = ["QUERIES", "SQL"]
