@@ -83,7 +83,11 @@ def edge_families(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def neighbourhood(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
     """Ids of nodes whose id or label holds text in any case, and of those one edge away: id, hit."""
     needle = F.lit(text.lower())
-    hits = nodes.where(F.lower("id").contains(needle) | F.lower("label").contains(needle)).select("id")
+    return around(nodes.where(F.lower("id").contains(needle) | F.lower("label").contains(needle)).select("id"), edges)
+
+
+def around(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """hits and what is one edge away: id, hit."""
     ends = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
     near = ends.join(hits, "id", "left_semi").select(F.col("other").alias("id"), F.lit(False).alias("hit"))
     return hits.withColumn("hit", F.lit(True)).unionByName(near).groupBy("id").agg(F.bool_or("hit").alias("hit"))

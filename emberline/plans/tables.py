@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import values as V
-from ..functions.session import cut_lineage, read_table
-from ..operators import derive, link, merge
+from ..functions.session import Scratch, cut_lineage, read_table
+from ..operators import derive, link, merge, search
 from ..operators.reach import found, numbered, rank, reach, scores_from
 from ..sources.config_files import file_rows
 from ..sources.documents import parse_files
@@ -336,6 +336,16 @@ def search_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.neighbourhood(star_nodes(spark, sf_dir), star_edges(spark, sf_dir), "supplier#00000000")
 
 
+def search_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_neighbourhood by way of a kept index."""
+    nodes = star_nodes(spark, sf_dir)
+    with Scratch(spark) as scratch:
+        index = f"{scratch.root}/index"
+        search.write_index(nodes, index)
+        read = lambda name: spark.read.parquet(f"{index}/{name}")
+        return cut_lineage(link.around(search.hits(read("postings"), read("names"), "supplier#00000000"), star_edges(spark, sf_dir)))
+
+
 def rank_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers numbered by balance: the distributed row number by itself."""
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
@@ -373,7 +383,7 @@ CLASSIFY_SQL = REDACT_SQL + f""", p AS (SELECT conv_id, turn, any_value(x) FILTE
 
 QUERIES = {f.__name__: f for f in (
     rank_agents, blast_reachable, blast_findings, blast_paths, all_radii_scores, upsert_nodes, edge_dedupe, alias_join, unresolved_refs, prefix_join, promote_agents, rbac_severity,
-    secret_fanout, network_mesh, kind_counts, skipped_kinds, credential_names, redact_text, classify_text, host_paths, fs_paths, mounts, url_host, degrees, edge_families, search_neighbourhood, rank_suppliers,
+    secret_fanout, network_mesh, kind_counts, skipped_kinds, credential_names, redact_text, classify_text, host_paths, fs_paths, mounts, url_host, degrees, edge_families, search_neighbourhood, search_by_index, rank_suppliers,
 )}
 
 SQL = {
@@ -422,3 +432,4 @@ SQL = {
  SELECT id, bool_or(hit) AS hit FROM (SELECT id, true AS hit FROM hits UNION ALL SELECT dst, false FROM edges WHERE src IN (SELECT id FROM hits) UNION ALL SELECT src, false FROM edges WHERE dst IN (SELECT id FROM hits)) GROUP BY id""",
     "rank_suppliers": "SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier",
 }
+SQL["search_by_index"] = SQL["search_neighbourhood"]
