@@ -26,6 +26,8 @@ LLM_KEYS = (
 SKIPPED_FOLDERS = (".git", "node_modules", ".venv", "venv", "__pycache__", ".tox", "dist", "build", ".mypy_cache", ".pytest_cache", ".ruff_cache", "site-packages")
 SUFFIXES = (".yml", ".yaml", ".json", ".py")
 MAX_BYTES = 2_000_000
+# Fixed value: names of Compose files.
+COMPOSE_NAME = r"(?s:(docker-)?compose.*\.ya?ml)\Z"
 
 # Container capabilities that amount to host root.
 ESCAPE_CAPS = ("ALL", "SYS_ADMIN", "SYS_MODULE", "SYS_PTRACE", "DAC_READ_SEARCH", "SYS_RAWIO")

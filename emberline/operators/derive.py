@@ -229,11 +229,13 @@ def secret_node(ns: Column, name: Column) -> dict:
     return {"id": joined("secret:k8s:", ns, "/", name), "kind": "secret", "label": joined(name, " (k8s secret, ", ns, ")"), "severity": V.SECRET_SEVERITY, "source": "kubernetes Secret"}
 
 
-def spread_pairs(few: DataFrame, many: DataFrame, key: str, parts: int = 64) -> DataFrame:
+def spread_pairs(few: DataFrame, many: DataFrame, key: str) -> DataFrame:
     """Every row of few beside every row of many, where that is the result: cluster-wide grants by secrets or accounts.
 
-    few is copied into parts and many is dealt by a hash of key, so it is an equi-join over that many tasks.
+    few is copied into parts and many is dealt by a hash of key, so it is an equi-join over that many tasks; there are as many parts as
+    the session has shuffle partitions, and 64 at least.
     """
+    parts = max(64, int(few.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return copies.join(many.withColumn("_part", F.pmod(F.hash(key), F.lit(parts))), "_part").drop("_part")
 
