@@ -39,10 +39,17 @@ class Numbered:
     edges: DataFrame
 
 
-def number(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None, scratch: Scratch) -> Numbered:
-    """Nodes get a number each and the first edge of each source and target one in order; self loops are left out."""
-    carried = F.struct("rel", "seq", "transitive", *[c for c in ("file", "line") if c in edges.columns])
-    first = edges.where("src <> dst").groupBy("src", "dst").agg(F.min_by(carried, F.col("seq")).alias("first")).select("src", "dst", "first.*")
+def number(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None, scratch: Scratch, evidence: bool = True) -> Numbered:
+    """Nodes get a number each and the first edge of each source and target one in order; self loops are left out.
+
+    Without evidence edges keep nothing but their transitivity, so that they are settled in fixed-width buffers where seq is a number.
+    """
+    pairs = edges.where("src <> dst").groupBy("src", "dst")
+    if evidence:
+        carried = F.struct("rel", "seq", "transitive", *[c for c in ("file", "line") if c in edges.columns])
+        first = pairs.agg(F.min_by(carried, F.col("seq")).alias("first")).select("src", "dst", "first.*")
+    else:
+        first = pairs.agg(F.min("seq").alias("seq"), F.min_by("transitive", "seq").alias("transitive"))
     first = scratch.store(first)
     every = first.select(F.explode(F.array("src", "dst")).alias("id")).unionByName(starts.where("start is not null").select(F.col("start").alias("id"))).distinct()
     ids = scratch.store(every.withColumn("n", F.monotonically_increasing_id()))
@@ -70,8 +77,8 @@ class Search:
     lost executor costs no earlier level again. AQE splits the join where many starts stand on one node.
     """
 
-    def __init__(self, edges: DataFrame, starts: DataFrame, scratch: Scratch, nodes: DataFrame | None = None) -> None:
-        self.scratch, self.nodes, self.graph = scratch, nodes, number(edges, starts, nodes, scratch)
+    def __init__(self, edges: DataFrame, starts: DataFrame, scratch: Scratch, nodes: DataFrame | None = None, evidence: bool = True) -> None:
+        self.scratch, self.nodes, self.graph = scratch, nodes, number(edges, starts, nodes, scratch, evidence)
         self.starts = scratch.store(starts.where("start is not null").select(F.col("start").alias("id")).distinct().join(self.graph.ids, "id").select(F.col("n").alias("start"), F.col("id").alias("name")))
         self.levels: list[DataFrame] = []
         self.ahead: list[DataFrame] = []
@@ -172,7 +179,7 @@ def reach(edges: DataFrame, starts: DataFrame, hops: bool = False, evidence: boo
     nothing and have no rows; null starts are dropped.
     """
     with Scratch(edges.sparkSession) as scratch:
-        search = Search(edges, starts, scratch)
+        search = Search(edges, starts, scratch, evidence=hops or evidence)
         if not hops:
             return search.reached(evidence)
         return cut_lineage(search.explained(search.pairs("start", "node", "parent", "code"), "src", "rel"))
@@ -181,7 +188,7 @@ def reach(edges: DataFrame, starts: DataFrame, hops: bool = False, evidence: boo
 def found(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops: bool = False, evidence: bool = False) -> DataFrame:
     """The findings of starts: weighted(reach(...)), but nothing else is named or explained on the way."""
     with Scratch(edges.sparkSession) as scratch:
-        return Search(edges, starts, scratch, nodes).found(hops, evidence)
+        return Search(edges, starts, scratch, nodes, hops or evidence).found(hops, evidence)
 
 
 def weighted(reached: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -204,7 +211,7 @@ def score(reached: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
 def scores_from(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """score() of starts straight from edges: only pairs of numbers are kept, no evidence."""
     with Scratch(edges.sparkSession) as scratch:
-        return Search(edges, starts, scratch, nodes).scores()
+        return Search(edges, starts, scratch, nodes, evidence=False).scores()
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
