@@ -6,9 +6,9 @@ Windows whose latent cosine with a benchmark passage is high are candidates;
 the longest common subsequence of words with the item, and for paraphrases the
 item's answer, decide.
 
-Document frequencies cover all documents. The SVD is fitted on a bounded sample
-of documents and the benchmark itself, over the words that the benchmark uses. Every window of every whole text is
-searched, against the benchmark in blocks of a bounded number of items.
+Document frequencies and the SVD cover all documents, whole, and the benchmark itself, over the words that the benchmark
+uses: one pass over the texts sums the products of words in a block, and the SVD's products are made from those sums. Every window of every
+whole text is searched, against the benchmark in blocks of a bounded number of items.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .textvec import pieces, runs, span_hashes
 
 @dataclass(frozen=True)
 class Latent:
-    """block: half a window, in words. rank: latent dimensions. sample_docs: documents in the SVD's fit,
-    each counting sample_weight of a benchmark passage. item_block, item_chars: items searched at
+    """block: half a window, in words. rank: latent dimensions. doc_weight: what a document counts in the SVD's fit, of a
+    benchmark passage; beyond even_docs documents they count as much as so many, each an equal share. item_block, item_chars: items searched at
     once, and code points of them, on average; they bound the vocabulary, the latent space and what a task holds. cosine: least similarity of a candidate. exact / paraphrase: least share of an item's words in the
     common subsequence. answer_words: the item's last words; answer: the share of them that a
     paraphrase must hold.
@@ -36,8 +36,8 @@ class Latent:
 
     block: int = 24
     rank: int = 256
-    sample_docs: int = 1000
-    sample_weight: float = 0.05
+    even_docs: int = 1000
+    doc_weight: float = 0.05
     item_block: int = 1000
     item_chars: int = 2_000_000
     cosine: float = 0.35
@@ -100,8 +100,9 @@ def summed(table: np.ndarray, feature: np.ndarray, row: np.ndarray, n_rows: int,
 
 def _frequencies(p: Latent, vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n_blocks = np.zeros(vocabulary.size, np.int64), 0
+        total, n_blocks, n_rows = np.zeros(vocabulary.size, np.int64), 0, 0
         for batch in batches:
+            n_rows += len(batch)
             for row, end, data, offsets in pieces(batch.column(0)):
                 doc, word = tokens(data, offsets)
                 block, first = blocks(doc, end - row, p.block)
@@ -110,21 +111,23 @@ def _frequencies(p: Latent, vocabulary: Vocabulary) -> Callable[[Iterator[pa.Rec
                 total += np.bincount(key % vocabulary.size, minlength=vocabulary.size) if len(key) else 0
                 n_blocks += int(first[-1])
         have = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(have, -1)), pa.array(np.append(total[have], n_blocks))], names=["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(have, [-1, -2])), pa.array(np.append(total[have], [n_blocks, n_rows]))], names=["feature", "n"])
 
     return run
 
 
-def inverse_frequencies(texts: DataFrame, vocabulary: Vocabulary, p: Latent) -> np.ndarray:
-    """ln(1 + N / df) of each word over the blocks of all texts: common words weigh less, never nothing."""
+def inverse_frequencies(texts: DataFrame, vocabulary: Vocabulary, p: Latent) -> tuple[np.ndarray, int]:
+    """ln(1 + N / df) of each word over the blocks of all texts: common words weigh less, never nothing. And the number of texts."""
     counts = texts.mapInArrow(_frequencies(p, vocabulary), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    df, n_blocks = np.zeros(vocabulary.size), 1
+    df, n_blocks, n_rows = np.zeros(vocabulary.size), 1, 0
     for r in counts.collect():
-        if r["feature"] < 0:
+        if r["feature"] == -1:
             n_blocks = max(1, r["n"])
+        elif r["feature"] == -2:
+            n_rows = r["n"]
         else:
             df[r["feature"]] = r["n"]
-    return np.log1p(n_blocks / np.maximum(df, 1)).astype(np.float32)
+    return np.log1p(n_blocks / np.maximum(df, 1)).astype(np.float32), n_rows
 
 
 def windows_of(block_sums: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -137,49 +140,111 @@ def windows_of(block_sums: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _products(p: Latent, vocabulary: Vocabulary, idf: np.ndarray, basis: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """This partition's share of A'A basis, A being weighted unit TF-IDF rows of blocks of words."""
+UNIT, COMMON = 1 << 20, 2048
+
+
+def _pair_sums(p: Latent, vocabulary: Vocabulary, idf: np.ndarray, rank: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """This partition's share of A'A less the inverse frequencies, A being unit TF-IDF rows of blocks of words: (pair, w).
+
+    pair is a * size + b for words a <= b by their rank in frequency. w is in whole UNITs, so that sums are the same in any order.
+    Pairs of the commonest words are summed in a square, others in lists.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(basis.shape, np.float32)
-        weighted = idf[:, None] * basis
+        size, top = vocabulary.size, min(COMMON, vocabulary.size)
+        square, keys, sums, held = np.zeros(top * top, np.int64), [], [], 0
+
+        def summed_rest() -> tuple[np.ndarray, np.ndarray]:
+            pair, at = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+            total = np.zeros(len(pair), np.int64)
+            np.add.at(total, at, np.concatenate([np.zeros(0, np.int64), *sums]))
+            return pair, total
+
         for batch in batches:
             for row, end, data, offsets in pieces(batch.column(0), 200_000):
                 doc, word = tokens(data, offsets)
                 block, first = blocks(doc, end - row, 2 * p.block)
-                weight = np.repeat(batch.column(1).to_numpy()[row:end], np.diff(first))
                 f, block = known(vocabulary, word, block)
-                norm = np.bincount(block, weights=idf[f] ** 2, minlength=first[-1])
-                scale = (weight / np.maximum(norm, 1e-6)).astype(np.float32)
-                y = summed(weighted, f, block, int(first[-1])) * scale[:, None]
-                order = np.argsort(f, kind="stable")
-                for k in range(0, len(order), 8_000):
-                    o = order[k : k + 8_000]
-                    g = f[o]
-                    at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                    out[g[at]] += np.add.reduceat(y[block[o]] * idf[g][:, None], at, axis=0)
+                norm = np.bincount(block, weights=idf[f].astype(np.float64) ** 2, minlength=first[-1])
+                key, count = np.unique(block * size + rank[f], return_counts=True)
+                block, r = key // size, key % size
+                share = UNIT * count / np.maximum(norm[block], 1e-6)
+                for lag in range(2 * p.block):
+                    i = np.flatnonzero(block[lag:] == block[: len(block) - lag])
+                    if not len(i):
+                        break
+                    low, high, w = r[i], r[i + lag], np.rint(share[i] * count[i + lag]).astype(np.int64)
+                    common = high < top
+                    np.add.at(square, low[common] * top + high[common], w[common])
+                    keys.append((low * size + high)[~common])
+                    sums.append(w[~common])
+                    held += len(keys[-1])
+                if held > 2_000_000:
+                    pair, total = summed_rest()
+                    if 2 * len(pair) > held:
+                        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total)], names=["pair", "w"])
+                        pair, total = pair[:0], total[:0]
+                    keys, sums, held = [pair], [total], len(pair)
+        at = np.flatnonzero(square)
+        pair, total = summed_rest()
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at // max(1, top) * size + at % max(1, top), pair)), pa.array(np.append(square[at], total))], names=["pair", "w"])
+
+    return run
+
+
+def _products(basis: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """This partition's share of the symmetric matrix of rows (pair, w) times basis."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(basis.shape, np.float32)
+
+        def add(to: np.ndarray, of: np.ndarray, w: np.ndarray) -> None:
+            order = np.argsort(to, kind="stable")
+            to = to[order]
+            at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            out[to[at]] += np.add.reduceat(basis[of[order]] * w[order, None], at, axis=0)
+
+        for batch in batches:
+            pair, w = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float32)
+            for k in range(0, len(pair), 8_000):
+                a, b, v = pair[k : k + 8_000] // len(basis), pair[k : k + 8_000] % len(basis), w[k : k + 8_000]
+                add(a, b, v)
+                if (apart := a != b).any():
+                    add(b[apart], a[apart], v[apart])
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
 
     return run
 
 
-def latent_space(sample: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, p: Latent) -> np.ndarray:
-    """Word vectors of the whitened latent space (words x rank), inverse frequencies included."""
+def latent_space(texts: DataFrame, items: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, weight: float, p: Latent) -> np.ndarray:
+    """Word vectors of the whitened latent space (words x rank), inverse frequencies included, of all texts, each counting weight, and items."""
     rank = min(p.rank, len(idf))
-    basis = np.random.default_rng(p.seed).standard_normal((len(idf), rank)).astype(np.float32)
+    order = np.argsort(idf, kind="stable")
+    place = np.empty(len(idf), np.int64)
+    place[order] = np.arange(len(idf))
+    # The lines of basis stand for words by frequency, like the pairs.
+    basis = np.random.default_rng(p.seed).standard_normal((len(idf), rank)).astype(np.float32)[order]
+    own = idf[order][:, None]
+
+    def sums(of: DataFrame, each: float) -> DataFrame:
+        return of.mapInArrow(_pair_sums(p, vocabulary, idf, place), "pair long, w long").groupBy("pair").agg((F.sum("w") * (each / UNIT)).alias("w"))
+
+    # A task for each core, so that each gives its pairs of words once.
+    both = sums(texts.coalesce(max(1, texts.sparkSession.sparkContext.defaultParallelism)), weight).unionByName(sums(items, 1.0)).groupBy("pair").agg(F.sum("w").alias("w"))
+    pairs = cut_lineage(both.repartition(6, "pair").sortWithinPartitions("pair")).coalesce(6)
 
     def product(b: np.ndarray) -> np.ndarray:
-        parts = sample.mapInArrow(_products(p, vocabulary, idf, b), "part binary").toLocalIterator()  # a few parts of one bounded size
-        return sum((np.frombuffer(r["part"], np.float32).reshape(b.shape) for r in parts), np.zeros_like(b))
+        parts = pairs.mapInArrow(_products(own * b), "part binary").toLocalIterator()  # a few parts of one bounded size
+        return own * sum((np.frombuffer(r["part"], np.float32).reshape(b.shape) for r in parts), np.zeros_like(b))
 
     for _ in range(2):
         basis = np.linalg.qr(product(basis))[0].astype(np.float32)
     core = basis.T @ product(basis)
     value, vector = np.linalg.eigh((core + core.T) / 2)
-    # Directions that no sampled passage has are noise and are left out; weak ones are not blown up without bound.
+    # Directions that no passage has are noise and are left out; weak ones are not blown up without bound.
     top = max(1e-6, float(value.max()))
     scale = np.where(value > 1e-3 * top, 1 / np.sqrt(np.maximum(value, 1e-2 * top)), 0)
-    return (idf[:, None] * (basis @ vector) * scale).astype(np.float32)
+    return (own * (basis @ vector) * scale).astype(np.float32)[place]
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -266,17 +331,14 @@ def searches(texts: DataFrame, benchmark: DataFrame, item_col: str, p: Latent) -
     items = benchmark.where(F.length(F.trim("text")) > 0).select(F.col(item_col).cast("long").alias("item"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     n_blocks = max(1, -(-size[0] // p.item_block), -(-size[1] // p.item_chars))
-    chosen = texts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(p.sample_docs)
-    known = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id", "text")).limit(p.sample_docs)  # an id may stand on any number of rows
-    sample = cut_lineage(known.select("text", F.lit(p.sample_weight).cast("double").alias("weight")))
     out = []
     for k in range(n_blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
         rows = own.orderBy("item", "text").collect()  # item_block rows on average
         vocabulary = Vocabulary(tokens(*_joined([r["text"] for r in rows]))[1])
-        idf = inverse_frequencies(texts.select("text"), vocabulary, p)
-        fit = own.select("text", F.lit(1.0).alias("weight")).unionByName(sample).coalesce(6)
-        vectors = latent_space(fit, vocabulary, idf, p) if vocabulary.size else np.zeros((0, 1), np.float32)
+        idf, n_texts = inverse_frequencies(texts.select("text"), vocabulary, p)
+        weight = p.doc_weight * min(1.0, p.even_docs / max(1, n_texts))
+        vectors = latent_space(texts.select("text"), own.select("text"), vocabulary, idf, weight, p) if vocabulary.size else np.zeros((0, 1), np.float32)
         out.append(_search(p, vocabulary, vectors, [r["item"] for r in rows], [r["text"] for r in rows]))
     return out
 
