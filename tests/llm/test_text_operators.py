@@ -610,3 +610,11 @@ def test_pipeline_keeps_the_columns_and_drops_by_stage(spark):
     assert 0 < docs.count() <= good
     last = pipe.STAGES[-1][1](spark, docs, SF)
     assert set(docs.columns) < set(last.columns) and last.where("rate <= 0").count() == 0
+
+
+def test_licences_are_found_on_lines_without_cues(spark):
+    """Notices that hold none of the cue words, and ordinary lines; before, lines without a cue were not judged."""
+    rows = [(-1, "x = 1\n\nDistributed under Apache 2.0\n\ny = 2"), (-2, "Available under CC BY 4.0"), (-3, "Distributed under\nGPL version 3"), (-4, "A walk along the river.\nof the\nto any person"), (-5, "the terms of the sale were plain")]
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r.doc_id, r.family) for r in license.licence_notices(docs).where("doc_id < 0").collect()}
+    assert found == {(-1, "apache-2.0"), (-2, "cc-by"), (-3, "gpl")}
