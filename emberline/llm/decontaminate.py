@@ -293,14 +293,45 @@ def verdict(item: np.ndarray, region: np.ndarray, p: Latent) -> tuple[int, float
     return (common, share, answer) if share >= p.exact or (share >= p.paraphrase and answer >= p.answer) else None
 
 
+class ItemWords:
+    """How often each word stands in each item, by word; tells which texts hold enough of an item's words for verdict()."""
+
+    def __init__(self, own: list[np.ndarray], vocabulary: Vocabulary, p: Latent) -> None:
+        self.size, self.items = max(1, vocabulary.size), max(1, len(own))
+        item = np.repeat(np.arange(len(own)), [len(w) for w in own])
+        key, self.count = np.unique(vocabulary.of(np.concatenate([np.zeros(0, np.uint64), *own])).astype(np.int64) * self.items + item, return_counts=True)
+        self.item, self.first = key % self.items, np.searchsorted(key // self.items, np.arange(self.size + 1))
+        length = np.array([len(w) for w in own] or [0])
+        self.least = np.where(length > 0, p.paraphrase * length, np.inf)
+
+    def enough(self, doc: np.ndarray, feature: np.ndarray, n_docs: int, step: int = 256) -> np.ndarray:
+        """Which texts may get a verdict at all, from the features of their words; where words share a feature, more than those."""
+        key = np.unique(doc * self.size + feature)
+        doc, feature, out = key // self.size, key % self.size, np.zeros(n_docs, bool)
+        for s in range(0, n_docs, step):
+            at = slice(*np.searchsorted(doc, [s, min(n_docs, s + step)]))
+            n = self.first[feature[at] + 1] - self.first[feature[at]]
+            posting = np.repeat(self.first[feature[at]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            rows = min(n_docs, s + step) - s
+            held = np.bincount(np.repeat(doc[at] - s, n) * self.items + self.item[posting], weights=self.count[posting], minlength=rows * self.items)
+            out[s : s + rows] = (held.reshape(rows, self.items) >= self.least).any(axis=1)
+        return out
+
+
 def _search(p: Latent, vocabulary: Vocabulary, vectors: np.ndarray, ids: list[int], texts: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, item_of, items = item_passages(texts, vocabulary, vectors, p)
+        held = ItemWords(own, vocabulary, p)
         kind = [("id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common_words", pa.int64()), ("share", pa.float64()), ("answer_share", pa.float64())]
         for batch in batches:
             doc_ids = batch.column(0)
             for row, end, data, offsets in pieces(batch.column(1), 500_000):
                 doc, word = tokens(data, offsets)
+                # Without most of some item's words verdict() is None for every region.
+                enough = held.enough(*known(vocabulary, word, doc)[::-1], end - row)[doc]
+                if not enough.any():
+                    continue
+                doc, word = doc[enough], word[enough]
                 block, first = blocks(doc, end - row, p.block)
                 feature, of = known(vocabulary, word, block)
                 window = unit(windows_of(summed(vectors, feature, of, int(first[-1])), first))
