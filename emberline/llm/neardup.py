@@ -13,10 +13,10 @@ Exactness. A pair at or above the threshold shares a band but for a chance of
    that meets the most others in all its bands, which in a group of copies is close to their base.
 2. Bands whose sets are in one component by then are closed. In the others, a
    set too many of whose shingles no other open set has can't be similar to any.
-3. What is left is held against its band's hub, the most typical set. A set y
-   that is not similar to the hub can be similar to a set x only if both differ
+3. What is left is held against its band's hub, a typical set that serves as many bands as it can, so that a
+   set meets few hubs. A set y that is not similar to the hub can be similar to a set x only if both differ
    from the hub in common shingles, so x is looked up by the rarest of those
-   (see deviations()), and the pairs found are held against each other.
+   (see deviations()), and the pairs found are held against each other. That holds for any hub, in the band or not.
 """
 
 from __future__ import annotations
@@ -249,16 +249,16 @@ def _deviations(p: HyperMinHash) -> Batches:
     return run
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, rounds: int | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of edges (a, b) but those that are their own component; component is the least node reachable.
 
-    With rounds it stops after so many, and a component may still be a part of the true one. Alternates the large-star and small-star steps until no edge changes, each
+    Alternates the large-star and small-star steps until no edge changes, each
     step an aggregation and a join, so a hub is never gathered in one task.
     """
     state_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = scratch.store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), thin=True)
-    seen = state_of(now) if rounds is None else [1]
-    while seen[0] and rounds != 0:
+    seen = state_of(now)
+    while seen[0]:
         both = now.union(now.select("b", "a"))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -266,9 +266,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int | None
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = scratch.store(small.union(least.select("u", "m")).distinct(), thin=True)
-        if rounds is not None:
-            rounds -= 1
-            continue
         state = state_of(now)
         if state == seen:
             break
@@ -276,6 +273,21 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int | None
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def star_labels(stars: DataFrame) -> DataFrame:
+    """(node, component) for every node of stars (a, b), of which a is the middle: the least node of the stars that it is in, a part of its true component."""
+    members = stars.select(F.col("a").alias("star"), F.col("b").alias("node")).union(stars.select("a", "a").distinct())
+    least = members.groupBy("star").agg(F.min("node").alias("m"))
+    return members.join(least, "star").groupBy("node").agg(F.min("m").alias("component"))
+
+
+def merged(component: DataFrame, spokes: DataFrame) -> DataFrame:
+    """component (node, component), each of which is widened by the links spokes (hub, node, component of node)."""
+    hubs = placed(spokes.select(F.col("hub").alias("node"), F.col("component").alias("b")), component.withColumnRenamed("component", "a"), "a")
+    wider = star_labels(hubs.where("a <> b").select("a", "b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    known = component.union(wider.select("component", "component"))
+    return known.join(wider, "component", "left").groupBy("node").agg(F.min(F.coalesce("wider", "component")).alias("component"))
+
+
 def leaders(bands: DataFrame) -> DataFrame:
     """(band, leader): of each band (rows band, node, c) the node whose bands hold the most nodes, the likeliest base of its copies."""
     mass = bands.groupBy("node").agg(F.sum("c").alias("mass"))
@@ -310,6 +322,18 @@ def linkable(rows: DataFrame, sets: DataFrame, p: HyperMinHash) -> DataFrame:
     return scored.where(shared * 100 >= (F.col("n") + partner - shared) * p.percent).select("node", "own")
 
 
+def shared_hubs(rows: DataFrame) -> DataFrame:
+    """(band, hub) of rows (band, node, own): few hubs for all bands, so that a node meets few of them.
+
+    Each band proposes the node with the fewest shingles of its own. Of the proposals of its bands each node takes the one that
+    meets the most rows, and a band's hub is the one that the most of its nodes take.
+    """
+    met = rows.join(rows.groupBy("band").agg(F.min_by("node", F.struct("own", "node")).alias("hub")), "band").select("band", "node", "hub")
+    first = lambda by: F.max_by("hub", F.struct(by, F.negative("hub"))).alias("hub")
+    taken = met.join(met.groupBy("hub").agg(F.count("*").alias("c")), "hub").groupBy("node").agg(first("c"))
+    return rows.select("band", "node").join(taken, "node").groupBy("band", "hub").agg(F.count("*").alias("c")).groupBy("band").agg(first("c"))
+
+
 def deviations(met: DataFrame, sets: DataFrame, p: HyperMinHash) -> DataFrame:
     """met (node, hub, component) with n, linked, size, need, partly and tokens, the shingles that only one of node and hub has.
 
@@ -432,25 +456,24 @@ def _components(texts: DataFrame, classes: DataFrame, scratch: Scratch, p: Hyper
         return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verified(p), "a long, b long")
 
     links = scratch.store(verified(nearest(bands.join(leaders(bands), "band"))), thin=True)
-    component = connected_components(links, scratch, rounds=1)
+    component = scratch.store(star_labels(links), thin=True)
     left = scratch.store(open_bands(placed(bands.select("band", "node").join(wanted.select("node", "n"), "node"), component)))
     left = scratch.store(open_bands(left.drop("least_n").join(linkable(left, sets, p), "node")).drop("least_n"))
     if left.isEmpty():
         return connected_components(links, scratch)
-    hubs = left.groupBy("band").agg(F.min_by("node", F.struct("own", "node")).alias("hub"))
-    led = scratch.store(left.join(hubs, "band").select("band", "node", "n", "hub", "component"))
+    led = scratch.store(left.join(shared_hubs(left), "band").select("band", "node", "n", "hub", "component"))
     dev = scratch.store(deviations(led.where("node <> hub").groupBy("node", "hub").agg(F.first("component").alias("component")), sets, p))
-    spokes = dev.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    component = connected_components(links.union(spokes), scratch)
+    spokes = dev.where("linked").select("hub", "node", "component")
+    component = scratch.store(merged(component, spokes), thin=True)
     still = open_bands(placed(led.drop("component"), component)).select("node", "hub", "component").distinct()
     close = scratch.store(able(dev.drop("component").join(still, ["node", "hub"]), p))
     more = scratch.store(verified(by_rare_tokens(close, scratch)), thin=True)
-    return connected_components(component.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), scratch)
+    return connected_components(links.union(spokes.select("hub", "node")).union(more), scratch)
 
 
-def placed(rows: DataFrame, component: DataFrame) -> DataFrame:
+def placed(rows: DataFrame, component: DataFrame, name: str = "component") -> DataFrame:
     """rows (node, ..) with their component; a node without links is its own."""
-    return rows.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows.join(component, "node", "left").withColumn(name, F.coalesce(name, "node"))
 
 
 def _by_row(sketches: DataFrame, classes: DataFrame, component: DataFrame, scratch: Scratch, p: HyperMinHash) -> DataFrame:

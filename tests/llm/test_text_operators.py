@@ -247,6 +247,21 @@ def test_sets_far_from_every_leader_keep_their_links(spark):
     assert got == want and 1 < len(set(want.values())) < len(sets)
 
 
+def test_one_hub_serves_the_bands_of_its_nodes(spark):
+    """Node 4 alone would lead band 2; nodes 1 and 3 of it have a hub already. Band 3 shares no node with them."""
+    rows = [(1, 1, 5), (1, 2, 0), (1, 3, 1), (2, 1, 5), (2, 3, 1), (2, 4, 0), (3, 8, 0), (3, 9, 2)]
+    hubs = neardup.shared_hubs(spark.createDataFrame(rows, "band long, node long, own long"))
+    assert {r.band: r.hub for r in hubs.collect()} == {1: 2, 2: 2, 3: 8}
+
+
+def test_star_labels_are_parts_of_components(spark):
+    """Middles lead one another, and a hub that no leader knows joins two stars."""
+    first = neardup.star_labels(spark.createDataFrame([(5, 7), (7, 5), (5, 2), (9, 8)], "a long, b long"))
+    assert {r.node: r.component for r in first.collect()} == {2: 2, 5: 2, 7: 2, 8: 8, 9: 8}
+    spokes = spark.createDataFrame([(20, 7, 2), (20, 9, 8)], "hub long, node long, component long")
+    assert {r.node: r.component for r in neardup.merged(first, spokes).collect() if r.node != 20} == {2: 2, 5: 2, 7: 2, 8: 2, 9: 2}
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(7, text), (7, text), (7, "quite another text of some words"), (None, text + " tail"), (None, "alone in the world with no id"), (None, None), (9, text.upper())]
