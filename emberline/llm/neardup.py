@@ -368,7 +368,7 @@ def by_rare_tokens(dev: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that share one of the rarest tokens of each, of which one at least is not linked to the hub."""
     rows = scratch.store(dev.repartition("node", "hub").select("hub", "node", "component", "linked", "need", "partly", "most", "least", F.explode("tokens").alias("token")))
     common = rows.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1")
-    found = rows.join(common, ["hub", "token"]).groupBy("hub", "node", "component", "linked", "need", "partly", "most", "least").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
+    found = scratch.store(rows.join(common, ["hub", "token"]).groupBy("hub", "node", "component", "linked", "need", "partly", "most", "least").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found")))
 
     def rarest(of: DataFrame, least: str, mark: str) -> DataFrame:
         first = F.slice("found", F.lit(1), (F.size("found") - F.col(least) + 1).cast("int"))["token"]

@@ -262,6 +262,24 @@ def test_star_labels_are_parts_of_components(spark):
     assert {r.node: r.component for r in neardup.merged(first, spokes).collect() if r.node != 20} == {2: 2, 5: 2, 7: 2, 8: 2, 9: 2}
 
 
+def test_a_copy_meets_few_hubs(spark, monkeypatch):
+    """Near copies whose edits come from a small vocabulary stand in many bands; each is taken apart against one or two hubs, not once for each band's own."""
+    random, base = np.random.default_rng(11), [f"w{i}" for i in range(150)]
+
+    def copy(edits):
+        now = list(base)
+        for at in random.integers(0, 150, edits):
+            now[at] = f"e{at}x{random.integers(2)}"
+        return " ".join(now)
+
+    rows = [(k, copy(random.integers(1, 5))) for k in range(250)] + [(1000 + k, copy(random.integers(6, 11))) for k in range(150)]
+    met, plain = [], neardup.able
+    monkeypatch.setattr(neardup, "able", lambda dev, p: plain(met.append(dev.agg(F.count("*"), F.countDistinct("node"), F.sum("size")).first()) or dev, p))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), params=FOUR).collect()}
+    assert got == plain_components(dict(rows))
+    assert met[0][0] <= 1.5 * met[0][1]
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(7, text), (7, text), (7, "quite another text of some words"), (None, text + " tail"), (None, "alone in the world with no id"), (None, None), (9, text.upper())]
