@@ -82,19 +82,37 @@ class Vocabulary:
         return self.slots[(word >> self.shift).astype(np.int64)]
 
 
+#: Bytes of text turned into words at a time, so that their arrays stay in the processor's cache.
+PIECE = 100_000
+
+
+def distinct(high: np.ndarray, low: np.ndarray, n_high: int, n_low: int) -> np.ndarray:
+    """The sorted distinct values of high * n_low + low, for numbers below n_high and n_low; small ones as 32 bits, which sort quicker."""
+    key = high * n_low + low
+    key = np.sort(key.astype(np.int32) if n_high * n_low < 1 << 31 else key)
+    return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+
+
 def known(vocabulary: Vocabulary, word: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     feature = vocabulary.of(word)
     have = feature >= 0
     return feature[have].astype(np.int64), block[have]
 
 
-def summed(table: np.ndarray, feature: np.ndarray, row: np.ndarray, n_rows: int, step: int = 2_000) -> np.ndarray:
+def summed(table: np.ndarray, feature: np.ndarray, row: np.ndarray, n_rows: int, step: int = 1_000) -> np.ndarray:
     """Sums of table[feature] by row; rows come in order."""
     out = np.zeros((n_rows, table.shape[1]), np.float32)
-    for k in range(0, len(feature), step):
-        f, r = feature[k : k + step], row[k : k + step]
-        at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        out[r[at]] += np.add.reduceat(table[f], at, axis=0)
+    count = np.bincount(row, minlength=n_rows)
+    first = np.cumsum(count) - count
+    # The first feature of all rows, then the second of those that have one: rows with most come first.
+    order = np.argsort(-count, kind="stable")
+    for s in range(0, n_rows, step):
+        own = order[s : s + step]
+        left, at, sums = count[own], first[own], np.zeros((len(own), table.shape[1]), np.float32)
+        for k in range(left[0]):
+            more = np.searchsorted(-left, -k)
+            sums[:more] += table[feature[at[:more] + k]]
+        out[own] = sums
     return out
 
 
@@ -103,11 +121,11 @@ def _frequencies(p: Latent, vocabulary: Vocabulary) -> Callable[[Iterator[pa.Rec
         total, n_blocks, n_rows = np.zeros(vocabulary.size, np.int64), 0, 0
         for batch in batches:
             n_rows += len(batch)
-            for row, end, data, offsets in pieces(batch.column(0)):
+            for row, end, data, offsets in pieces(batch.column(0), PIECE):
                 doc, word = tokens(data, offsets)
                 block, first = blocks(doc, end - row, p.block)
                 feature, block = known(vocabulary, word, block)
-                key = np.unique(block * vocabulary.size + feature)
+                key = distinct(block, feature, int(first[-1]), vocabulary.size)
                 total += np.bincount(key % vocabulary.size, minlength=vocabulary.size) if len(key) else 0
                 n_blocks += int(first[-1])
         have = np.flatnonzero(total)
@@ -151,7 +169,7 @@ def _pair_sums(p: Latent, vocabulary: Vocabulary, idf: np.ndarray, rank: np.ndar
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, top = vocabulary.size, min(COMMON, vocabulary.size)
+        size, top, square_idf = vocabulary.size, min(COMMON, vocabulary.size), idf.astype(np.float64) ** 2
         square, keys, sums, held = np.zeros(top * top, np.int64), [], [], 0
 
         def summed_rest() -> tuple[np.ndarray, np.ndarray]:
@@ -161,19 +179,22 @@ def _pair_sums(p: Latent, vocabulary: Vocabulary, idf: np.ndarray, rank: np.ndar
             return pair, total
 
         for batch in batches:
-            for row, end, data, offsets in pieces(batch.column(0), 200_000):
+            for row, end, data, offsets in pieces(batch.column(0), PIECE):
                 doc, word = tokens(data, offsets)
                 block, first = blocks(doc, end - row, 2 * p.block)
                 f, block = known(vocabulary, word, block)
-                norm = np.bincount(block, weights=idf[f].astype(np.float64) ** 2, minlength=first[-1])
+                norm = np.bincount(block, weights=square_idf[f], minlength=first[-1])
                 key, count = np.unique(block * size + rank[f], return_counts=True)
                 block, r = key // size, key % size
                 share = UNIT * count / np.maximum(norm[block], 1e-6)
-                for lag in range(2 * p.block):
-                    i = np.flatnonzero(block[lag:] == block[: len(block) - lag])
-                    if not len(i):
-                        break
-                    low, high, w = r[i], r[i + lag], np.rint(share[i] * count[i + lag]).astype(np.int64)
+                # Each word of a block with itself and those after it there.
+                last = np.cumsum(np.bincount(block, minlength=first[-1]))[block]
+                for k in range(0, len(r), 20_000):
+                    at = np.arange(k, min(len(r), k + 20_000))
+                    n = last[at] - at
+                    i = np.repeat(at, n)
+                    j = i + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                    low, high, w = r[i], r[j], np.rint(share[i] * count[j]).astype(np.int64)
                     common = high < top
                     np.add.at(square, low[common] * top + high[common], w[common])
                     keys.append((low * size + high)[~common])
@@ -192,25 +213,52 @@ def _pair_sums(p: Latent, vocabulary: Vocabulary, idf: np.ndarray, rank: np.ndar
     return run
 
 
+#: Cells of the matrix that are multiplied as a whole at a time, and the share of them that must be filled for that.
+CELLS, FILLED = 1 << 22, 1 / 200
+
+
 def _products(basis: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """This partition's share of the symmetric matrix of rows (pair, w) times basis."""
+    """This partition's share of the symmetric matrix of rows (pair, w) times basis. Pairs of one first word stand together, for speed alone."""
+    size = len(basis)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(basis.shape, np.float32)
+        out, held, n_held = np.zeros(basis.shape, np.float32), [], 0
 
         def add(to: np.ndarray, of: np.ndarray, w: np.ndarray) -> None:
-            order = np.argsort(to, kind="stable")
-            to = to[order]
-            at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            out[to[at]] += np.add.reduceat(basis[of[order]] * w[order, None], at, axis=0)
+            for k in range(0, len(to), 8_000):
+                order = np.argsort(to[k : k + 8_000], kind="stable") + k
+                line = to[order]
+                at = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                out[line[at]] += np.add.reduceat(basis[of[order]] * w[order, None], at, axis=0)
+
+        def add_held() -> None:
+            pair, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            line, a = np.unique(pair // size, return_inverse=True)
+            b, order = pair % size, np.argsort(a, kind="stable")
+            rows = max(1, CELLS // size)
+            for k in range(0, len(line), rows):
+                of = order[slice(*np.searchsorted(a[order], [k, k + rows]))]
+                own = line[k : k + rows]
+                if len(of) < FILLED * len(own) * size:
+                    add(line[a[of]], b[of], w[of])
+                    apart = of[line[a[of]] != b[of]]
+                    add(b[apart], line[a[apart]], w[apart])
+                else:
+                    part = np.zeros((len(own), size), np.float32)
+                    part[a[of] - k, b[of]] = w[of]  # a pair comes once
+                    out[own] += part @ basis
+                    part[np.arange(len(own)), own] = 0
+                    for c in range(0, size, 4096):
+                        out[c : c + 4096] += part[:, c : c + 4096].T @ basis[own]
 
         for batch in batches:
-            pair, w = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float32)
-            for k in range(0, len(pair), 8_000):
-                a, b, v = pair[k : k + 8_000] // len(basis), pair[k : k + 8_000] % len(basis), w[k : k + 8_000]
-                add(a, b, v)
-                if (apart := a != b).any():
-                    add(b[apart], a[apart], v[apart])
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float32)))
+            n_held += len(batch)
+            if n_held > 500_000:
+                add_held()
+                held, n_held = [], 0
+        if held:
+            add_held()
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
 
     return run
@@ -231,7 +279,7 @@ def latent_space(texts: DataFrame, items: DataFrame, vocabulary: Vocabulary, idf
 
     # A task for each core, so that each gives its pairs of words once.
     both = sums(texts.coalesce(max(1, texts.sparkSession.sparkContext.defaultParallelism)), weight).unionByName(sums(items, 1.0)).groupBy("pair").agg(F.sum("w").alias("w"))
-    pairs = cut_lineage(both.repartition(6, "pair").sortWithinPartitions("pair")).coalesce(6)
+    pairs = cut_lineage(both.repartition(6, F.expr(f"pair div {len(idf)}")).sortWithinPartitions("pair")).coalesce(6)
 
     def product(b: np.ndarray) -> np.ndarray:
         parts = pairs.mapInArrow(_products(own * b), "part binary").toLocalIterator()  # a few parts of one bounded size
@@ -286,10 +334,11 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def verdict(item: np.ndarray, region: np.ndarray, p: Latent) -> tuple[int, float, float] | None:
     """(common words, their share of the item, share of the answer) if the region holds the item."""
-    if np.isin(item, region).sum() < p.paraphrase * len(item):
+    held = set(region.tolist())
+    if sum(map(held.__contains__, item.tolist())) < p.paraphrase * len(item):
         return None
     common = common_subsequence(item, region)
-    share, answer = common / len(item), float(np.isin(item[-p.answer_words :], region).mean())
+    share, answer = common / len(item), float(np.mean([x in held for x in item[-p.answer_words :].tolist()]))
     return (common, share, answer) if share >= p.exact or (share >= p.paraphrase and answer >= p.answer) else None
 
 
@@ -306,7 +355,7 @@ class ItemWords:
 
     def enough(self, doc: np.ndarray, feature: np.ndarray, n_docs: int, step: int = 256) -> np.ndarray:
         """Which texts may get a verdict at all, from the features of their words; where words share a feature, more than those."""
-        key = np.unique(doc * self.size + feature)
+        key = distinct(doc, feature, n_docs, self.size)
         doc, feature, out = key // self.size, key % self.size, np.zeros(n_docs, bool)
         for s in range(0, n_docs, step):
             at = slice(*np.searchsorted(doc, [s, min(n_docs, s + step)]))
@@ -325,7 +374,7 @@ def _search(p: Latent, vocabulary: Vocabulary, vectors: np.ndarray, ids: list[in
         kind = [("id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common_words", pa.int64()), ("share", pa.float64()), ("answer_share", pa.float64())]
         for batch in batches:
             doc_ids = batch.column(0)
-            for row, end, data, offsets in pieces(batch.column(1), 500_000):
+            for row, end, data, offsets in pieces(batch.column(1), 2 * PIECE):
                 doc, word = tokens(data, offsets)
                 # Without most of some item's words verdict() is None for every region.
                 enough = held.enough(*known(vocabulary, word, doc)[::-1], end - row)[doc]

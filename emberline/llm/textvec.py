@@ -27,6 +27,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 IS_BREAK, LOWER, BYTE_WEIGHT = _tables()
+FOLDED_WEIGHT = BYTE_WEIGHT[LOWER]
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
 
@@ -77,21 +78,30 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | border[1:n]
     start = np.flatnonzero(begins)
-    return start, np.flatnonzero(ends) + 1, np.searchsorted(offsets, start, "right") - 1
+    count = np.diff(np.searchsorted(start, offsets))
+    return start, np.flatnonzero(ends) + 1, np.repeat(np.arange(len(count)), count)
+
+
+KEPT_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base to the 0, 1, ... n - 1. Those for a piece of usual length are kept; callers leave them as they are."""
+    out = KEPT_POWERS.get(base)
+    if out is None or len(out) < n:
+        out = np.full(n if n > CHUNK_BYTES else min(CHUNK_BYTES, 1 << n.bit_length()), np.uint64(base))
+        out[:1] = 1
+        np.cumprod(out, out=out)
+        if n <= CHUNK_BYTES:
+            KEPT_POWERS[base] = out
+    return out[:n]
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool = True) -> np.ndarray:
     """64-bit hashes of byte spans, equal spans giving equal hashes wherever they stand."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    value = BYTE_WEIGHT[LOWER[data] if fold_case else data]
+    value = (FOLDED_WEIGHT if fold_case else BYTE_WEIGHT)[data]
     value *= powers(BASE, len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(value, out=total[1:])
