@@ -112,7 +112,7 @@ class State:
         whole = before is not None and len({*since, generation}) > MOST
         with Scratch(self.spark) as scratch:
             search = Search(edges, again, scratch, nodes)
-            pairs = search.named(search.pairs("start", "node", "parent", "code")).select("start", "node", "transitive").withColumnRenamed("transitive", "passes")
+            pairs = search.named(search.pairs("start", "node", "parent", "code", "mark")).select("start", "node", "transitive").withColumnRenamed("transitive", "passes")
             scores = [search.scores().withColumn("since", F.lit(generation).cast("long"))]
             if owners is not None:
                 of_anew = owners.join(anew, "start", "left_semi")
