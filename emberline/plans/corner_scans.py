@@ -43,6 +43,8 @@ def scan_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         root = f"{urlparse(scratch.root).path}/files"
         os.makedirs(root, exist_ok=True)
+        # The table of keys may be one part, however many files come of it.
+        rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
         write_files(rows.select(name.alias("rel"), data.alias("data")), root)
         return graph_rows(build_graph(read_config_files(spark, root)), more())
 
