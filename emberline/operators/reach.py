@@ -163,16 +163,16 @@ class Search:
             none = none.unionByName(level.select(*none.columns))
         return none
 
-    def leaves(self) -> DataFrame:
-        """start, node, parent, code, mark of all pairs by steps of LEAF, each by the one met first."""
-        met = self.standing().join(self.steps(LEAF), F.col("node") == F.col("src")).where("dst <> start").select("start", F.col("dst").alias("node"), "place", "code", "mark")
+    def leaves(self, chosen: str = "true") -> DataFrame:
+        """start, node, parent, code, mark of all pairs by (chosen) steps of LEAF, each by the one met first."""
+        met = self.standing().join(self.steps(LEAF).where(chosen), F.col("node") == F.col("src")).where("dst <> start").select("start", F.col("dst").alias("node"), "place", "code", "mark")
         return met.groupBy("start", "node").agg(F.min("place").alias("parent"), F.min_by("code", "place").alias("code"), F.min_by("mark", "place").alias("mark"))
 
-    def fanned(self, fans: DataFrame, standing: DataFrame | None = None) -> DataFrame:
-        """start, node, parent, code, mark of pairs by steps of FAN (fans), but those that CORE met before."""
+    def fanned(self, fans: DataFrame, standing: DataFrame | None = None, heavy: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+        """start, node, parent, code, mark (and more columns of fans) of pairs by steps of FAN (fans; heavy: all have a weight), but those that CORE met before."""
         rows = self.standing() if standing is None else standing
-        met = rows.join(fans, F.col("node") == F.col("src")).where("dst <> start").select("start", F.col("dst").alias("node"), F.col("place").alias("parent"), "code", "mark")
-        before = self.core().where("fan is not null").select("start", "node")
+        met = rows.join(fans, F.col("node") == F.col("src")).where("dst <> start").select("start", F.col("dst").alias("node"), F.col("place").alias("parent"), "code", "mark", *more)
+        before = self.core().where("fan is not null and mark >= 8" if heavy else "fan is not null").select("start", "node")
         return met if before.isEmpty() else met.join(before, ["start", "node"], "left_anti")
 
     def pairs(self, *columns: str, heavy: bool = False) -> DataFrame:
@@ -180,7 +180,7 @@ class Search:
         weighs = F.col("mark") >= 8
         chosen = lambda df: df.where(weighs) if heavy else df
         names = ["start", "node", "parent", "code", "mark"]
-        every = chosen(self.core().select(*names)).unionByName(chosen(self.leaves())).unionByName(self.fanned(chosen(self.steps(FAN))))
+        every = chosen(self.core().select(*names)).unionByName(self.leaves("mark >= 8" if heavy else "true")).unionByName(self.fanned(chosen(self.steps(FAN)), heavy=heavy))
         return every.select(*columns, (F.shiftright("parent", LEVEL_BITS) + 1).cast("int").alias("level"))
 
     def scores(self) -> DataFrame:
@@ -243,6 +243,22 @@ class Search:
         out = sums.join(name("low", "first_node"), "low").join(name("high", "last_node"), "high").join(self.starts.select("start", "name"), "start")
         return cut_lineage(out.select(F.col("name").alias("start"), "level", "n_reached", "n_stopped", "first_node", "last_node"))
 
+    def by_kind(self) -> DataFrame:
+        """start, kind, n_findings, weight, worst of what found() gives: worst is the first by severity, label, level and discovery. No name is joined to a pair."""
+        heavy = self.nodes.where("severity > 0 and id is not null").select("id", "label", "kind", "severity")
+        order = self.scratch.store(in_order(self.scratch.store(heavy.select("severity", "label").distinct()), "spot", F.desc("severity"), F.asc("label")))
+        known = heavy.alias("h").join(order.alias("o"), F.expr("h.severity = o.severity and h.label <=> o.label")).select("h.*", "spot")
+        known = self.scratch.store(known.join(self.graph.ids.select("id", F.col("n").alias("node")), "id").select("node", "kind", "severity", "spot"))
+        fans = self.scratch.store(self.steps(FAN).where("mark >= 8").join(known.withColumnRenamed("node", "dst"), "dst"))
+        few = F.broadcast(fans) if fans.limit(SMALL + 1).count() <= SMALL else fans
+        names = ["start", "node", "parent", "code"]
+        plain = self.core().where("mark >= 8").select(*names).unionByName(self.leaves("mark >= 8").select(*names)).join(known, "node")
+        every = plain.unionByName(self.fanned(few, heavy=True, more=("kind", "severity", "spot")).drop("mark"))
+        sums = every.groupBy("start", "kind").agg(F.count("*").alias("n_findings"), F.sum("severity").cast("long").alias("weight"), F.min(F.struct("spot", "parent", "code", "node")).alias("first"))
+        sums = self.scratch.store(sums.select("start", "kind", "n_findings", "weight", F.col("first.node").alias("node")))
+        out = sums.join(self.graph.ids.select(F.col("n").alias("node"), F.col("id").alias("worst")), "node").join(self.starts.select("start", "name"), "start")
+        return cut_lineage(out.select(F.col("name").alias("start"), "kind", "n_findings", "weight", "worst"))
+
     def named(self, pairs: DataFrame, *columns: str) -> DataFrame:
         """Pairs with the names of start and node, and columns of the edge that met the node."""
         out = pairs.withColumn("edge", F.col("code")).join(self.starts.select("start", "name"), "start")
@@ -320,6 +336,12 @@ def found(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops: bool = Fa
         return Search(edges, starts, scratch, nodes, hops or evidence).found(hops, evidence)
 
 
+def kinds_from(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, kind, n_findings, weight, worst: what found() gives, summed without its rows being stored."""
+    with Scratch(edges.sparkSession) as scratch:
+        return Search(edges, starts, scratch, nodes, evidence=False).by_kind()
+
+
 def counts_from(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, level, n_reached, n_stopped, first_node, last_node: what reach() gives, counted, without a row for each pair."""
     with Scratch(edges.sparkSession) as scratch:

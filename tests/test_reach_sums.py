@@ -75,6 +75,22 @@ def test_pairs_match_plain_search(spark, many, evidence):
     assert rows == {(s, n) for s, (f, w) in want.items() for n in f if w[n]}
 
 
+def test_findings_by_kind_match_those_one_by_one(spark, many):
+    """Labels repeat, so that level and order of discovery decide; some have none."""
+    edges, nodes, want = many
+    told = nodes.withColumns({"kind": F.when(F.crc32("id") % 3 == 0, "x").otherwise("y"), "label": F.when(F.crc32("id") % 5 > 0, (F.crc32("id") % 2).cast("string"))})
+    starts = nodes.select(F.col("id").alias("start"))
+    own = {r.id: r for r in told.collect()}
+    plain = {}
+    for start, (found, weight) in want.items():
+        for place, node in enumerate(found):
+            if weight[node]:
+                key = (-weight[node], own[node].label or "", place)
+                plain.setdefault((start, own[node].kind), []).append((*key, node))
+    got = {(r.start, r.kind): (r.n_findings, r.weight, r.worst) for r in R.kinds_from(edges, told, starts).collect()}
+    assert got == {k: (len(v), -sum(x[0] for x in v), min(v)[-1]) for k, v in plain.items()}
+
+
 def test_a_hub_is_summed_and_not_spelled_out(spark, tmp_path):
     """500 starts by one hub of 400 nodes: before, levels held 200,000 pairs of them."""
     rows = [(f"a{i}", "hub", "r", None, None, True, 1) for i in range(500)] + [("hub", f"m{i}", "r", None, None, False, i) for i in range(400)] + [(f"m{i}", "hub", "r", None, None, True, 1) for i in range(400)]
