@@ -45,8 +45,13 @@ class Numbered:
 CORE, FAN, LEAF = 0, 1, 2
 #: Places of a level begin at its number times so much, so that places of all levels are in the order of discovery.
 LEVEL_BITS = 50
-#: Rows of a table that may go to all tasks.
-SMALL = 100_000
+#: Rows of a table that may go to all tasks, and those of one of three numbers.
+SMALL, SMALL_THIN = 100_000, 1_000_000
+
+
+def spread(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, marked to go to all tasks if it has few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def numbers(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None, scratch: Scratch, number: Callable[[Column], Column] | None = None) -> tuple[DataFrame, Callable[[Column], Column]]:
@@ -125,11 +130,11 @@ class Search:
             if hides:
                 here = frontier.select("start", "node", "place").join(hiding, "node", "left_semi").select("start", F.col("node").alias("fan"), F.col("place").alias("fanned"))
                 stood = here if stood is None else stood.unionByName(here)
-            met = frontier.select("start", "node", "place").join(steps, F.col("node") == F.col("src")).where("next <> start").select("start", F.col("next").alias("node"), "place", "code", "mark", "fan")
+            met = frontier.select("start", "node", "place").join(self.steps_of(frontier, steps), F.col("node") == F.col("src")).where("next <> start").select("start", F.col("next").alias("node"), "place", "code", "mark", "fan")
             both = met if seen is None else met.unionByName(seen.select("start", "node", gone.alias("place"), gone.alias("code"), gone.alias("mark"), F.lit(None).cast("long").alias("fan")))
             first = both.groupBy("start", "node").agg(F.min("place").alias("parent"), F.min_by("code", "place").alias("code"), F.min_by("mark", "place").alias("mark"), F.max("fan").alias("fan")).where("parent >= 0")
             if hides and not stood.isEmpty():
-                first = first.join(stood, ["start", "fan"], "left").where("fanned is null or fanned > parent").select("start", "node", "parent", "code", "mark", "fan")
+                first = first.join(spread(stood, SMALL_THIN), ["start", "fan"], "left").where("fanned is null or fanned > parent").select("start", "node", "parent", "code", "mark", "fan")
             level = self.scratch.store(first)
             if level.isEmpty():
                 return
@@ -149,6 +154,14 @@ class Search:
                 one = one.where("shiftright(mark, 2) % 2 = 1").select("start", "node")
                 seen = one if seen is None else seen.unionByName(one)
 
+    def steps_of(self, frontier: DataFrame, steps: DataFrame) -> DataFrame:
+        """steps; where a frontier stands on few nodes, only the steps of those, which then go to all tasks if they are few."""
+        nodes = frontier.select(F.col("node").alias("src")).distinct().limit(SMALL + 1)
+        nodes = self.scratch.store(nodes)
+        if nodes.count() > SMALL:
+            return steps
+        return spread(steps.join(F.broadcast(nodes), "src", "left_semi"))
+
     def standing(self) -> DataFrame:
         """start, node, place of all rows that hand on, the starts themselves at 0."""
         out = self.starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("place"))
@@ -188,7 +201,7 @@ class Search:
         weight = F.shiftright("mark", 3)
         heavy = self.steps(FAN).where("mark >= 8")
         fans = self.scratch.store(heavy.groupBy("src").agg(F.sum(weight).alias("total"), F.max(weight).alias("peak")))
-        few = F.broadcast(fans) if fans.limit(SMALL + 1).count() <= SMALL else fans
+        few = spread(fans)
         # A start that stands in a fan it comes by is no finding of its own.
         own = self.scratch.store(heavy.join(self.starts.where("weight > 0"), F.col("dst") == F.col("start")).select("start", F.col("src").alias("node")))
         standing, parts = self.standing(), []
@@ -222,7 +235,7 @@ class Search:
         fans = steps.join(order.select(F.col("n").alias("dst"), "at"), "dst").groupBy("src").agg(
             F.count("*").alias("size"), F.sum(1 - passes).alias("stopped"), F.min("at").alias("low"), F.max("at").alias("high"), F.min_by("dst", "at").alias("one"), F.max_by("dst", "at").alias("other"))
         fans = self.scratch.store(fans)
-        few = F.broadcast(fans) if fans.limit(SMALL + 1).count() <= SMALL else fans
+        few = spread(fans)
         # Nodes of fans that do not count: those that CORE met before, and starts themselves. Their fan steps are not transitive.
         inside = steps.join(self.starts, F.col("dst") == F.col("start")).select("start", F.col("dst").alias("node"), F.col("src").alias("fan"))
         left_out = self.core().where("fan is not null").select("start", "node", "fan").unionByName(inside)
@@ -250,7 +263,7 @@ class Search:
         known = heavy.alias("h").join(order.alias("o"), F.expr("h.severity = o.severity and h.label <=> o.label")).select("h.*", "spot")
         known = self.scratch.store(known.join(self.graph.ids.select("id", F.col("n").alias("node")), "id").select("node", "kind", "severity", "spot"))
         fans = self.scratch.store(self.steps(FAN).where("mark >= 8").join(known.withColumnRenamed("node", "dst"), "dst"))
-        few = F.broadcast(fans) if fans.limit(SMALL + 1).count() <= SMALL else fans
+        few = spread(fans)
         names = ["start", "node", "parent", "code"]
         plain = self.core().where("mark >= 8").select(*names).unionByName(self.leaves("mark >= 8").select(*names)).join(known, "node")
         every = plain.unionByName(self.fanned(few, heavy=True, more=("kind", "severity", "spot")).drop("mark"))
